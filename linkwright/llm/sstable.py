@@ -50,8 +50,9 @@ FOOTER_BYTES = FOOTER.size + TAIL.size
 SHARD = "path string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
 #: White space on which a text can be cut before any tokenizer rule looks across the cut.
 CHUNK = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
-#: Space that is not ASCII; a text with any is encoded whole.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+#: Code points that some rule calls space beside the six above; a text with any is encoded whole.
+ODD_RANGES = ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+ODD_SPACE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_RANGES) + "]")
 PLAIN = re.compile(r" [^ \t\n\r\v\f]+")
 
 
