@@ -8,8 +8,8 @@ stream is trained at the time t at which the demand reaches c. Documents of all
 then sorted by ranges of that time.
 
 Within a source the stream is a fixed hash order of its documents, whole passes first, then a
-part. Running sums come in two steps, over hash buckets and within a bucket, so a source that
-holds a third of the rows is dealt over as many tasks as it has buckets. Only numbers are
+part. Running sums come in two steps, over hash buckets (16 ** ``bucket_digits`` a source) and
+within a bucket, so a source that holds a third of the rows is dealt over many tasks. Only numbers are
 shuffled, never texts. All arithmetic that decides is on whole numbers or repeats exactly.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source, the last;
@@ -86,7 +86,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
-    buckets: int = 512,
+    bucket_digits: int = 3,
 ) -> DataFrame:
     """key, size, source, source_size, target, taken, copies, positions: the plan, without texts.
 
@@ -95,8 +95,8 @@ def mix(
     document at most.
     """
     slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"))
-    h = F.xxhash64(F.col("key"), F.col("size"))
-    slim = slim.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)).cast("int"))
+    h = F.md5(F.concat_ws("/", F.coalesce(F.col("key").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary"))
+    slim = slim.withColumn("h", h).withColumn("bucket", F.substring("h", 1, bucket_digits))
     parts = slim.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sizes = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, most)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
