@@ -119,18 +119,18 @@ WITH rows_ AS (
          count(*) OVER w AS n,
          list_sort(list(h) OVER w) AS hs,
          count(*) OVER (PARTITION BY conv_id) AS n_all
-  FROM hashed WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  FROM hashed WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)
 ), prefixes AS (
   SELECT conv_id, n, md5(array_to_string(hs, ',')) AS s, n_all FROM rolled
 ), longest AS (
   SELECT n, s, min(struct_pack(length := -n_all, conv := conv_id)) AS best FROM prefixes GROUP BY n, s
 ), kept AS (
   SELECT p.conv_id FROM prefixes p JOIN longest l USING (n, s)
-  WHERE p.n = p.n_all AND l.best.length = -p.n_all AND l.best.conv = p.conv_id
+  WHERE p.n = p.n_all AND l.best.length = -p.n_all AND l.best.conv IS NOT DISTINCT FROM p.conv_id
 )
-SELECT conv_id, turn, role, role = 'assistant' AS trainable,
+SELECT r.conv_id, turn, role, role = 'assistant' AS trainable,
        concat('<|', role, '|>', chr(10), replace(text, '<|', '< |'), '<|end|>', chr(10)) AS rendered
-FROM rows_ WHERE conv_id IN (SELECT conv_id FROM kept)
+FROM rows_ r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
 """
 
 OP7_SQL = r"""
