@@ -33,6 +33,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,8 @@ CHUNK = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Code points that some rule calls space beside the six above; a text with any is encoded whole.
 ODD_RANGES = ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
 ODD_SPACE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_RANGES) + "]")
-PLAIN = re.compile(r" [^ \t\n\r\v\f]+")
+#: What may not follow the space of a chunk that is one space and a word.
+WHITE = ("", *" \t\n\r\v\f")
 
 
 class Encoder:
@@ -63,7 +65,7 @@ class Encoder:
     always cuts, so encoding by such chunks equals encoding the whole text.
     """
 
-    def __init__(self, path: str, max_chunks: int = 300_000):
+    def __init__(self, path: str, max_chunks: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,35 +77,39 @@ class Encoder:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds: list[int] = [0]
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bounds = np.zeros(1 << 12, np.int64)
 
     def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.at) + len(chunks) > self.max_chunks:
-            self.forget()
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
-        found: list[np.ndarray] = []
-        if plain and len(self.newline) == 1:
+        rest = chunks
+        if len(self.newline) == 1:
             # One call for many chunks: a newline between two of them is always an id of its own.
-            joined = np.array(self.whole("\n".join(plain)), np.uint32)
-            found = np.split(joined, np.flatnonzero(joined == self.newline[0]))
-            found = [found[0], *(x[1:] for x in found[1:])]
-        if len(found) != len(plain):
-            plain = []
-            found = []
-        known = set(plain)
-        rest = [c for c in chunks if c not in known]
-        found += [np.array(self.whole(c), np.uint32) for c in rest]
-        for chunk, ids in zip([*plain, *rest], found, strict=True):
-            begin, end = self.bounds[-1], self.bounds[-1] + len(ids)
-            while end > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[begin:end] = ids
-            self.at[chunk] = len(self.bounds) - 1
-            self.bounds.append(end)
+            plain = [c for c in chunks if c[0] == " " and c[1:2] not in WHITE]
+            rest = [c for c in chunks if c[0] != " " or c[1:2] in WHITE]
+            for i in range(0, len(plain), 10_000):
+                part = plain[i : i + 10_000]
+                ids = np.array(self.whole("\n".join(part)), np.uint32)
+                parting = ids == self.newline[0]
+                ends = np.append(np.flatnonzero(parting), len(ids))
+                self.keep(part, ids[~parting], np.diff(ends, prepend=-1) - 1)
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.keep(rest, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def keep(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Add chunks, with their ids one after another."""
+        if len(lengths) != len(chunks):
+            raise ValueError("the tokenizer joins a newline with its neighbours")
+        n = len(self.at)
+        self.ids, self.bounds = grown(self.ids, self.used + len(flat)), grown(self.bounds, n + len(chunks) + 1)
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.bounds[n + 1 : n + 1 + len(chunks)] = self.used + np.cumsum(lengths)
+        self.used += len(flat)
+        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         chunked = [None if t and ODD_SPACE.search(t) else CHUNK.findall(t or "") for t in texts]
@@ -120,19 +126,28 @@ class Encoder:
                 new = set().union(*(c for c in chunked[todo:stop] if c))
             if new:
                 self.learn(list(new))
-            bounds = np.array(self.bounds)
             for text, chunks in zip(texts[todo:stop], chunked[todo:stop], strict=True):
                 if chunks is None:
                     out.append(np.array(self.whole(text), np.uint32))
                     continue
                 which = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-                begin, n = bounds[which], bounds[which + 1] - bounds[which]
+                begin = self.bounds[which]
+                n = self.bounds[which + 1] - begin
                 flat = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
                 out.append(self.ids[flat])
             todo = stop
         return out
 
 
+def grown(values: np.ndarray, n: int) -> np.ndarray:
+    """values with room for n; doubled, so that appending is linear."""
+    if n <= len(values):
+        return values
+    out = np.zeros(max(n, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
