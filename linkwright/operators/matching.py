@@ -72,6 +72,9 @@ def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.6
         pairs = pairs.unionByName(conflict.withColumn("boost", F.lit(CONFLICT)).withColumn("state", F.lit("conflict")))
     la, lb = F.length("sku_"), F.length("offer_sku")
     pairs = pairs.where(F.col("boost") * 2 * F.least(la, lb) / (la + lb) >= least - 0.00005)
+    # Where not even one character may differ, only equal SKUs go on to be compared.
+    may_differ = (1 - (least - 0.00005) / F.col("boost")) * (la + lb) >= 1
+    pairs = pairs.where(may_differ | (F.col("sku_") == F.col("offer_sku")))
     scored = pairs.withColumn("ratio", indel_ratio("sku_", "offer_sku")).withColumn("score", F.round(F.col("ratio") * F.col("boost"), 4)).where(F.col("score") >= least)
     found = scored.join(left, [left["sku_"] == scored["sku_"], left["brand_"].eqNullSafe(scored["brand_"])]).drop(left["sku_"]).drop(left["brand_"])
     found = found.join(right, [right["offer_sku"] == found["offer_sku"], right["offer_brand"].eqNullSafe(found["offer_brand"])])
