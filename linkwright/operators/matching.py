@@ -42,8 +42,8 @@ def exact_id(catalog: DataFrame, offers: DataFrame) -> DataFrame:
 
     def keyed(df: DataFrame, idx: str, brand: str) -> DataFrame:
         keys = F.array(F.struct(F.lit("ean").alias("kind"), identifiers.ean(F.col("ean")).alias("value")), F.struct(F.lit("gtin").alias("kind"), identifiers.gtin(F.col("gtin")).alias("value")))
-        rows = df.select(F.col("row_idx").alias(idx), text.brand(F.col("brand")).alias(brand), F.explode(keys).alias("key"))
-        return rows.where("key.value is not null").select(idx, brand, "key.kind", "key.value")
+        rows = df.select(F.col("row_idx").alias(idx), text.brand(F.col("brand")).alias(brand), F.filter(keys, lambda k: k["value"].isNotNull()).alias("keys"))
+        return rows.select(idx, brand, F.inline("keys"))
 
     pairs = keyed(catalog, "catalog_idx", "brand_").join(keyed(offers, "offer_idx", "offer_brand"), ["kind", "value"])
     best = pairs.groupBy("catalog_idx", "offer_idx").agg(F.min(F.struct("kind", "value")).alias("key"), F.bool_or(F.coalesce(F.col("brand_") != F.col("offer_brand"), F.lit(False))).alias("conflict"))
@@ -52,30 +52,58 @@ def exact_id(catalog: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
+def with_one_cut(value: Column) -> Column:
+    """The string, and what is left of it without one of its characters: array of (variant, cut)."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.concat(F.substr(value, F.lit(1), i - 1), F.substr(value, i + 1)))
+    cuts = F.transform(F.array_distinct(cuts), lambda v: F.struct(v.alias("variant"), F.lit(True).alias("cut")))
+    return F.concat(F.array(F.struct(value.alias("variant"), F.lit(False).alias("cut"))), cuts)
+
+
+def of_one_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """brand_, sku_, offer_brand, offer_sku, ratio: pairs of one brand whose SKUs can be as similar as ``least``.
+
+    The similarity leaves (1 - least) (la + lb) characters that only one of the SKUs has. Where that
+    is less than two, a pair is equal or one SKU is the other without a character: an equi-join on
+    those variants finds it, and the lengths tell its ratio. Longer SKUs meet those of each length
+    that the bound allows and are compared.
+    """
+    least -= 0.00005
+    la, lb = F.length("sku_"), F.length("offer_sku")
+    spare = (la + lb) * (1 - least)
+    names = ["brand_", "sku_", "offer_brand", "offer_sku"]
+    cut_a = a.select("brand_", "sku_", F.inline(with_one_cut(F.col("sku_"))))
+    cut_b = b.select(F.col("offer_brand").alias("brand_"), "offer_brand", "offer_sku", F.inline(with_one_cut(F.col("offer_sku")))).withColumnRenamed("cut", "offer_cut")
+    near = cut_a.join(cut_b, ["brand_", "variant"]).where(~(F.col("cut") & F.col("offer_cut")) & (spare < 2)).select(*names, (2 * F.least(la, lb) / (la + lb)).alias("ratio"))
+    lengths = F.sequence(F.floor(la * least / (2 - least)).cast("int"), F.ceil(la * (2 - least) / least).cast("int"))
+    by_length = a.select("brand_", "sku_", F.explode(F.filter(lengths, lambda n: ((la + n) * (1 - least) >= 2) & (2 * F.least(la, n) >= least * (la + n)))).alias("n"))
+    far = by_length.join(b.withColumn("brand_", F.col("offer_brand")).withColumn("n", lb), ["brand_", "n"]).select(*names, indel_ratio("sku_", "offer_sku").alias("ratio"))
+    return near.unionByName(far)
+
+
 def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.60) -> DataFrame:
     """SKU similarity times what the brands say, where it can reach min_confidence or CONFIDENT.
 
     A conflict scores 0.3 at most and a missing brand 0.7, so above those thresholds only equal
-    brands, or also missing ones, are joined; the length of two SKUs bounds their similarity before
+    brands are joined; the length of two SKUs bounds their similarity before
     it is computed. Distinct (brand, SKU) are compared, not rows: repeated offers cost nothing.
     """
     least = min(min_confidence, CONFIDENT)
     left = catalog.select(F.col("row_idx").alias("catalog_idx"), text.brand(F.col("brand")).alias("brand_"), identifiers.sku(F.col("sku")).alias("sku_")).where("sku_ <> ''")
     right = offers.select(F.col("row_idx").alias("offer_idx"), text.brand(F.col("brand")).alias("offer_brand"), identifiers.sku(F.col("sku")).alias("offer_sku")).where("offer_sku <> ''")
     a, b = left.select("brand_", "sku_").distinct(), right.select("offer_brand", "offer_sku").distinct()
-    pairs = a.join(b, F.col("brand_") == F.col("offer_brand")).withColumn("boost", F.lit(SAME)).withColumn("state", F.lit("match"))
+    scored = of_one_brand(a, b, least).withColumn("boost", F.lit(SAME)).withColumn("state", F.lit("match"))
+    la, lb = F.length("sku_"), F.length("offer_sku")
+
+    def compared(pairs: DataFrame, boost: float, state: str) -> DataFrame:
+        pairs = pairs.where(boost * 2 * F.least(la, lb) / (la + lb) >= least - 0.00005)
+        return pairs.withColumn("ratio", indel_ratio("sku_", "offer_sku")).withColumn("boost", F.lit(boost)).withColumn("state", F.lit(state))
+
     if least <= UNKNOWN:
         unknown = a.where("brand_ is null").join(b).unionByName(a.where("brand_ is not null").join(b.where("offer_brand is null")))
-        pairs = pairs.unionByName(unknown.withColumn("boost", F.lit(UNKNOWN)).withColumn("state", F.lit("unknown")))
+        scored = scored.unionByName(compared(unknown, UNKNOWN, "unknown"))
     if least <= CONFLICT:
-        conflict = a.join(b, F.col("brand_") != F.col("offer_brand"))
-        pairs = pairs.unionByName(conflict.withColumn("boost", F.lit(CONFLICT)).withColumn("state", F.lit("conflict")))
-    la, lb = F.length("sku_"), F.length("offer_sku")
-    pairs = pairs.where(F.col("boost") * 2 * F.least(la, lb) / (la + lb) >= least - 0.00005)
-    # Where not even one character may differ, only equal SKUs go on to be compared.
-    may_differ = (1 - (least - 0.00005) / F.col("boost")) * (la + lb) >= 1
-    pairs = pairs.where(may_differ | (F.col("sku_") == F.col("offer_sku")))
-    scored = pairs.withColumn("ratio", indel_ratio("sku_", "offer_sku")).withColumn("score", F.round(F.col("ratio") * F.col("boost"), 4)).where(F.col("score") >= least)
+        scored = scored.unionByName(compared(a.join(b, F.col("brand_") != F.col("offer_brand")), CONFLICT, "conflict"))
+    scored = scored.withColumn("score", F.round(F.col("ratio") * F.col("boost"), 4)).where(F.col("score") >= least)
     found = scored.join(left, [left["sku_"] == scored["sku_"], left["brand_"].eqNullSafe(scored["brand_"])]).drop(left["sku_"]).drop(left["brand_"])
     found = found.join(right, [right["offer_sku"] == found["offer_sku"], right["offer_brand"].eqNullSafe(found["offer_brand"])])
     return found.select(*candidate("sku_brand", F.col("score"), F.lit("SKU_BRAND"), fuzzy_score=F.col("ratio"), brand_state=F.col("state")))
