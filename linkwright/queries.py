@@ -249,7 +249,7 @@ def vat_and_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def landscape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, offers = inputs(spark, sf_dir)
-    return landscape.landscape_rows(catalog, exact_accepted(catalog, offers), offers).select("catalog_idx", "product_sku", "competitor_price", "competitor_landed", "confidence", "competitor_domain", "place")
+    return landscape.landscape_rows(catalog, exact_accepted(catalog, offers), offers).select("catalog_idx", "product_sku", "competitor_price", "competitor_landed", "confidence", "competitor_domain", F.col("place").cast("long").alias("place"))
 
 
 @query(
