@@ -11,6 +11,7 @@ from .functions import identifiers, money, offers as offer_functions, text
 from .operators import landscape, matching, offers as offer_operators, pages
 from .plans import cascade
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
+from .sources import files, result_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,3 +314,55 @@ def json_page(c: Column) -> Column:
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = derived(spark, sf_dir, CATALOG).select(F.col("row_idx").cast("string").alias("url"), json_page(F.col("row_idx")).alias("html"), F.lit(200).alias("status_code"))
     return pages.read_pages(made).select(F.col("url").cast("long").alias("row_idx"), "page_sku", "page_gtin", "page_price", "page_currency", "page_availability", "page_stock")
+
+
+@query(f"WITH offers AS ({plain(OFFERS)}) SELECT market, count(*) AS n FROM offers GROUP BY market ORDER BY n DESC, min(row_idx) LIMIT 1")
+def market_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.votes(derived(spark, sf_dir, OFFERS).select("row_idx", "market"))
+
+
+CONFIRMED = "CASE cast(offer_idx % 4 as int) WHEN 0 THEN NULL WHEN 1 THEN 'PDP·GTIN' WHEN 2 THEN 'PDP·SKU·norm' ELSE 'json_ld' END"
+
+
+@query(f"WITH c AS ({plain(CANDIDATES)}) SELECT catalog_idx, offer_idx FROM c WHERE offer_idx % 9 <> 0 AND (layer_source <> 'semantic' OR starts_with(coalesce({CONFIRMED}, ''), 'PDP·'))")
+def strict_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, CANDIDATES).withColumn("confirmation_method", F.expr(CONFIRMED)).withColumn("gtin_conflict", F.expr("CASE WHEN offer_idx % 9 = 0 THEN true WHEN offer_idx % 9 = 1 THEN false END"))
+    return landscape.identity_confirmed(rows).select("catalog_idx", "offer_idx")
+
+
+@query(
+    f"{WITH}, {EXACT_SQL}, b AS (SELECT *, CASE WHEN conflict THEN 0.7 ELSE 0.95 END AS sure, count(*) OVER (PARTITION BY catalog_idx) AS n, row_number() OVER (PARTITION BY catalog_idx ORDER BY conflict, offer_idx) AS r FROM exact_) "
+    "SELECT c.row_idx AS catalog_idx, c.sku AS catalog_sku, c.title AS catalog_title, coalesce(o.title, '') AS matched_competitor_title, coalesce(o.brand, '') AS matched_competitor_brand, CASE WHEN b.r IS NULL THEN '' ELSE coalesce(cast(o.price as varchar), 'None') END AS matched_price, "
+    "coalesce(cast(o.shipping_cost as varchar), '') AS matched_shipping, coalesce(o.url, '') AS matched_url, CASE WHEN b.r IS NULL THEN '' WHEN conflict THEN '0.7000' ELSE '0.9500' END AS confidence, CASE WHEN b.r IS NULL THEN '' WHEN conflict THEN 'MEDIUM' ELSE 'HIGH' END AS confidence_level, "
+    "coalesce(b.match_method, '') AS match_method, coalesce(n, 0) AS all_candidates_count FROM catalog c LEFT JOIN b ON c.row_idx = b.catalog_idx AND b.r = 1 LEFT JOIN offers o ON b.offer_idx = o.row_idx"
+)
+def best_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, offers = inputs(spark, sf_dir)
+    none = catalog.select(F.col("row_idx").alias("catalog_idx"), F.lit(0).alias("rejected_count"))
+    return landscape.best_rows(catalog, exact_accepted(catalog, offers), offers, none).drop("catalog_ean", "catalog_brand", "catalog_market", "matched_currency", "matched_source", "match_details", "rejected_count")
+
+
+@query(f"WITH h AS ({plain(HITS)}) SELECT hit_idx AS catalog_idx, title, url, price, CASE WHEN price IS NOT NULL THEN 'EUR' END AS currency FROM h")
+def web_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit put into a result page with its redirect, and an advertisement of the engine."""
+    body = F.concat(
+        F.lit('<html><body><div class="result x"><a class="result__a" href="https://duckduckgo.com/y.js?ad=1">ad</a></div><div class="result"><h2><a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode("url"), F.lit('&amp;rut=1">'), F.col("title"),
+        F.lit('</a></h2><a class="result__snippet">'), F.coalesce(F.concat(F.lit("solo "), F.col("price").cast("int").cast("string"), F.lit(" &euro;")), F.lit("ask<br>us")), F.lit("</a></div>")
+    )
+    made = derived(spark, sf_dir, HITS).select(F.col("hit_idx").alias("catalog_idx"), body.alias("body"))
+    return result_pages.duckduckgo(made).select("catalog_idx", "title", "url", "price", "currency")
+
+
+@query(f"WITH h AS ({plain(HITS)}) SELECT hit_idx AS catalog_idx, title, concat('https://www.example.it/go/', cast(hit_idx as varchar)) AS url, price + 0.5 AS price, CASE hit_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 4.99 END::decimal(18,4) AS shipping_cost FROM h WHERE price IS NOT NULL")
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit put into a listing's row; rows without a price give no offer."""
+    price = F.coalesce(F.concat(F.lit('<b class="item_price">'), F.col("price").cast("int").cast("string"), F.lit(",50 &euro;</b>")), F.lit(""))
+    shipping = F.when(F.col("hit_idx") % 3 == 0, '<i class="item_delivery">Spedizione Gratis</i>').when(F.col("hit_idx") % 3 == 1, '<i class="item_delivery">4,99 &euro;</i>').otherwise("")
+    body = F.concat(F.lit('<ul><li class="item"><a href="/go/'), F.col("hit_idx").cast("string"), F.lit('">'), F.col("title"), F.lit("</a>"), price, shipping, F.lit("</li></ul>"))
+    made = derived(spark, sf_dir, HITS).select(F.col("hit_idx").alias("catalog_idx"), body.alias("body"), F.lit("https://www.example.it/list").alias("url"))
+    return result_pages.trovaprezzi(made).select("catalog_idx", "title", "url", "price", "shipping_cost")
+
+
+@query()
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", result_pages.visible_text("html").alias("text"))

@@ -93,16 +93,28 @@ def catalog(raw: DataFrame, market: str = "IT") -> DataFrame:
     return required(out, ("sku", "title", "brand"))
 
 
+def numbered(df: DataFrame, bits: int = 20) -> DataFrame:
+    """df with number: the place, from 1, in the order of row_idx.
+
+    Rows are ranked within ranges of 2^bits ids; only the ranges' counts are summed up in one task.
+    """
+    rows = df.withColumn("range_", F.shiftright("row_idx", bits))
+    counts = rows.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = counts.select("range_", (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("before_"))
+    rank = F.row_number().over(Window.partitionBy("range_").orderBy("row_idx"))
+    return rows.withColumn("rank_", rank).join(before, "range_").withColumn("number", F.col("before_") + F.col("rank_")).drop("range_", "rank_", "before_")
+
+
 def offers(raw: DataFrame, market: str = "IT") -> DataFrame:
     """Offers from raw rows; the market is the run's. A price that cannot be read is an error."""
     c = {k: field(raw, v) for k, v in OFFER_COLUMNS.items()}
-    number = F.row_number().over(Window.orderBy("row_idx"))
     names = {x.lower(): x for x in raw.columns}
     shipping = F.coalesce(*(F.when(F.trim(F.col(f"`{names[a]}`")) != "", F.col(f"`{names[a]}`")) for a in SHIPPING_COLUMNS if a in names), F.lit(None).cast("string"))
     unnamed = raw.where(c["source_id"].isNull()).limit(1).count() > 0
-    ident = F.coalesce(c["source_id"], F.concat(F.lit("row-"), number.cast("string"))) if unnamed else c["source_id"]
+    ident = F.coalesce(c["source_id"], F.concat(F.lit("row-"), F.col("number_").cast("string"))) if unnamed else c["source_id"]
+    rows = raw.join(numbered(raw.select("row_idx")).select("row_idx", F.col("number").alias("number_")), "row_idx") if unnamed else raw
     place = F.lit(market)
-    out = raw.select(
+    out = rows.select(
         "row_idx", F.lower(F.coalesce(c["source"], F.lit("oxylabs"))).alias("source"), ident.alias("source_id"), F.trim(c["title"]).alias("title"), money.price(c["price"], place).alias("price"), c["price"].alias("price_text"), F.coalesce(c["currency"], F.lit("EUR")).alias("currency"),
         F.coalesce(c["url"], F.lit("")).alias("url"), place.alias("market"), identifiers.ean(c["ean"]).alias("ean"), identifiers.gtin(c["gtin"]).alias("gtin"), c["sku"].alias("sku"), c["brand"].alias("brand"), money.loose_price(shipping).alias("shipping_cost"), F.lit(None).cast("string").alias("shipping_source"),
         F.lit(None).cast("boolean").alias("vat_included"), F.lit(None).cast("int").alias("stock_quantity"), offer_functions.availability(c["availability"]).alias("availability"), c["seller"].alias("seller"), c["scraped_at"].alias("scraped_at"),
@@ -112,9 +124,14 @@ def offers(raw: DataFrame, market: str = "IT") -> DataFrame:
     return required(out.withColumn("price_text", F.col("price").cast("string")), ("price_text",)).drop("price_text")
 
 
+def votes(rows: DataFrame) -> DataFrame:
+    """market, n: the most frequent market, the earlier one of equals."""
+    counts = rows.where("market is not null").groupBy("market").agg(F.count("*").alias("n"), F.min("row_idx").alias("i"))
+    return counts.orderBy(F.col("n").desc(), "i").limit(1).select("market", "n")
+
+
 def vote(rows: DataFrame) -> str | None:
-    """The most frequent market, the earlier one of equals; one row goes to the driver."""
-    best = rows.where("market is not null").groupBy("market").agg(F.count("*").alias("n"), F.min("row_idx").alias("i")).orderBy(F.col("n").desc(), "i").first()
+    best = votes(rows).first()
     return None if best is None else best.market
 
 

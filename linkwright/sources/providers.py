@@ -7,18 +7,24 @@ no JSON give no hits. Fetching them is outside: any Spark source that yields bod
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, money
 from ..functions.money import MONEY
 
 
-def hits(df: DataFrame, provider: str, title: Column, url: Column, snippet: Column | None = None, price: Column | None = None, currency: Column | None = None, shipping: Column | None = None, ean: Column | None = None) -> DataFrame:
+def hits(df: DataFrame, provider: str, title: Column, url: Column, snippet: Column | None = None, price: Column | None = None, currency: Column | None = None, shipping: Column | None = None, ean: Column | None = None, titled: bool = True) -> DataFrame:
     empty = F.lit(None).cast("string")
     col = lambda c, kind="string": (empty if c is None else c).cast(kind)
     out = df.select("catalog_idx", F.col("hit_idx").cast("long"), F.lit(provider).alias("source_provider"), title.alias("title"), url.alias("url"), col(snippet).alias("snippet"), col(price, MONEY).alias("price"), col(currency).alias("currency"), col(shipping, MONEY).alias("shipping_cost"), col(ean).alias("ean"))
-    return out.where("coalesce(title, '') <> '' and coalesce(url, '') <> ''")
+    return out.where("coalesce(url, '') <> ''").where(F.lit(not titled) | (F.coalesce("title", F.lit("")) != ""))
+
+
+def first_hits(found: DataFrame, most: int) -> DataFrame:
+    """The first hits of each product's search."""
+    place = F.row_number().over(Window.partitionBy("catalog_idx").orderBy("hit_idx"))
+    return found.withColumn("place_", place).where(F.col("place_") <= most).drop("place_")
 
 
 def items(answers: DataFrame, schema: str, *path: str) -> DataFrame:
@@ -47,13 +53,13 @@ def ebay(answers: DataFrame) -> DataFrame:
     return hits(rows, "ebay", F.col("x.title"), F.col("x.itemWebUrl"), None, F.col("x.price.value").try_cast(MONEY), F.col("x.price.currency"), shipping, F.col("x.gtin"))
 
 
-def dataforseo(answers: DataFrame) -> DataFrame:
-    """Three nested lists; only answers of status 20000 count, only items with a price."""
+def dataforseo(answers: DataFrame, result_limit: int = 20) -> DataFrame:
+    """Three nested lists; only answers of status 20000 count, only items with a price, the first of a search."""
     good = answers.where(F.get_json_object("body", "$.status_code") == "20000")
     rows = items(good, "struct<tasks:array<struct<result:array<struct<items:array<struct<title:string,url:string,description:string,price:string,currency:string>>>>>>>", "tasks", "result", "items")
     price = F.coalesce(F.col("x.price").try_cast(MONEY), F.get_json_object("x.price", "$.current").try_cast(MONEY))
     currency = F.coalesce("x.currency", F.get_json_object("x.price", "$.currency"))
-    return hits(rows, "dataforseo", F.col("x.title"), F.col("x.url"), F.col("x.description"), price, currency).where("price is not null")
+    return first_hits(hits(rows, "dataforseo", F.col("x.title"), F.col("x.url"), F.col("x.description"), price, currency).where("price is not null"), max(1, result_limit))
 
 
 def serper(answers: DataFrame, market: str = "IT") -> DataFrame:

@@ -1,0 +1,69 @@
+"""Hits read from result pages, numbering of rows, and the first hits of a search, on literals."""
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from linkwright.operators import landscape
+from linkwright.sources import files, providers, result_pages
+
+WEB = """
+<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fwww.shop.it%2Fa%3Fb%3D1&amp;rut=x">Lamp <b>red</b></a>
+<a class="result__snippet">only 1.299,00 &euro; today</a></div>
+<div class="web-result"><a class="result__a" href="https://duckduckgo.com/y.js?ad">ad</a></div>
+<div class="result"><a class="result__a">no address</a></div>
+<div class="result"><p>unclosed<a class="result__a" href="https://b.it/">B</a></div>
+"""
+LISTING = """
+<ul><li class="item"><a href="/go/1">Lamp</a><span class="item_price">1.234,50 &euro;</span><span class="item_delivery">Spedizione GRATIS</span></li>
+<li class="item"><a href="https://x.it/2"></a><span class="merchant">Shop X</span><span class="price">9,90</span><span class="item_shipping">5,00 &euro;</span></li>
+<li class="item"><a href="/go/3">no price</a></li>
+<li class="item"><a href="/go/4">odd</a><span class="price">ask</span><span class="item_delivery"> </span></li></ul>
+"""
+
+
+def test_web_results(spark):
+    pages = spark.createDataFrame([(1, WEB), (2, None), (3, ""), (4, "<div class='result'")], "catalog_idx long, body string")
+    rows = sorted(tuple(r) for r in result_pages.duckduckgo(pages).select("catalog_idx", "title", "url", "snippet", "price", "currency").collect())
+    assert rows == [(1, "B", "https://b.it/", None, None, None), (1, "Lampred", "https://www.shop.it/a?b=1", "only 1.299,00 € today", Decimal("1299.0000"), "EUR")]
+
+
+def test_listing(spark):
+    pages = spark.createDataFrame([(1, LISTING, "https://cmp.it/q?x=1"), (2, None, None)], "catalog_idx long, body string, url string")
+    rows = {r.url: (r.title, r.price, r.shipping_cost) for r in result_pages.trovaprezzi(pages).collect()}
+    assert rows == {
+        "https://cmp.it/go/1": ("Lamp", Decimal("1234.5000"), Decimal("0.0000")),
+        "https://x.it/2": ("Shop X", Decimal("9.9000"), Decimal("5.0000")),
+        "https://cmp.it/go/4": ("odd", None, None),
+    }
+
+
+def test_visible_text(spark):
+    page = "<html><head><title>t</title></head><body><nav>menu</nav><main>One <b>two</b><script>x()</script><form>no</form> three</main><p>out</p></body></html>"
+    rows = spark.createDataFrame([(page,), (None,), ("plain<br>text",), ("",)], "html string").select(result_pages.visible_text("html")).collect()
+    assert [r[0] for r in rows] == ["One two three", None, "plain text", ""]
+
+
+def test_numbers_follow_row_idx(spark):
+    ids = [5, 0, 3, 1 << 20, (1 << 33) + 7, 1 << 33]
+    rows = files.numbered(spark.createDataFrame([(i,) for i in ids], "row_idx long")).collect()
+    assert {r.row_idx: r.number for r in rows} == {i: k for k, i in enumerate(sorted(ids), 1)}
+
+
+def test_unnamed_offers_are_numbered(spark):
+    raw = spark.createDataFrame([(7, "a", "1"), (9, "b", "2")], "row_idx long, title string, price string")
+    assert {r.title: r.source_id for r in files.offers(raw).collect()} == {"a": "row-1", "b": "row-2"}
+
+
+def test_first_hits(spark):
+    found = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 9)], "catalog_idx long, hit_idx long")
+    assert sorted(map(tuple, providers.first_hits(found, 2).collect())) == [(1, 1), (1, 2), (2, 9)]
+
+
+def test_best_rows_show_unpriced_and_missing(spark):
+    catalog = spark.createDataFrame([(1, "A"), (2, "B")], "row_idx long, sku string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("ean", "title", "brand", "market")))
+    accepted = spark.createDataFrame([(1, 5, 0.95, "HIGH", "EXACT_EAN", 1)], "catalog_idx long, offer_idx long, confidence double, confidence_level string, match_method string, cand_rank int").withColumn("details", F.struct(F.lit("ean").alias("matched_on")))
+    offers = spark.createDataFrame([(5, "o")], "row_idx long, title string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("brand", "price", "currency", "shipping_cost", "source", "url")))
+    rejected = spark.createDataFrame([(2, 4)], "catalog_idx long, rejected_count long")
+    rows = {r.catalog_sku: (r.matched_price, r.confidence, r.match_details, r.all_candidates_count, r.rejected_count) for r in landscape.best_rows(catalog, accepted, offers, rejected).collect()}
+    assert rows == {"A": ("None", "0.9500", '{"matched_on":"ean"}', 1, 0), "B": ("", "", "", 0, 4)}
