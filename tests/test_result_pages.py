@@ -4,6 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from linkwright.functions import offers
 from linkwright.operators import landscape
 from linkwright.sources import files, providers, result_pages
 
@@ -38,6 +39,14 @@ def test_listing(spark):
     }
 
 
+def test_malformed_pages(spark):
+    row = '<![foo[x]]><li class="item"><a href="http://[bad">t</a><b class="price">1</b></li><div class="item"><a href="u">v</a><b class="price">2</b><![if'
+    pages = spark.createDataFrame([(1, row, "https://cmp.it/")], "catalog_idx long, body string, url string")
+    assert [(r.url, r.price) for r in result_pages.trovaprezzi(pages).collect()] == [("https://cmp.it/u", Decimal("2.0000"))]
+    addresses = spark.createDataFrame([("http://[bad ",), (None,), ("HTTP://www.A.it/x/?utm_id=1&b=2",)], "u string").select(offers.url("u")).collect()
+    assert [r[0] for r in addresses] == ["http://[bad", None, "http://a.it/x?b=2"]
+
+
 def test_visible_text(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><main>One <b>two</b><script>x()</script><form>no</form> three</main><p>out</p></body></html>"
     rows = spark.createDataFrame([(page,), (None,), ("plain<br>text",), ("",)], "html string").select(result_pages.visible_text("html")).collect()
