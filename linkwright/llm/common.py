@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.shared import checkpointed as checkpointed
+
 #: Bytes of "item words": ASCII letters (lower-cased) and digits, and every byte above ASCII.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Lower-cases A-Z alone, in texts and in bytes.
@@ -36,33 +40,38 @@ def utf8(text: str) -> bytes:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session has set its own bound."""
+    """Bound the rows of an Arrow batch, unless the session has set its own bound.
+
+    Spark takes the bound when a plan runs, so it stays set in the session, for its other queries too.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, with its lineage cut.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; columns of a kind that has no hash, such as maps, are left out."""
 
-    The folder is the session's spark.checkpoint.dir; where that is unset, as in tests,
-    a temporary folder of this machine is used.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def has_hash(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return has_hash(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(has_hash(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (T.MapType, T.VariantType))
 
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if has_hash(f.dataType)))
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, set on the context; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if folder is None:
-            import tempfile
 
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder or current
+def with_hot_keys(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 10_000) -> DataFrame:
+    """left joined with right, which has one row a key and in n_ how many of left's ``total`` rows bear it.
+
+    Keys with more than 1 / ``share`` of the rows, of which there are fewer than ``share``, are sent to
+    all tasks; the others are shuffled. So no task gets all rows of a hot key. Both are read twice.
+    """
+    hot = F.col("n_") * share > total
+    sent = F.broadcast(right.where(hot).drop("n_"))
+    rest = left.join(sent.select(key), key, "left_anti").join(right.where(~hot).drop("n_"), key)
+    return left.join(sent, key).unionByName(rest)
 
 
 def map_texts(
@@ -101,6 +110,32 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 3, held: int = 200_000) -> DataFrame:
+    """w, n: in how many documents each word stands that is of letters alone and not shorter than that.
+
+    A task holds at most so many counts at once, and a text's own; they are summed before the shuffle.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = [(s, n) for w, n in counts.items() if len(w) >= least_chars and (s := w.decode("utf-8", "replace")).isalpha() and len(s) >= least_chars]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts.update(set(item_words(t)))
+                if len(counts) > held:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    return docs.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 

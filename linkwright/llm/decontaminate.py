@@ -10,17 +10,20 @@ The index's alphabet is the benchmark's vocabulary. A word outside it can stand
 so it ends a run of the shard's text, and a run shorter than the shortest window holds no
 occurrence; both are left out of the suffix array, which changes no result.
 
-No shuffle: documents stay in their partition, and a shard is a stretch of one. The benchmark
-goes to the tasks in blocks of at most ``block_bytes`` of text; a larger benchmark makes more
-passes over the shards, each merging into what the passes before it found.
-
-Defined cases: a null or empty text has no words and no hits; a null or empty item has no
-window; repeated items and repeated documents are each answered alike; an item of fewer words
-than a window is one window; input columns that bear the name of a result column are replaced.
+No shuffle: documents stay in their partition, and a shard is a stretch of one. The benchmark is
+written once to the shared folder; tasks read it from there in blocks of at most ``block_bytes``
+of text, and search every block in the one index of their shard. Neither the driver nor a task
+holds more of the benchmark than a block; the words of the shard's texts are held as codes.
+
+Defined cases: a null or empty text has no words and no hits; a null or empty item text has no
+window; items without an id are one nameless item, null in ``items`` and last there; repeated
+items and repeated documents are each answered alike; an item of fewer words than a window is
+one window; input columns that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.shared import Spool
 from .common import LOWER_STR, WORD_RE, item_words, merge_spans, small_batches
 
 #: Result columns: words of the text, words hit, spans to remove as code points, items with an occurring window.
@@ -146,52 +150,67 @@ def tied(ranks: np.ndarray, pos: np.ndarray) -> np.ndarray:
 class Windows:
     """The distinct windows of benchmark items as word codes, by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.codes: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        found: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for item, text in items:
-            words = [self.codes.setdefault(w, len(self.codes) + 1) for w in item_words(text)]
+            words = [self.codes.setdefault(w, len(self.codes)) for w in item_words(text)]
             size = min(width, len(words))
             for i in range(len(words) - size + 1 if size else 0):
                 found.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.by_length = [(size, np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for size, w in sorted(found.items())]
+        self.by_length = [(size, np.array(list(w), np.int64), list(w.values())) for size, w in sorted(found.items())]
         self.shortest = self.by_length[0][0] if found else 0
 
 
-def shard_hits(windows: Windows, texts: list[str | None]) -> tuple[list[int], dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-    """Words of each text; the merged word spans and the items of those that are hit."""
-    n_words, pieces, doc_of, word_of = [], [], [], []
-    for d, text in enumerate(texts):
-        words = item_words(text)
-        n_words.append(len(words))
-        if not words or not windows.shortest:
-            continue
-        codes = np.fromiter(map(windows.codes.get, words, repeat(0)), np.int32, len(words))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], codes > 0, [0]))))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= windows.shortest:
-                pieces += [codes[a:b], np.zeros(1, np.int32)]
-                doc_of.append(d)
-                word_of.append(a)
-    spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = {}
-    if not pieces:
-        return n_words, spans, items
-    starts = np.cumsum([0] + [len(p) + 1 for p in pieces[::2]])[:-1]
-    index = FMIndex(np.concatenate(pieces), len(windows.codes))
-    for size, patterns, owners in windows.by_length:
-        lo, hi = index.search(patterns)
-        some = np.flatnonzero(hi > lo)
-        count = hi[some] - lo[some]
-        which = np.repeat(some, count)
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[some], count)
-        at = index.locate(rows)
-        run = np.searchsorted(starts, at, "right") - 1
-        for w, r, p in zip(which.tolist(), run.tolist(), at.tolist(), strict=True):
-            first = word_of[r] + p - int(starts[r])
-            spans.setdefault(doc_of[r], []).append((first, first + size))
-            items.setdefault(doc_of[r], set()).update(owners[w])
-    return n_words, {d: merge_spans(s) for d, s in spans.items()}, items
+class Shard:
+    """Texts under one FM-index, whose alphabet are the words that some block of the benchmark has too."""
+
+    def __init__(self, texts: list[str | None], blocks: Iterator[Windows]):
+        words = [item_words(t) for t in texts]
+        self.n_words = [len(w) for w in words]
+        distinct, common = set().union(*words), set()
+        self.shortest = 0
+        for block in blocks:
+            common |= distinct & block.codes.keys()
+            if block.shortest:
+                self.shortest = min(self.shortest or block.shortest, block.shortest)
+        self.codes = {w: i for i, w in enumerate(sorted(common), 1)}
+        pieces: list[np.ndarray] = []
+        self.doc_of, self.word_of = [], []
+        for d, here in enumerate(words):
+            if not here or not self.codes:
+                continue
+            codes = np.fromiter(map(self.codes.get, here, repeat(0)), np.int32, len(here))
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], codes > 0, [0]))))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= self.shortest:
+                    pieces += [codes[a:b], np.zeros(1, np.int32)]
+                    self.doc_of.append(d)
+                    self.word_of.append(a)
+        self.starts = np.cumsum([0] + [len(p) + 1 for p in pieces[::2]])[:-1]
+        self.index = FMIndex(np.concatenate(pieces), len(self.codes)) if pieces else None
+
+    def occurrences(self, windows: Windows) -> Iterator[tuple[int, int, int, set[str | None]]]:
+        """document, first word, words, and items, of each place where a window stands."""
+        if self.index is None:
+            return
+        here = np.fromiter(map(self.codes.get, windows.codes, repeat(0)), np.int64, len(windows.codes))
+        for size, patterns, owners in windows.by_length:
+            coded = here[patterns]
+            able = np.flatnonzero((coded > 0).all(axis=1))
+            lo, hi = self.index.search(coded[able])
+            some = np.flatnonzero(hi > lo)
+            count = hi[some] - lo[some]
+            which = np.repeat(able[some], count)
+            rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[some], count)
+            at = self.index.locate(rows)
+            run = np.searchsorted(self.starts, at, "right") - 1
+            for w, r, p in zip(which.tolist(), run.tolist(), at.tolist(), strict=True):
+                yield self.doc_of[r], self.word_of[r] + p - int(self.starts[r]), size, owners[w]
+
+
+def named(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
 
 
 def find_contamination(
@@ -206,57 +225,46 @@ def find_contamination(
 ) -> DataFrame:
     """docs with the columns of HITS: words, words hit, spans to remove and the items met.
 
-    ``shard_chars`` bounds the text of one index, ``block_bytes`` the benchmark text sent to
-    the tasks at once.
+    ``shard_chars`` bounds the text of one index, ``block_bytes`` the benchmark text that a task
+    holds at once. A benchmark of several blocks is read twice for each shard: for its words,
+    which make the alphabet, and for its windows.
     """
     small_batches(docs.sparkSession)
-    names = {f.name for f in T.StructType.fromDDL(HITS).fields}
-    out = docs.select(*(c for c in docs.columns if c.lower() not in names))
-    for k, block in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        out = one_pass(out, block, width, text, shard_chars, first=k == 0)
-    return out
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of at most so many bytes each; one empty block where there is no item."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0)).alias("b")).first().b
-    parts = 2 * (total // block_bytes) + 1
-    for part in range(parts):
-        chosen = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        yield [(r.item, r.text) for r in chosen.toLocalIterator()]
-
-
-def one_pass(docs: DataFrame, items: list[tuple[str, str | None]], width: int, text: str, shard_chars: int, first: bool) -> DataFrame:
     fields = T.StructType.fromDDL(HITS).fields
-    kept = docs.columns if first else docs.columns[: -len(fields)]
-    schema = T.StructType([docs.schema[c] for c in kept] + fields)
+    names = {f.name for f in fields}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names))
+    items = Spool(benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null"), block_bytes)
+    schema = T.StructType([*docs.schema.fields, *fields])
     arrow = to_arrow_schema(schema)
-    at = docs.columns.index(text)
+    at, columns = docs.columns.index(text), len(docs.columns)
+
+    def blocks() -> Iterator[Windows]:
+        return items.blocks(lambda t: Windows(list(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)), width))
 
-    def finish(held: list[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    def finish(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x for b in held for x in b.column(at).to_pylist()]
-        n_words, spans, items_of = shard_hits(windows, texts)
+        shard = Shard(texts, blocks())
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items_of: dict[int, set[str | None]] = defaultdict(set)
+        for block in blocks():
+            for d, first, size, owners in shard.occurrences(block):
+                places[d].append((first, first + size))
+                items_of[d] |= owners
         begin = 0
         for batch in held:
             rows = range(begin, begin + batch.num_rows)
             begin += batch.num_rows
-            before = None if first else [batch.column(i).to_pylist() for i in range(len(kept), len(kept) + 4)]
-            hit, cut, met = [], [], []
-            for k, d in enumerate(rows):
-                chars, items_here = word_spans(texts[d], spans.get(d, [])), items_of.get(d, set())
-                if before is not None:
-                    chars = merge_spans(chars + [(s["start"], s["end"]) for s in before[2][k]])
-                    items_here = items_here | set(before[3][k])
-                hit.append(sum(b - a for a, b in spans.get(d, [])) if before is None else count_words(texts[d], chars))
-                cut.append([{"start": a, "end": b} for a, b in chars])
-                met.append(sorted(items_here))
-            new = [[n_words[d] for d in rows], hit, cut, met]
-            arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(v, arrow.field(f.name).type) for v, f in zip(new, fields, strict=True)]
+            words = [merge_spans(places.get(d, [])) for d in rows]
+            new = [
+                [shard.n_words[d] for d in rows],
+                [sum(b - a for a, b in w) for w in words],
+                [[{"start": a, "end": b} for a, b in word_spans(texts[d], w)] for d, w in zip(rows, words, strict=True)],
+                [named(items_of.get(d, set())) for d in rows],
+            ]
+            arrays = [batch.column(i) for i in range(columns)] + [pa.array(v, arrow.field(f.name).type) for v, f in zip(new, fields, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, width)
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -265,10 +273,10 @@ def one_pass(docs: DataFrame, items: list[tuple[str, str | None]], width: int, t
             held.append(batch)
             size += batch.column(at).nbytes
             if size >= shard_chars:
-                yield from finish(held, windows)
+                yield from finish(held)
                 held, size = [], 0
         if held:
-            yield from finish(held, windows)
+            yield from finish(held)
 
     return docs.mapInArrow(run, schema)
 
@@ -281,10 +289,6 @@ def word_spans(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int
     return merge_spans([(places[a][0], places[b - 1][1]) for a, b in spans])
 
 
-def count_words(text: str | None, chars: list[tuple[int, int]]) -> int:
-    return sum(len(WORD_RE.findall(text[a:b].translate(LOWER_STR))) for a, b in chars) if chars else 0
-
-
 def remove_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """docs with each span of the text replaced by one space, where it has any; no other text changes."""
     cut = F.aggregate(

@@ -29,7 +29,7 @@ def decontaminated(docs, items, width=10):
         words = item_words(text)
         size = min(width, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            windows[tuple(words[i : i + size])].add(str(item))
+            windows[tuple(words[i : i + size])].add(None if item is None else str(item))
     sizes = {len(w) for w in windows}
     out = []
     for _, text in docs:
@@ -39,7 +39,7 @@ def decontaminated(docs, items, width=10):
                 if found := windows.get(tuple(words[i : i + size])):
                     hit.update(range(i, i + size))
                     met |= found
-        out.append((len(words), len(hit), len(met), sha(",".join(sorted(met)))))
+        out.append((len(words), len(hit), len(met), sha(",".join(sorted(met - {None})))))
     return out
 
 
