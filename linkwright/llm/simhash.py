@@ -12,7 +12,9 @@ are dropped, and the rest are verified by their differing bits.
 Equal fingerprints are one node, so copies never make pairs. Within a posting only a spanning
 forest of the links is emitted, at most one link a member; connected components, which are what
 the result needs, lose nothing by it. Components come from min-label contraction of the links
-(large star, small star) with checkpoints; nothing is collected.
+(large star, small star) with checkpoints; nothing is collected. A fingerprint, a component or a
+star's centre with more than 1 in 10,000 of the rows meets them by broadcast, of which there can be
+fewer than 10,000, the others by a shuffle.
 
 A posting with more members than ``posting_rows``, estimated from a sample of the fingerprints,
 is split in blocks, and each pair of blocks is its own group: the work spreads over tasks and no
@@ -20,7 +22,8 @@ pair is lost. The estimate only decides the split, never the result.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; repeated rows return one row each with the same component;
-a null doc_id gets its component's smallest id, null if the component has none.
+a null doc_id gets its component's smallest id, null if the component has none. Of a group one row
+is kept, also where ids are missing, repeated or shared by different texts.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, checkpointed, map_texts, utf8
+from .common import LOWER_BYTES, checkpointed, map_texts, row_hash, utf8, with_hot_keys
 
 BYTES = 8
 
@@ -184,16 +187,17 @@ def forest(members: np.ndarray, bits: int) -> np.ndarray:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node reachable, for each node of an edge (a, b).
 
-    Large-star and small-star steps in turn until the edges are stars. Each step takes a
+    Large-star and small-star steps in turn until the edges are stars, which takes rounds in the
+    order of the square of the logarithm of the nodes; an error after ``max_rounds``. Each step takes a
     node's smallest neighbour by a grouped minimum (map-side combined) and joins it back, so a
     node with very many neighbours is never gathered.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("m < a").select("a", F.col("m").alias("b")))
-        large = large.where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_")).select("a", F.least("a", "m").alias("m"), "n_")
+        far = with_hot_keys(both, low, "a", 2 * edges.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = far.union(low.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(root.select("a", F.col("m").alias("b")))
         after = checkpointed(small.where("a <> b").distinct())
@@ -209,39 +213,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def grouped(docs: DataFrame, bits: int, width: int, text: str, key: str) -> DataFrame:
+    """key, row (a hash of all columns), fp, root (the component), component_id, of each document."""
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), row_hash(docs).alias("row"))
+    marked = checkpointed(fingerprints(slim, width, "text", ["key", "row"]))
+    smallest = checkpointed(marked.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n_")))
+    roots = components(links(smallest.select("fp"), bits))
+    label = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "least", "n_", F.coalesce("root", "fp").alias("root"))
+    label = checkpointed(label)
+    ids = label.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_"))
+    named = with_hot_keys(label.withColumnRenamed("n_", "copies"), ids, "root", label.count()).withColumnRenamed("copies", "n_")
+    return with_hot_keys(marked, checkpointed(named.select("fp", "root", "component_id", "n_")), "fp", marked.count())
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fp, component_id (the smallest key reachable over links, itself included)."""
-    marked = checkpointed(fingerprints(docs, width, text, [key]))
-    smallest = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    edges = links(marked.select("fp").distinct(), bits)
-    roots = components(edges)
-    label = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    label = checkpointed(label)
-    ids = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = label.join(ids, "root").select("fp", "component_id")
-    return marked.join(label, "fp").select(key, "fp", "component_id")
+    return grouped(docs, bits, width, text, key).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest key; of equal keys, one whole row.
-
-    A group of documents without keys keeps one of them, chosen by a hash of its text.
-    """
-    columns = docs.columns
-    found = near_duplicates(docs, bits, width, text, key).select(F.col(key), F.col("fp"), F.col("component_id"))
-    nameless = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    chosen = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("chosen_")).distinct()
-    kept = docs.join(chosen, docs[key] == chosen["chosen_"], "left_semi")
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("again_"))
-    repeated = checkpointed(repeated)
-    if not repeated.isEmpty():
-        single = kept.join(repeated, kept[key] == repeated["again_"], "left_anti")
-        one = Window.partitionBy(key).orderBy(F.xxhash64(text), F.xxhash64(*columns))
-        again = kept.join(repeated, kept[key] == repeated["again_"], "left_semi")
-        kept = single.unionByName(again.withColumn("n_", F.row_number().over(one)).where("n_ = 1").drop("n_"))
-    nameless = checkpointed(nameless)
-    if not nameless.isEmpty():
-        lone = fingerprints(docs.where(F.col(key).isNull()), width, text).join(nameless, "fp", "left_semi")
-        one = Window.partitionBy("fp").orderBy(F.xxhash64(text), F.xxhash64(*columns))
-        kept = kept.unionByName(lone.withColumn("n_", F.row_number().over(one)).where("n_ = 1").select(*columns))
-    return kept.select(*columns)
+    """One document of each group: the one with the smallest key, rows without a key last; among
+    several of that key, one chosen by a hash of its whole row, and one of rows alike in all columns."""
+    found = grouped(docs, bits, width, text, key)
+    alike = found.groupBy("root", "key", "row").agg(F.count("*").alias("n"))
+    chosen = alike.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "row", "n")).alias("c"))
+    chosen = checkpointed(chosen.select(F.col("c.key").alias("chosen"), F.col("c.row").alias("chosen_row"), F.col("c.n").alias("n")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), row_hash(docs).alias("row"))
+
+    def kept(which: DataFrame) -> DataFrame:
+        return rows.join(which, (rows["row"] == which["chosen_row"]) & rows["key"].eqNullSafe(which["chosen"]), "left_semi")
+
+    out = kept(chosen.where("n = 1")).select("doc.*")
+    several = chosen.where("n > 1")
+    if several.isEmpty():
+        return out
+    return out.unionByName(kept(several).groupBy("key", "row").agg(F.first("doc").alias("doc")).select("doc.*"))
