@@ -19,36 +19,41 @@ A shard is written under a name of its own attempt and the manifest lists only f
 a lost executor's half-written shard is never read. The manifest is checkpointed: its files are
 written once. Files go through pyarrow's file systems to a shared folder.
 
+A key that fills several ranges by itself, or no key at all, is dealt to as many shards by a hash
+of the values, so no task writes all of its documents.
+
 Defined cases: a null or empty text gives the end id alone; null keys come first; repeated keys
-are kept, each as a document, next to each other in text order; an empty table makes no shard.
+are kept, each as a document, next to each other, in the order of their values' bytes within a
+shard; an empty table makes no shard.
 """
 
 from __future__ import annotations
 
 import bisect
 import io
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, checkpointed, map_texts
+from ..operators.shared import checkpointed, new_folder, open_fs
+from .common import map_texts
 
 MAGIC = b"SSTB0001"
 FOOTER = struct.Struct("<QIQIQQ")  # index offset, length; Bloom offset, length; documents, ids
 TAIL = struct.Struct("<B7s8s")  # width, padding, magic
 FOOTER_BYTES = FOOTER.size + TAIL.size
-SHARD = "path string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
+SHARD = "place int, part int, path string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
 #: White space on which a text can be cut before any tokenizer rule looks across the cut.
 CHUNK = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Code points that some rule calls space beside the six above; a text with any is encoded whole.
@@ -62,21 +67,25 @@ class Encoder:
     """Byte-level BPE by the tokenizers library, with a bounded memory of chunk encodings.
 
     A white-space run and the word after it start and end where the byte-level pre-tokenizer
-    always cuts, so encoding by such chunks equals encoding the whole text.
+    always cuts, so encoding by such chunks equals encoding the whole text. With a tokenizer of
+    another kind, and for a text with a longer chunk than ``longest``, the whole text is encoded.
+    At most ``max_chunks`` chunks and ``max_chars`` of their characters are remembered.
     """
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000):
+    def __init__(self, path: str, max_chunks: int = 1_000_000, max_chars: int = 32 << 20, longest: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_chunks = max_chunks
+        self.max_chunks, self.max_chars, self.longest = max_chunks, max_chars, longest
+        self.cuts_at_space = cuts_at_space(self.tokenizer.to_str())
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.newline = self.whole("\n")
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.bounds = np.zeros(1 << 12, np.int64)
 
@@ -112,7 +121,7 @@ class Encoder:
         self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunked = [None if t and ODD_SPACE.search(t) else CHUNK.findall(t or "") for t in texts]
+        chunked = [None if t and (not self.cuts_at_space or ODD_SPACE.search(t)) else CHUNK.findall(t or "") for t in texts]
         out: list[np.ndarray] = []
         todo = 0
         while todo < len(texts):
@@ -121,11 +130,18 @@ class Encoder:
                 size += len(chunked[stop] or ())
                 stop += 1
             new = set().union(*(c for c in chunked[todo:stop] if c)).difference(self.at)
-            if len(self.at) + len(new) > self.max_chunks:
+            long = {c for c in new if len(c) > self.longest}
+            if long:
+                chunked[todo:stop] = [None if c and not long.isdisjoint(c) else c for c in chunked[todo:stop]]
+                new = set().union(*(c for c in chunked[todo:stop] if c)).difference(self.at)
+            chars = sum(map(len, new))
+            if len(self.at) + len(new) > self.max_chunks or self.chars + chars > self.max_chars:
                 self.forget()
                 new = set().union(*(c for c in chunked[todo:stop] if c))
+                chars = sum(map(len, new))
             if new:
                 self.learn(list(new))
+                self.chars += chars
             for text, chunks in zip(texts[todo:stop], chunked[todo:stop], strict=True):
                 if chunks is None:
                     out.append(np.array(self.whole(text), np.uint32))
@@ -139,6 +155,14 @@ class Encoder:
         return out
 
 
+def cuts_at_space(tokenizer: str) -> bool:
+    """Whether the tokenizer, as JSON, is byte-level without anything that looks across white space."""
+    rules = json.loads(tokenizer)
+    first = rules.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not rules.get("normalizer")
+    return plain and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in rules.get("added_tokens") or ())
+
+
 def grown(values: np.ndarray, n: int) -> np.ndarray:
     """values with room for n; doubled, so that appending is linear."""
     if n <= len(values):
@@ -326,16 +350,34 @@ class Reader:
         return ids
 
 
-def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if re.match(r"[a-z0-9]+:/", uri) else os.path.abspath(uri))
+def shard_places(docs: DataFrame, shards: int) -> tuple[int, Callable[[Column, Column], Column]]:
+    """How many places the keys of column key are dealt to, and the place of a key and its value.
 
-
-def shard_bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
-    """Keys that cut the documents in so many ranges of about equal counts; a bounded list."""
-    if shards < 2:
-        return []
-    cuts = docs.approxQuantile(key, [i / shards for i in range(1, shards)], 0.2 / shards)
-    return sorted({int(c) for c in cuts})
+    Quantiles cut the keys in about ``shards`` ranges. A key that is several quantiles fills as
+    many places, and so do null keys by their number.
+    """
+    n = docs.agg(F.count("*").alias("n"), F.count("key").alias("keys")).first()
+    nulls = -(-(n.n - n.keys) * shards // n.n) if n.n else 0
+    cuts = docs.approxQuantile("key", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
+    times = {int(c): cuts.count(c) for c in sorted(set(cuts))}
+    bounds = list(times)
+    leaves, place = [(nulls, 0, None)], nulls + 1  # the leaf's place, how many its bound alone fills before it, the bound
+    for b in bounds:
+        several = times[b] if times[b] > 1 else 0
+        leaves.append((place + several, several, b))
+        place += several + 1
+
+    def at(key: Column, value: Column) -> Column:
+        def leaf(i: int) -> Column:
+            here, several, bound = leaves[i]
+            if not several:
+                return F.lit(here)
+            return F.when(key == bound, here - several + F.pmod(F.xxhash64(value), F.lit(several)).cast("int")).otherwise(here)
+
+        nameless = F.pmod(F.xxhash64(value), F.lit(max(nulls, 1))).cast("int")
+        return F.when(key.isNull(), nameless).otherwise(tree(key, bounds, 0, len(bounds), leaf))
+
+    return place, at
 
 
 def write_shards(
@@ -354,58 +396,53 @@ def write_shards(
     exceed ``max_file_bytes`` takes several files.
     """
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/sst-{uuid.uuid4().hex}"
+    folder = (folder or new_folder(spark, "sst")).rstrip("/")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = shard_bounds(docs.select(F.col(key).cast("double").alias(key)), key, shards)
+    places, at = shard_places(docs.select(F.col(key).cast("double").alias("key")), shards)
     encoded = encode(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizer, end_id, "text", ["key"])
-    at = F.lit(0)
-    if bounds:
-        # The place among the bounds by binary search: a tree of comparisons.
-        at = F.coalesce(tree(F.col("key"), bounds, 0, len(bounds)), F.lit(0))
-    dealt = encoded.repartitionById(len(bounds) + 1, at.cast("int")).sortWithinPartitions("key", "value")
+    placed = encoded.withColumn("place", at(F.col("key"), F.col("value")).cast("int"))
+    dealt = placed.repartitionById(places, "place").sortWithinPartitions("place", "key", "value")
     width = 2 if _vocab_size(tokenizer) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = open_fs(folder)
         done: list[tuple] = []
-        writer = file = path = None
+        writer = file = name = place = None
 
         def finish() -> None:
             size = writer.close()
             file.close()
-            system.move(f"{path}.part", path)
-            done.append((path, writer.first, writer.last, writer.n_docs, writer.n_ids, size))
+            system.move(f"{top}/{name}.part", f"{top}/{name}")
+            done.append((place, len(done), f"{folder}/{name}", writer.first, writer.last, writer.n_docs, writer.n_ids, size))
 
         for batch in batches:
-            for k, n, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if writer is not None and writer.offset > max_file_bytes:
+            for k, n, value, here in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if writer is not None and (writer.offset > max_file_bytes or here != place):
                     finish()
                     writer = None
                 if writer is None:
                     system.create_dir(top, recursive=True)
-                    path = f"{top}/{uuid.uuid4().hex}.sst"
-                    file = system.open_output_stream(f"{path}.part")
+                    name, place = f"{uuid.uuid4().hex}.sst", here
+                    file = system.open_output_stream(f"{top}/{name}.part")
                     writer = Writer(file, width)
                 writer.add(sort_key(k), value, n)
         if writer is not None:
             finish()
         if done:
             columns = zip(*done, strict=True)
-            kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["path", "first_key", "last_key", "n_docs", "n_ids", "n_bytes"]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            names = [f.split()[0] for f in SHARD.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    manifest = checkpointed(dealt.mapInArrow(run, SHARD))
-    scheme = folder.split(":")[0] if re.match(r"[a-z0-9]+:/", folder) else "file"
-    return manifest.withColumn("scheme", F.lit(scheme))
+    return checkpointed(dealt.mapInArrow(run, SHARD))
 
 
-def tree(value, bounds: list[int], lo: int, hi: int):
-    """How many bounds are at most the value."""
+def tree(value: Column, bounds: list[int], lo: int, hi: int, leaf: Callable[[int], Column]) -> Column:
+    """The leaf for how many bounds are at most the value, by binary search."""
     if lo == hi:
-        return F.lit(lo)
+        return leaf(lo)
     mid = (lo + hi) // 2
-    return F.when(value < bounds[mid], tree(value, bounds, lo, mid)).otherwise(tree(value, bounds, mid + 1, hi))
+    return F.when(value < bounds[mid], tree(value, bounds, lo, mid, leaf)).otherwise(tree(value, bounds, mid + 1, hi, leaf))
 
 
 def _vocab_size(path: str) -> int:
@@ -414,8 +451,8 @@ def _vocab_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def open_shard(path: str, scheme: str = "file") -> Reader:
-    system = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{path}")[0]
+def open_shard(uri: str) -> Reader:
+    system, path = open_fs(uri)
     size = system.get_file_info(path).size
     return Reader(io.BufferedReader(system.open_input_file(path)), size)
 
@@ -427,13 +464,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """
     placed = manifest.withColumn(
         "start",
-        F.coalesce(F.sum("n_ids").over(Window.orderBy("first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("path", "scheme", "start", "n_docs", "n_ids")
+        F.coalesce(F.sum("n_ids").over(Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).select("path", "start", "n_docs", "n_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, scheme, start, n_docs, n_ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                reader = open_shard(path, scheme)
+            for path, start, n_docs, n_ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                reader = open_shard(path)
                 if (reader.n_docs, reader.n_ids) != (n_docs, n_ids):
                     raise ValueError(f"{path} is not the file of the manifest")
                 rows: list[tuple] = []
@@ -460,20 +497,21 @@ def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFra
     """key and ids of the documents with the keys asked for.
 
     Keys are joined to the files whose key range holds them, dealt by file, and looked up there
-    by Bloom filter, sparse index and block.
+    by Bloom filter, sparse index and block. A key that is asked for twice is answered once, a null
+    key finds the documents without one, and each of several documents of a key is a row.
     """
     asked = keys.select(F.col(key).cast("long").alias("key")).distinct()
-    ranges = manifest.select("path", "scheme", "first_key", "last_key")
+    ranges = manifest.select("path", "first_key", "last_key")
     sortable = F.udf(sort_key, "binary")
-    dealt = asked.withColumn("k", sortable("key")).join(ranges, F.col("k").between(F.col("first_key"), F.col("last_key"))).select("path", "scheme", "key", "k").repartition("path").sortWithinPartitions("path", "k")
+    dealt = asked.withColumn("k", sortable("key")).join(ranges, F.col("k").between(F.col("first_key"), F.col("last_key"))).select("path", "key", "k").repartition("path").sortWithinPartitions("path", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path_open, reader = None, None
         for batch in batches:
             out_keys, out_ids = [], []
-            for path, scheme, k, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for path, k, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if path != path_open:
-                    path_open, reader = path, open_shard(path, scheme)
+                    path_open, reader = path, open_shard(path)
                 for ids in reader.get(raw):
                     out_keys.append(k)
                     out_ids.append(ids.tolist())
