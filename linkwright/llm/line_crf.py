@@ -4,14 +4,17 @@ Each line with a word has a feature vector (lengths, shares of symbols, capitals
 words and lines); a two-state chain with learned weights and transitions scores label sequences,
 Viterbi decoding finds the best one, and the share of the text's line bytes that is content
 decides whether the document is kept. The chain is fitted by gradient ascent on the log-likelihood
-(forward-backward) over a bounded sample of labelled documents, whose lines bear the document's
-label.
+(forward-backward) over a bounded sample of labelled documents (``max_rows`` of them and
+``max_lines`` of each). As labels are of documents, training sequences are spliced: the lines of good
+and bad documents, in a fixed random order and as many of each, stand end to end, so the chain sees
+both labels in one sequence and where they change.
 
 Scoring is one pass over whole texts in the tasks that scan them; no shuffle. A text is worked
 on in memory of a fixed multiple of its own length.
 
-Defined cases: a null or empty text has no words and fails the base rules; a text without a
-labelled model is judged by the base rules alone; repeated rows are judged alike.
+Defined cases: a null or empty text has no words and fails the base rules; without labelled documents
+of both kinds a text is judged by the base rules alone; repeated rows are judged alike; a document
+labelled both ways counts as bad; of several texts of one sampled id the one of least hash is taken.
 """
 
 from __future__ import annotations
@@ -152,44 +155,48 @@ class Chain:
         return np.array(out[::-1], bool)
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 200, ridge: float = 0.5, max_lines: int = 256) -> Chain | None:
-    """Maximum likelihood with forward-backward; None without lines of both labels.
+def spliced(documents: list[tuple[np.ndarray, int]], joined: int = 3, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of sequences of so many documents' lines each; both labels are drawn alike often."""
+    rng = np.random.default_rng(seed)
+    of = {y: [x for x, z in documents if z == y and len(x)] for y in (0, 1)}
+    if not of[0] or not of[1]:
+        return []
+    n = max(map(len, of.values()))
+    drawn = [(x, y) for y, xs in of.items() for x in (xs[k % len(xs)] for k in range(n))]
+    drawn = [drawn[k] for k in rng.permutation(len(drawn))]
+    parts = [drawn[i : i + joined] for i in range(0, len(drawn), joined)]
+    return [(np.concatenate([x for x, _ in p]), np.concatenate([np.full(len(x), y) for x, y in p])) for p in parts]
 
-    A training document of more than ``max_lines`` lines is cut to sequences of that length.
-    """
-    parts = [(x[i : i + max_lines], y) for x, y in sequences for i in range(0, len(x), max_lines)]
-    if len({y for _, y in parts}) < 2:
+
+def fit(documents: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 0.5) -> Chain | None:
+    """Maximum likelihood with forward-backward on spliced documents; None without lines of both labels."""
+    parts = sorted(spliced(documents), key=lambda p: len(p[0]))
+    if not parts:
         return None
-    parts.sort(key=lambda p: len(p[0]))
     k = len(FEATURES)
     groups = []
     for i in range(0, len(parts), 256):  # of like length, padded
         some = parts[i : i + 256]
         width = max(len(x) for x, _ in some)
-        xs, mask, ys = np.zeros((len(some), width, k)), np.zeros((len(some), width)), np.zeros(len(some))
+        xs, mask, ys = np.zeros((len(some), width, k)), np.zeros((len(some), width)), np.zeros((len(some), width), np.int64)
         for j, (x, y) in enumerate(some):
-            xs[j, : len(x)], mask[j, : len(x)], ys[j] = x, 1, y
-        groups.append((xs, mask, ys))
-    # A document counts once, and both labels alike, however many lines each has.
-    n1 = sum(y for _, y in parts)
-    balance = {1: 0.5 / n1, 0: 0.5 / (len(parts) - n1)}
+            xs[j, : len(x)], mask[j, : len(x)], ys[j, : len(x)] = x, 1, y
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (ys[:, :-1], ys[:, 1:]), mask[:, 1:])
+        groups.append((xs, mask, np.einsum("dl,dlk->k", mask * ys, xs), seen))
+    lines = sum(mask.sum() for _, mask, _, _ in groups)
     w, t = np.zeros(k), np.zeros((2, 2))
     m1, m2 = np.zeros(k + 4), np.zeros(k + 4)
     for step in range(1, rounds + 1):
-        gw, gt = -ridge * 1e-3 * w, -ridge * 1e-3 * t
-        for xs, mask, ys in groups:
-            weight = np.where(ys == 1, balance[1], balance[0]) / mask.sum(axis=1)
+        gw, gt = -ridge * w, -ridge * t
+        for xs, mask, felt, seen in groups:
             p1, pair = marginals(xs @ w, mask, t)
-            gw = gw + np.einsum("d,dl,dlk->k", weight, mask * (ys[:, None] - p1), xs)
-            moves = mask[:, 1:].sum(axis=1)
-            for a in (0, 1):
-                for b in (0, 1):
-                    seen = moves * ((ys == a) & (ys == b))
-                    gt[a, b] += (weight * (seen - pair[:, a, b])).sum()
-        g = np.concatenate((gw, gt.ravel()))
+            gw = gw + felt - np.einsum("dl,dlk->k", mask * p1, xs)
+            gt = gt + seen - pair.sum(axis=0)
+        g = np.concatenate((gw, gt.ravel())) / lines
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-        w, t = w + move[:k], np.clip(t + move[k:].reshape(2, 2), -3, 3)
+        w, t = w + move[:k], t + move[k:].reshape(2, 2)
     return Chain(tuple(map(float, w)), ((float(t[0, 0]), float(t[0, 1])), (float(t[1, 0]), float(t[1, 1]))))
 
 
@@ -217,15 +224,13 @@ def marginals(emit: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.nda
     return p[..., 1] / p.sum(axis=2), pair
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, key: str = "doc_id", text: str = "text") -> list[tuple[np.ndarray, int]]:
-    """Line features and label of at most so many labelled documents, half of each label, by hash of the id."""
-    known = labels.where("quality is not null").select(F.col(key).alias("key"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["key"])
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_lines: int = 64, key: str = "doc_id", text: str = "text") -> list[tuple[np.ndarray, int]]:
+    """Features of the first lines, and label, of labelled documents: half of each label, by hash of the id."""
+    known = labels.where("quality is not null").groupBy(F.col(key).alias("key")).agg(F.min("quality").cast("int").alias("quality")).where("key is not null")
     half = max_rows // 2
-    chosen = None
-    for y in (0, 1):
-        part = known.where(F.col("quality") == y).orderBy(F.xxhash64("key"), "key").limit(half)
-        chosen = part if chosen is None else chosen.union(part)
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["key"]).select(docs[key].alias("key"), docs[text].alias("text"), "quality").dropDuplicates(["key"])
+    order = F.xxhash64("key")
+    chosen = known.where("quality = 0").orderBy(order, "key").limit(half).union(known.where("quality = 1").orderBy(order, "key").limit(max_rows - half))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(chosen), "key")
 
     def make():
         def fn(texts: list) -> dict:
@@ -234,13 +239,14 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, key: str =
                 raw = utf8(t or "")
                 words = raw.split()
                 x = line_features(raw, words, repeat_words(words)[1])[0] if words else np.zeros((0, len(FEATURES)))
-                out.append(x.astype("<f8").tobytes())
+                out.append(x[:max_lines].astype("<f4").tobytes())
             return {"lines": out}
 
         return fn
 
-    found = map_texts(rows, make, "lines binary", "text", ["key", "quality"]).collect()
-    return [(np.frombuffer(r.lines, "<f8").reshape(-1, len(FEATURES)), r.quality) for r in sorted(found, key=lambda r: r.key) if r.lines]
+    found = map_texts(rows, make, "lines binary", "text", ["key", "quality", "h"])
+    one = found.groupBy("key").agg(F.min("quality").alias("quality"), F.min(F.struct("h", "lines")).alias("x")).select("key", "quality", "x.lines").collect()
+    return [(np.frombuffer(r.lines, "<f4").reshape(-1, len(FEATURES)).astype(float), r.quality) for r in sorted(one, key=lambda r: r.key) if r.lines]
 
 
 def apply_rules(docs: DataFrame, chain: Chain | None, least_share: float = 0.5, text: str = "text", keep: list[str] | None = None) -> DataFrame:
