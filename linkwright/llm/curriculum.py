@@ -9,12 +9,13 @@ then sorted by ranges of that time.
 
 Within a source the stream is a fixed hash order of its documents, whole passes first, then a
 part. Running sums come in two steps, over hash buckets (16 ** ``bucket_digits`` a source) and
-within a bucket, so a source that holds a third of the rows is dealt over many tasks. Only numbers are
-shuffled, never texts. All arithmetic that decides is on whole numbers or repeats exactly.
+within a bucket, so a source that holds a third of the rows is dealt over many tasks. So do those
+over the sources themselves, by ranges, as there may be as many as hosts. The plan moves only
+numbers. All arithmetic that decides is on whole numbers or repeats exactly.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source, the last;
-repeated rows are separate documents; sources without words have target 0; extra columns stay,
-but for those that bear the name of a result column, which are replaced.
+repeated rows are separate documents, each with copies of its own; sources without words have target
+0; extra columns stay, but for one named position, which training_order replaces.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed, row_hash
+
 WEIGHTS = (3, 1, 2)
 #: Rate of drawing at the start and the end of training, for the sources of each weight in turn.
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
@@ -34,6 +37,21 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def sums_before(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
+    """df with, for each name, the sum of its column over all rows before in the order.
+
+    Rows are dealt by ranges of the order and summed within; only one row a range is summed up in
+    one task, and sent to all.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("range_").agg(*(F.sum(c).alias(f"{n}_") for n, c in sums.items()))
+    ranges = ranges.select("range_", *(F.coalesce(F.sum(f"{n}_").over(earlier), F.lit(0)).alias(f"{n}_") for n in sums))
+    inside = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{n}_0") for n, c in sums.items()))
+    return within.join(F.broadcast(ranges), "range_").select(*df.columns, *((F.col(f"{n}_") + F.col(f"{n}_0")).alias(n) for n in sums))
+
+
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """source, source_size, rank, target for a table of sources and their sizes.
 
@@ -42,28 +60,25 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[i
     over is shared again by weight until none is above: with the sources in order of
     most * size / weight, the first k stop, for the least k whose level the next one bears.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.array(*(F.lit(int(w)).cast("long") for w in weights))
-    table = sources.withColumn("rank", F.row_number().over(order) - 1)
+    table = sums_before(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], rank=F.lit(1))
     table = table.withColumn("weight", F.element_at(cycle, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
-    table = table.withColumn("cap", most * F.col("source_size"))
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
+    table = table.withColumn("cap", most * F.col("source_size")).withColumn("k", F.col("cap") / F.col("weight"))
+    table = checkpointed(sums_before(table, [F.col("k"), F.col("rank")], stopped=F.col("cap"), weight_before=F.col("weight")))
+    every = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    unit = 2 * share[1]  # demands are in units of 1 / unit words
     table = (
-        table.withColumn("demand2", 2 * share[0] * F.sum("source_size").over(every))  # in units of 1 / (2 share[1]) words
-        .withColumn("stopped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("open_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("unit", F.lit(2 * share[1]))
-        .withColumn("left", F.col("demand2") - F.col("unit") * F.col("stopped"))
+        table.withColumn("open_weight", F.lit(every.weight) - F.col("weight_before"))
+        .withColumn("left", F.lit(2 * share[0] * every.size) - F.lit(unit) * F.col("stopped"))
         # The level if all before this one stop; it bears that level if its cap is no lower.
-        .withColumn("bears", F.col("left") * F.col("weight") <= F.col("cap") * F.col("unit") * F.col("open_weight"))
-        .withColumn("level", F.col("left").cast("double") / (F.col("unit") * F.col("open_weight")))
+        .withColumn("bears", F.col("left") * F.col("weight") <= F.col("cap") * F.lit(unit) * F.col("open_weight"))
+        .withColumn("level", F.col("left").cast("double") / (F.lit(unit) * F.col("open_weight")))
     )
-    level = F.min(F.when(F.col("bears"), F.struct((F.col("cap") / F.col("weight")).alias("k"), F.col("rank"), F.col("level")))).over(every)
-    table = table.withColumn("chosen", level)
-    under = F.col("chosen").isNotNull() & (F.struct((F.col("cap") / F.col("weight")).alias("k"), F.col("rank")) >= F.struct(F.col("chosen.k"), F.col("chosen.rank")))
-    return table.withColumn("target", F.when(under, F.col("chosen.level") * F.col("weight")).otherwise(F.col("cap").cast("double"))).select("source", "source_size", "rank", "target")
+    first = table.where("bears").agg(F.min(F.struct("k", "rank", "level")).alias("c")).first().c
+    if first is None:
+        return table.select("source", "source_size", "rank", F.col("cap").cast("double").alias("target"))
+    under = (F.col("k") > first.k) | ((F.col("k") == first.k) & (F.col("rank") >= first.rank))
+    return table.select("source", "source_size", "rank", F.when(under, F.lit(first.level) * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
 def schedule_time(c: Column, rank: Column, schedules: Sequence[tuple[float, float]] = SCHEDULES) -> Column:
@@ -88,24 +103,24 @@ def mix(
     key: str = "doc_id",
     bucket_digits: int = 3,
 ) -> DataFrame:
-    """key, size, source, source_size, target, taken, copies, positions: the plan, without texts.
+    """key, row, size, source, source_size, target, taken, copies, positions: the plan, without texts.
 
-    ``positions`` has the training time of each copy. A document joins the last, partial pass
+    ``row`` is a hash of all of the document's columns, ``positions`` has the training time of each copy. A document joins the last, partial pass
     if its middle lies before the words still wanted, so a source misses its target by half a
     document at most.
     """
-    slim = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"))
+    slim = docs.select(F.col(key).alias("key"), row_hash(docs).alias("row"), F.col(source).alias("source"), n_words(text).alias("size"))
     h = F.md5(F.concat_ws("/", F.coalesce(F.col("key").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary"))
-    slim = slim.withColumn("h", h).withColumn("bucket", F.substring("h", 1, bucket_digits))
+    slim = checkpointed(slim.withColumn("h", h).withColumn("bucket", F.substring("h", 1, bucket_digits)))
     parts = slim.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sizes = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, most)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(by_bucket), F.lit(0)))
     plan = parts.join(sizes, parts["source"].eqNullSafe(sizes["source"])).select(parts["source"], "bucket", "ahead", "source_size", "rank", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(plan, placed["source"].eqNullSafe(plan["source"]) & (placed["bucket"] == plan["bucket"])).select(
-        "key", placed["source"], "size", (F.col("ahead") + F.col("within")).alias("begin"), "source_size", "rank", "target"
+        "key", "row", placed["source"], "size", (F.col("ahead") + F.col("within")).alias("begin"), "source_size", "rank", "target"
     )
     whole = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     rest = F.col("target") - whole * F.col("source_size")
@@ -116,22 +131,30 @@ def mix(
     at = F.when(F.col("copies") == 0, F.array().cast("array<double>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: schedule_time(F.least(middle(k), F.lit(1.0)), F.col("rank"), schedules))
     )
-    return placed.select(F.col("key").alias(key), "size", "source", "source_size", "target", "taken", "copies", at.alias("positions"))
+    return placed.select(F.col("key").alias(key), "row", "size", "source", "source_size", "target", "taken", "copies", at.alias("positions"))
 
 
 def training_order(docs: DataFrame, plan: DataFrame, key: str = "doc_id", shards: int | None = None) -> DataFrame:
     """docs, one row for each copy the plan takes, with position, sorted by ranges of position.
 
-    Copies are dealt to ``shards`` equal ranges of time, not by sampling: the plan's demand is
-    known, and the texts move once.
+    A document meets its copies by its key and the hash of its row; of rows alike in all columns one
+    meets the copies of all, which gives the same rows. Copies are then dealt to ``shards`` equal
+    ranges of time, not by sampling, as the plan's demand is known. The texts move twice, to their
+    copies and to their place.
     """
-    columns = [c for c in docs.columns if c.lower() != "position"]
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = plan.where("copies > 0").groupBy(key, "size").agg(F.max("copies").alias("copies_"), F.max("positions").alias("positions_"))
-    wanted = wanted.select(F.col(key).alias("key_"), F.col("size").alias("size_"), "positions_")
-    size = n_words()
-    taken = docs.select(*columns).withColumn("n_", size).join(wanted, docs[key].eqNullSafe(F.col("key_")) & (F.col("n_") == F.col("size_")))
-    copies = taken.select(*(F.col(c) for c in columns), F.explode("positions_").alias("position"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "position"]
+    rows = docs.select(F.struct(*columns).alias("doc"), F.col(key).alias("key"), row_hash(docs).alias("row"))
+    alike = checkpointed(plan.groupBy(F.col(key).alias("key"), "row").agg(F.count("*").alias("n")).where("n > 1"))
+
+    def same(other: DataFrame):
+        return (rows["row"] == other["row"]) & rows["key"].eqNullSafe(other["key"])
+
+    if not alike.isEmpty():
+        one = rows.join(alike, same(alike), "left_semi").groupBy("key", "row").agg(F.first("doc").alias("doc"))
+        rows = rows.join(alike, same(alike), "left_anti").unionByName(one.select("doc", "key", "row"))
+    copies = plan.where("copies > 0").select(F.col(key).alias("key"), "row", F.explode("positions").alias("position"))
+    dealt = rows.join(copies, same(copies)).select("doc", rows["key"], "position")
     shard = F.least(F.floor(F.col("position") * shards), F.lit(shards - 1)).cast("int")
-    return copies.repartitionById(shards, shard).sortWithinPartitions("position", key)
+    return dealt.repartitionById(shards, shard).sortWithinPartitions("position", "key").select("doc.*", "position")
