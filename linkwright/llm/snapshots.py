@@ -1,21 +1,22 @@
 """Operator 8, chat formatting: logged conversations that prefix longer ones are collapsed, the rest rendered.
 
-Each turn is hashed with its number and role, and a conversation's rolling hash after a turn is the
-sum (modulo 2 ** 64, twice, under two seeds) of its hashes so far; so prefixes are compared by
-(turns, sums) without gathering a conversation. For each distinct prefix the longest conversation
-that has it, and the smallest id of that length with that very end, are taken by a grouped maximum,
-combined before the shuffle. A conversation whose whole is a prefix of a longer one, or equals one
-with a smaller id, is removed by an anti-join; the others are rendered turn by turn.
-
-Running sums come in two steps, over blocks of turns and within a block, so one very long
-conversation is dealt over many tasks; a first turn that very many share is one row after the
-partial aggregation. Texts move once, in the anti-join, and not at all if what is removed is
-small enough for Spark to broadcast.
-
-Defined cases: a repeated row (same conversation, turn, role and text) counts once; a null
-conversation id is a conversation of its own; a null turn comes first; a null role is "unknown"
-and a null text is empty; turns of one number stand in order of role and text; an empty table gives
-an empty result.
+Turns are hashed with their place in the conversation (the first is 1, whatever its number), and a
+conversation's rolling hash after a place is the sum (modulo 2 ** 64, twice, under two seeds) of its
+hashes so far; so prefixes are compared by (turns, sums) without gathering a conversation. For each
+distinct prefix the longest conversation that has it, and the smallest id of that length with that
+very end, are taken by a grouped maximum, combined before the shuffle. A conversation whose whole is
+a prefix of a longer one, or equals one with a smaller id, is removed by an anti-join; the others are
+rendered turn by turn.
+
+Places and running sums come in two steps, over blocks of turns and within a block, so one very long
+conversation is dealt over many tasks; rows of one turn number are summed before anything else, and a
+first turn that very many share is one row after the partial aggregation. Texts move once, in the
+anti-join, and not at all if what is removed is small enough for Spark to broadcast.
+
+Defined cases: a repeated row (same conversation, turn, role and text) counts once; rows with a null
+conversation id are one conversation; a null turn comes first; a null role is "unknown"
+and a null text is empty; turns of one number share a place and stand there in order of role and
+text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,44 +27,47 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, TURN_END = "<|", "|>", "<|end|>"
 
 
-def wrapped_sum(column: str) -> Column:
-    """The sum modulo 2 ** 64 of longs, of which Spark's own sum would overflow: by halves."""
-    low, high = F.sum(F.col(column).bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftright(column, 32))
-    return F.struct(low.alias("low"), high.alias("high"))
+def halves(column: str) -> list[Column]:
+    """The two halves of a long, whose sums do not overflow."""
+    return [F.col(column).bitwiseAND(0xFFFFFFFF).alias(f"{column}l"), F.shiftright(column, 32).alias(f"{column}h")]
 
 
-def folded(halves: Column) -> Column:
-    """The halves of a sum as one comparable value: high half modulo 2 ** 32, then the low one."""
-    high = (halves["high"] + F.shiftright(halves["low"], 32)).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(high, 32).bitwiseOR(halves["low"].bitwiseAND(0xFFFFFFFF))
+def folded(low: str, high: str) -> Column:
+    """Sums of halves as one number modulo 2 ** 64: the high half modulo 2 ** 32, then the low one."""
+    top = (F.col(high) + F.shiftright(low, 32)).bitwiseAND(0xFFFFFFFF)
+    return F.shiftleft(top, 32).bitwiseOR(F.col(low).bitwiseAND(0xFFFFFFFF))
 
 
 def turns(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """conv, turn, and the two hashes of each distinct turn; no texts."""
+    """conv, turn, n, r1, r2: for each turn number its distinct rows and two hashes of their set; no texts."""
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62)))
-    parts = [turn, F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))]
-    slim = conversations.select(F.col(conv).alias("conv"), turn.alias("turn"), F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
-    return slim.groupBy("conv", "turn", "h1", "h2").agg(F.lit(1).alias("one")).drop("one")
+    parts = [F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))]
+    slim = conversations.select(F.col(conv).alias("conv"), turn.alias("turn"), F.xxhash64(F.lit(1), *parts).alias("r1"), F.xxhash64(F.lit(2), *parts).alias("r2"))
+    distinct = slim.groupBy("conv", "turn", "r1", "r2").agg(F.lit(1).alias("one"))
+    sums = distinct.select("conv", "turn", *halves("r1"), *halves("r2")).groupBy("conv", "turn").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("r1l", "r1h", "r2l", "r2h")))
+    return sums.select("conv", "turn", "n", folded("r1l", "r1h").alias("r1"), folded("r2l", "r2h").alias("r2"))
 
 
-def prefixes(rows: DataFrame, block_turns: int = 64) -> DataFrame:
-    """conv, turn, n, s1, s2: turns so far and rolling hashes after each turn number, and n_all of the whole."""
-    halves = [F.col(h).bitwiseAND(0xFFFFFFFF).alias(f"{h}l") for h in ("h1", "h2")] + [F.shiftright(h, 32).alias(f"{h}h") for h in ("h1", "h2")]
-    names = ["h1l", "h1h", "h2l", "h2h"]
-    each = rows.select("conv", "turn", F.floor(F.col("turn") / block_turns).alias("block"), *halves)
-    # Turns of one number enter together, so their order does not matter.
-    each = each.groupBy("conv", "block", "turn").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in names))
-    blocks = each.groupBy("conv", "block").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names))
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def running(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows (conv, block, turn, ...) with the sums of the named columns up to each turn and over the conversation, name_all."""
+    blocks = rows.groupBy("conv", "block").agg(*(F.sum(x).alias(x) for x in names))
     whole = Window.partitionBy("conv")
-    blocks = blocks.select("conv", "block", F.sum("n").over(whole).alias("n_all"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_0") for x in ["n", *names]))
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("conv").alias("conv_"), F.col("block").alias("block_"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_0") for x in names), *(F.sum(x).over(whole).alias(f"{x}_all") for x in names))
     inside = Window.partitionBy("conv", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select("conv", "block", "turn", *(F.sum(x).over(inside).alias(x) for x in ["n", *names]))
-    both = run.join(blocks, run["conv"].eqNullSafe(blocks["conv"]) & (run["block"] == blocks["block"])).select(
-        run["conv"], "turn", "n_all", *((F.col(x) + F.col(f"{x}_0")).alias(x) for x in ["n", *names])
-    )
-    sums = [folded(F.struct(F.col(f"{h}l").alias("low"), F.col(f"{h}h").alias("high"))).alias(s) for h, s in (("h1", "s1"), ("h2", "s2"))]
-    return both.select("conv", "turn", "n", *sums, "n_all")
+    run = rows.select("*", *(F.sum(x).over(inside).alias(f"{x}_1") for x in names))
+    kept = [c for c in rows.columns if c not in names]
+    both = run.join(blocks, run["conv"].eqNullSafe(F.col("conv_")) & (run["block"] == F.col("block_")))
+    return both.select(*kept, *((F.col(f"{x}_0") + F.col(f"{x}_1")).alias(x) for x in names), *(f"{x}_all" for x in names))
+
+
+def prefixes(rows: DataFrame, block_turns: int = 64) -> DataFrame:
+    """conv, turn, n, s1, s2: turns so far and rolling hashes after each turn number, and n_all of the whole."""
+    each = rows.withColumn("block", F.floor(F.col("turn") / block_turns)).withColumn("place", F.lit(1))
+    placed = running(each, ["place"])
+    hashed = placed.select("conv", "block", "turn", "n", *(F.xxhash64(F.lit(k), "place", "n", "r1", "r2").alias(f"h{k}") for k in (1, 2)))
+    rolled = running(hashed.select("conv", "block", "turn", "n", *halves("h1"), *halves("h2")), ["n", "h1l", "h1h", "h2l", "h2h"])
+    return rolled.select("conv", "turn", "n", folded("h1l", "h1h").alias("s1"), folded("h2l", "h2h").alias("s2"), "n_all")
 
 
 def snapshots(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -82,11 +86,12 @@ def snapshots(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
 def render(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, rendered, trainable, in the template's form; one row a turn, any order.
 
-    Marks of the template inside a text are broken up, so a text cannot open a turn of its own.
+    Marks of the template inside a text are broken up, and in a role each character of a mark and each
+    line break becomes a low line, so neither can open a turn of its own.
     """
     role = F.coalesce("role", F.lit("unknown"))
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |"))
-    rendered = F.concat(F.lit(OPEN), role, F.lit(CLOSE + "\n"), text, F.lit(TURN_END + "\n"))
+    rendered = F.concat(F.lit(OPEN), F.regexp_replace(role, r"[<|>\r\n]", "_"), F.lit(CLOSE + "\n"), text, F.lit(TURN_END + "\n"))
     return conversations.select(F.col(conv).alias(conv), "turn", role.alias("role"), rendered.alias("rendered"), (role == "assistant").alias("trainable"))
 
 
