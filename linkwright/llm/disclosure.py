@@ -4,31 +4,33 @@ The base patterns find e-mail and IP addresses, card and phone numbers: the prot
 A term is a word of letters within ``window`` words of a mention. Over the whole corpus, N
 documents, c(w) those with the term, c(e) those with the entity, and c(e, w) those with the term
 beside the entity give what the term discloses: log2(N c(e, w) / (c(e) c(w))) bits, and the
-probability c(e, w) / c(w) that the term means the entity. Terms beside the entity that exceed both thresholds in
-enough documents are spans to remove, beside the base spans.
+probability c(e, w) / c(w) that the term means the entity. A term that exceeds both thresholds for
+some entity, in enough documents, reveals it wherever it stands, so all its places are spans to
+sanitise, beside the base spans: each is generalised to its kind.
 
-Two passes read whole texts: one finds mentions and their surroundings, one counts words, both in
-the tasks that scan them. Counts are combined in the task before the shuffle; entities, terms and
+Three passes read whole texts in the tasks that scan them: for mentions and their surroundings, for
+words, and for the spans. Counts are combined in the task before the shuffle; entities, terms and
 counts stay distributed and meet by joins, which a term or an entity of very many documents only
-makes longer by one counted row.
+makes longer by one counted row. Revealing terms go to the shared folder, from which tasks read them
+in blocks of ``block_bytes``; more terms make more blocks. Texts are never shuffled.
 
-Defined cases: a null or empty text has no spans; repeated rows count as documents of their own;
-spans are code points, end exclusive; columns other than the key and the text are not used.
+Defined cases: a null text has no spans and stays null, an empty one has none; repeated rows count
+as documents of their own; spans are code points, end exclusive; of spans that overlap, all
+characters go under the first one's kind; columns other than the text are not used.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_STR, WORD_RE, checkpointed, item_words, map_texts, small_batches, utf8
+from ..operators.shared import Spool, checkpointed
+from .common import LOWER_STR, WORD_RE, document_counts, map_texts, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -39,7 +41,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-FOUND = "bases array<struct<kind:int,start:int,end:int>>, terms array<struct<e:long,w:long,start:int,end:int>>, pairs array<struct<e:long,w:long>>, entities array<long>"
+SPANS = "spans array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>, sanitised string"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -83,17 +85,15 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def term_hash(word: str) -> int:
-    return signed(xxhash.xxh64_intdigest(utf8(word), 7))
-
-
-def signed(h: int) -> int:
+def entity_of(kind: int, value: str) -> int:
+    """A signed hash of a mention: its digits, or its characters in lower case."""
+    same = value.translate(LOWER_STR) if kind < 2 else NOT_DIGIT.sub("", value)
+    h = xxhash.xxh64_intdigest(utf8(f"{kind}:{same}"), 7)
     return h - (1 << 64) if h >> 63 else h
 
 
-def surroundings(text: str, bases: list[tuple[int, int, int]], window: int, least_chars: int) -> list[tuple[int, int, int, int]]:
-    """entity, term, start, end of the terms near each mention."""
-    lower = text.translate(LOWER_STR)
+def words_apart(lower: str, bases: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], set[int]]:
+    """The words of a text, and which of them lie in a base span."""
     words = [m.span() for m in WORD_RE.finditer(lower)]
     starts = [a for a, _ in words]
     covered = set()
@@ -103,97 +103,106 @@ def surroundings(text: str, bases: list[tuple[int, int, int]], window: int, leas
             if words[i][1] > a:
                 covered.add(i)
             i += 1
-    out = []
+    return words, covered
+
+
+def is_term(word: str, least_chars: int) -> bool:
+    return len(word) >= least_chars and word.isalpha()
+
+
+def surroundings(text: str, bases: list[tuple[int, int, int]], window: int, least_chars: int) -> set[tuple[int, str]]:
+    """entity and term for the terms near each mention."""
+    lower = text.translate(LOWER_STR)
+    words, covered = words_apart(lower, bases)
+    starts = [a for a, _ in words]
+    out = set()
     for a, kind, b in bases:
-        value = lower[a:b] if kind < 2 else NOT_DIGIT.sub("", lower[a:b])
-        entity = signed(xxhash.xxh64_intdigest(utf8(f"{kind}:{value}"), 7))
         before, after = bisect_left(starts, a), bisect_left(starts, b)
-        for i in [*range(max(0, before - window), before), *range(after, min(len(words), after + window))]:
-            word = lower[words[i][0] : words[i][1]]
-            if i not in covered and len(word) >= least_chars and word.isalpha():
-                out.append((entity, term_hash(word), *words[i]))
+        near = (lower[slice(*words[i])] for i in [*range(max(0, before - window), before), *range(after, min(len(words), after + window))] if i not in covered)
+        out |= {(entity_of(kind, text[a:b]), word) for word in near if is_term(word, least_chars)}
     return out
 
 
-def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 5, least_chars: int = 5) -> DataFrame:
-    """row, key and FOUND: base spans, terms near them, and the distinct (entity, term) of each text."""
+def mentions(docs: DataFrame, text: str = "text", window: int = 5, least_chars: int = 5) -> DataFrame:
+    """pairs, entities: the distinct (entity, term) and entities of each text with a mention."""
 
     def make():
         def fn(texts: list) -> dict:
-            out: dict[str, list] = {"bases": [], "terms": [], "pairs": [], "entities": []}
-            for t in texts:
-                bases = base_spans(t)
-                near = surroundings(t, bases, window, least_chars) if bases else []
-                values = {signed(xxhash.xxh64_intdigest(utf8(f"{k}:{t[a:b].translate(LOWER_STR) if k < 2 else NOT_DIGIT.sub('', t[a:b])}"), 7)) for a, k, b in bases}
-                out["bases"].append([{"kind": k, "start": a, "end": b} for a, k, b in bases])
-                out["terms"].append([{"e": e, "w": w, "start": a, "end": b} for e, w, a, b in near])
-                out["pairs"].append([{"e": e, "w": w} for e, w in sorted({(e, w) for e, w, _, _ in near})])
-                out["entities"].append(sorted(values))
-            return out
+            bases = [base_spans(t) for t in texts]
+            near = [sorted(surroundings(t, b, window, least_chars)) if b else [] for t, b in zip(texts, bases, strict=True)]
+            return {"pairs": [[{"e": e, "w": w} for e, w in x] for x in near], "entities": [sorted({entity_of(k, t[a:c]) for a, k, c in b}) for t, b in zip(texts, bases, strict=True)]}
 
         return fn
 
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_texts(slim, make, FOUND, "text", ["key"]).select(F.monotonically_increasing_id().alias("row"), "*")
-
-
-def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 5, held: int = 200_000) -> DataFrame:
-    """w, n: in how many documents each word of letters stands. A task holds at most so many counts at once."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    found = map_texts(docs.select(text), make, "pairs array<struct<e:long,w:string>>, entities array<long>", text, [])
+    return found.where("size(entities) > 0")
 
-        def flush() -> pa.RecordBatch:
-            words = [(w, n) for w, n in counts.items() if len(w) >= least_chars and (s := w.decode("utf-8", "surrogatepass")).isalpha() and len(s) >= least_chars]
-            hashes = [signed(xxhash.xxh64_intdigest(w, 7)) for w, _ in words]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([n for _, n in words], pa.int64())], names=["w", "n"])
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(set(item_words(t)))
-                if len(counts) > held:
-                    yield flush()
-        if counts:
-            yield flush()
-
-    return docs.select(text).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def revealing_terms(docs: DataFrame, text: str, window: int, least_chars: int, least_docs: int, least_bits: float, least_share: float) -> DataFrame:
+    """w: the distinct terms that disclose some entity."""
+    found = checkpointed(mentions(docs, text, window, least_chars))
+    joint = found.select(F.explode("pairs").alias("p")).groupBy(F.col("p.e").alias("e"), F.col("p.w").alias("w")).agg(F.count("*").alias("n_ew")).where(F.col("n_ew") >= least_docs)
+    per_entity = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    bits = F.log2(F.col("n_ew") * F.lit(float(docs.count())) / (F.col("n_e") * F.col("n")))
+    told = joint.join(per_entity, "e").join(document_counts(docs, text, least_chars), "w")
+    return told.where((bits >= least_bits) & (F.col("n_ew") / F.col("n") >= least_share)).select("w").distinct()
 
 
 def find_disclosures(
     docs: DataFrame,
-    key: str = "doc_id",
     text: str = "text",
+    keep: list[str] | None = None,
     window: int = 5,
     least_chars: int = 5,
     least_docs: int = 3,
     least_bits: float = 6.0,
     least_share: float = 0.5,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """key, spans (kind, start, end, base): base spans, and those of disclosing terms, kind ``term``."""
-    found = checkpointed(mentions(docs, key, text, window, least_chars))
-    n = found.count()
-    joint = found.select(F.explode("pairs").alias("p")).groupBy(F.col("p.e").alias("e"), F.col("p.w").alias("w")).agg(F.count("*").alias("n_ew")).where(F.col("n_ew") >= least_docs)
-    per_entity = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    words = document_counts(docs, text, least_chars)
-    bits = F.log2(F.col("n_ew") * F.lit(float(n)) / (F.col("n_e") * F.col("n")))
-    revealing = joint.join(per_entity, "e").join(words, "w").where((bits >= least_bits) & (F.col("n_ew") / F.col("n") >= least_share)).select("e", "w")
-    near = found.where("size(terms) > 0").select("row", F.explode("terms").alias("t")).select("row", F.col("t.e").alias("e"), F.col("t.w").alias("w"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hidden = near.join(revealing, ["e", "w"]).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("hidden"))
-    kinds = F.array(*(F.lit(k) for k in KINDS))
-    base = F.transform("bases", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("rank"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("kind"), F.lit(True).alias("base")))
-    term = F.transform(F.coalesce("hidden", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), F.lit(TERM).alias("rank"), s["end"].alias("end"), F.lit("term").alias("kind"), F.lit(False).alias("base")))
-    return found.join(hidden, "row", "left").select(F.col("key").alias(key), F.array_sort(F.concat(base, term)).alias("spans"))
-
-
-def sanitise(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
-    """text with each span generalised to its kind in angle brackets; of overlapping ones, the first."""
+    """The kept columns (all, if None) and SPANS: base spans, those of revealing terms, kind ``term``, and
+    the text without them."""
+    terms = Spool(revealing_terms(docs, text, window, least_chars, least_docs, least_bits, least_share), block_bytes)
+
+    def make():
+        def fn(texts: list) -> dict:
+            distinct = [set(WORD_RE.findall(t.translate(LOWER_STR))) if t else set() for t in texts]
+            met: list[set[str]] = [set() for _ in texts]
+            for block in terms.blocks(lambda t: frozenset(t.column(0).to_pylist())):
+                for words, here in zip(distinct, met, strict=True):
+                    here |= words & block
+            spans = [spans_of(t, here) for t, here in zip(texts, met, strict=True)]
+            named = [[{"start": a, "rank": k, "end": b, "kind": "term" if k == TERM else KINDS[k], "base": k != TERM} for a, k, b in x] for x in spans]
+            return {"spans": named, "sanitised": [generalised(t, x) for t, x in zip(texts, spans, strict=True)]}
+
+        return fn
+
+    return map_texts(docs, make, SPANS, text, keep)
+
+
+def spans_of(text: str | None, terms: set[str]) -> list[tuple[int, int, int]]:
+    """start, number of the kind, end, of base spans and of the terms outside them; in order."""
+    bases = base_spans(text)
+    if not terms:
+        return bases
+    lower = text.translate(LOWER_STR)
+    words, covered = words_apart(lower, bases)
+    return sorted(bases + [(a, TERM, b) for i, (a, b) in enumerate(words) if lower[a:b] in terms and i not in covered])
+
+
+def generalised(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """text with each span (start, kind, end; in order) put as its kind in angle brackets."""
     if text is None:
         return None
     out, at = [], 0
-    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+    for a, kind, b in spans:
         if a >= at:
-            out += [text[at:a], f"<{kind.upper()}>"]
-            at = b
+            out += [text[at:a], f"<{'TERM' if kind == TERM else KINDS[kind].upper()}>"]
+        at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
+    """docs with what reveals an entity generalised in their texts; all other columns as they are."""
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    found = find_disclosures(packed, "text", ["doc"], **thresholds)
+    return found.select(*(F.col("sanitised").alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns))
