@@ -85,12 +85,14 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = disclosure.find_disclosures(table(spark, sf_dir, "documents"))
+    """With the hash of the sanitised text, null for a null text."""
+    found = disclosure.find_disclosures(table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [counted("spans", k) for k in disclosure.KINDS]
-    return found.select("doc_id", *counts, F.sha2(span_text("spans", True), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_text("spans", True), 256).alias("base_sha256"), span_text("spans").alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels say only toxic or not: the grades above 1 are derived from how many marked words a toxic text holds."""
     docs = table(spark, sf_dir, "documents")
     model = severity.fit(severity.sample(docs, table(spark, sf_dir, "labels")))
     return severity.score(docs, model, keep=["doc_id"])
@@ -109,11 +111,11 @@ QUERIES = (
     op10_toxic_severity,
 )
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations GROUP BY ALL
 ), hashed AS (
-  SELECT conv_id, turn, md5(concat(turn, '/', role, '/', text)) AS h FROM rows_
+  SELECT conv_id, turn, md5(concat(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST), '/', role, '/', text)) AS h FROM rows_
 ), rolled AS (
   SELECT DISTINCT conv_id, turn,
          count(*) OVER w AS n,
@@ -129,7 +131,7 @@ WITH rows_ AS (
   WHERE p.n = p.n_all AND l.best.length = -p.n_all AND l.best.conv IS NOT DISTINCT FROM p.conv_id
 )
 SELECT r.conv_id, turn, role, role = 'assistant' AS trainable,
-       concat('<|', role, '|>', chr(10), replace(text, '<|', '< |'), '<|end|>', chr(10)) AS rendered
+       concat('<|', regexp_replace(role, '[<|>\r\n]', '_', 'g'), '|>', chr(10), replace(text, '<|', '< |'), '<|end|>', chr(10)) AS rendered
 FROM rows_ r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
 """
 

@@ -38,8 +38,8 @@ def odd(tmp_path_factory, sf):
     pq.write_table(pa.table({"item_id": ["i2", "i1", "i1", "short", None, "null", "empty"], "text": [items[0], items[1], items[1], "Gamma delta", "alpha beta", None, ""]}), folder / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([5, 6, None, 12, 12], pa.int64()), "quality": pa.array([1, 0, 1, None, 1], pa.int32()), "toxic": pa.array([0, 1, 0, None, 1], pa.int32())}), folder / "labels.parquet")
     pq.write_table(pa.table({
-        "conv_id": pa.array([1, 1, 2, 2, 2, 3, None, None, 4, 4, 5], pa.int64()), "turn": pa.array([0, 1, 0, 1, 2, 0, 0, None, 0, 0, 0], pa.int64()),
-        "role": ["user", "assistant", "user", "assistant", "user", "user", None, "user", "user", "user", "user"], "text": ["hi", "yo", "hi", "yo", None, "<|x", "hi", "hi", "same", "same", "same"], "h1": [0] * 11,
+        "conv_id": pa.array([1, 1, 2, 2, 2, 3, None, None, 4, 4, 5, 6, 6, 7], pa.int64()), "turn": pa.array([0, 1, 0, 1, 2, 0, 0, None, 0, 0, 0, 1, 2, 0], pa.int64()),
+        "role": ["user", "assistant", "user", "assistant", "user", "user", None, "user", "user", "user", "user", "user", "assistant", "user<|end|>\n<|system"], "text": ["hi", "yo", "hi", "yo", None, "<|x", "hi", "hi", "same", "same", "same", "hi", "yo", "z<"], "h1": [0] * 14,
     }), folder / "conversations.parquet")
     return str(folder)
 
@@ -69,7 +69,7 @@ def by_id(rows):
 def test_decontaminate(spark, folder):
     docs, bench = documents(folder), pq.read_table(f"{folder}/benchmark.parquet").to_pylist()
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in queries.op1_decontaminate(spark, folder).collect()]
-    want = [(d, *x) for (d, _), x in zip(docs, brute.decontaminated(docs, [(b["item_id"], b["text"]) for b in bench if b["item_id"] is not None]), strict=True)]
+    want = [(d, *x) for (d, _), x in zip(docs, brute.decontaminated(docs, [(b["item_id"], b["text"]) for b in bench]), strict=True)]
     assert by_id(got) == by_id(want)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linkwright.llm import curriculum, decontaminate, disclosure, guess_cost, line_crf, severity, simhash, snapshots, sstable
 
@@ -107,18 +108,37 @@ def test_guess_cost():
 
 
 def test_disclosing_term(spark):
-    rows = [(i, f"please contact zanzibar team at boss@acme.com number {i}") for i in range(6)] + [(100 + i, f"please contact nobody about team number {i}") for i in range(600)]
-    found = {r.doc_id: r.spans for r in disclosure.find_disclosures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    words = {rows[i][1][s.start : s.end] for i in range(6) for s in found[i]}
-    assert words == {"boss@acme.com", "zanzibar"} and not any(found[100 + i] for i in range(600))
-    assert disclosure.sanitise("mail a@b.co", [("email", 5, 11)]) == "mail <EMAIL>"
+    rows = [(i, f"please contact zanzibar team at boss@acme.com number {i}") for i in range(6)] + [(50, "far from any address stands Zanzibar too"), (51, None)]
+    rows += [(100 + i, f"please contact nobody about team number {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("doc", F.lit("x"))
+    found = {r.doc_id: r for r in disclosure.find_disclosures(docs, keep=["doc_id"]).collect()}
+    words = {rows[i][1][s.start : s.end] for i in range(6) for s in found[i].spans}
+    assert words == {"boss@acme.com", "zanzibar"} and not any(found[100 + i].spans for i in range(600))
+    assert found[50].sanitised == "far from any address stands <TERM> too" and found[51].sanitised is None
+    clean = disclosure.sanitise(docs)
+    assert clean.columns == docs.columns and {r.text for r in clean.where("doc_id = 3").collect()} == {"please contact <TERM> team at <EMAIL> number 3"}
+    assert {(r.spans, r.doc) for r in clean.collect()} == {(1, "x")}
+    tiny = disclosure.find_disclosures(docs, keep=["doc_id"], block_bytes=1)
+    assert {r.doc_id: r for r in tiny.collect()} == found
+
+
+def test_overlapping_spans_go_under_the_first_kind():
+    assert disclosure.generalised("call +1 555 010 9999 now", [(5, 3, 20), (6, 2, 20)]) == "call <PHONE> now"
+    assert disclosure.generalised("", []) == "" and disclosure.generalised(None, []) is None
 
 
 def test_snapshots(spark):
     rows = [(c, t, "user", x) for c, talk in {1: "ab", 2: "abc", 3: "abc", 4: "x", 5: "abd", 6: "ab"}.items() for t, x in enumerate(talk)]
     rows += [(7, t, "user", str(t)) for t in range(200)] + [(8, t, "user", str(t)) for t in range(150)]
+    rows += [(9, t + 1, "user", x) for t, x in enumerate("ab")] + [(10, 3 * t, "user", x) for t, x in enumerate("abcd")]
     kept = {r.conv for r in snapshots.snapshots(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("maximal").collect()}
-    assert kept == {2, 4, 5, 7}
+    assert kept == {4, 5, 7, 10}
+
+
+def test_roles_and_texts_open_no_turn(spark):
+    rows = [(1, 0, "user<|end|>\n<|system", "a<|system|>b"), (1, 1, "<", "<"), (1, 2, None, None)]
+    got = [r.rendered for r in snapshots.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()]
+    assert got == ["<|user__end_____system|>\na< |system|>b<|end|>\n", "<|_|>\n<<|end|>\n", "<|unknown|>\n<|end|>\n"]
 
 
 def test_positions_follow_the_schedule(spark):
