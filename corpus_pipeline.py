@@ -9,40 +9,78 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm import curriculum, decontaminate, severity, simhash, sstable
-from linkwright.llm.common import checkpoint_dir
+from linkwright.operators.shared import new_folder
 
 #: SQL cannot express a model fit, XXH64, or byte-pair encoding; tests hold each stage against brute force.
 ORACLE_SQL = None
+#: The columns of documents that some stage reads; all others only pass through.
+OWN = ("doc_id", "text", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def passing(stage: Stage) -> Stage:
+    """The stage with the other columns under names that clash with no operator's, and theirs again after it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"other_{i}_" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), sf_dir)
+        return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+    return run
+
+
+@passing
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones among them, does not take for toxic.
+
+    A null or empty text stays; repeated rows stay or go together; without labels of both kinds all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = severity.fit(severity.sample(docs, labels))
-    return severity.score(docs, model).where("not toxic").select(*docs.columns)
+    return severity.score(docs, severity.fit(severity.sample(docs, labels))).where("not toxic")
 
 
+@passing
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id, documents without one last.
+
+    Texts without words are one group, null or not; repeated rows are copies; texts that are no near
+    copies stay, whatever their ids.
+    """
     return simhash.keep_representatives(docs)
 
 
+@passing
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark's passages cut; one of nothing else goes.
+
+    n_chars follows a cut text, and any other stays as it is. A null or wordless text stays, and so
+    does every document where the benchmark is empty.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, benchmark).where("n_hit = 0 or n_hit < n_words")
     clean = decontaminate.remove_spans(found)
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")))
 
 
+@passing
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum.training_order(docs, curriculum.mix(docs)).select(*docs.columns)
+    """A row for each copy that the plan takes of a document, in training order.
+
+    A document without words is never taken; null sources are one source; repeated rows have copies each.
+    """
+    return curriculum.training_order(docs, curriculum.mix(docs))
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the mix, from its shards; a row for each copy, null ids first."""
     return sstable.read_shards(sstable.write_shards(docs, sstable.tokenizer_path(spark)))
 
 
@@ -57,7 +95,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
