@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
+from .shared import Spool
 from .similarity import indel_ratio
 
 #: Confidence of an exact match, and under a conflict of brands; SKU score by state of the brands.
@@ -23,6 +24,8 @@ EXACT, EXACT_CONFLICT = 0.95, 0.70
 SAME, UNKNOWN, CONFLICT = 1.0, 0.7, 0.3
 #: A product, or a pair, this sure needs no comparison of meaning.
 CONFIDENT = 0.90
+#: From this similarity on, SKUs of one brand are found by what they share instead of being compared with all.
+CLOSE = 0.80
 LAYERS = ("exact_id", "sku_brand", "semantic")
 DETAILS = "struct<matched_on:string,identifier:string,brand_conflict:boolean,fuzzy_score:double,brand_state:string,cosine:double>"
 
@@ -52,60 +55,102 @@ def exact_id(catalog: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
-def with_one_cut(value: Column) -> Column:
-    """The string, and what is left of it without one of its characters: array of (variant, cut)."""
-    cuts = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.concat(F.substr(value, F.lit(1), i - 1), F.substr(value, i + 1)))
-    cuts = F.transform(F.array_distinct(cuts), lambda v: F.struct(v.alias("variant"), F.lit(True).alias("cut")))
-    return F.concat(F.array(F.struct(value.alias("variant"), F.lit(False).alias("cut"))), cuts)
+def spare(la: Column, lb: Column, least: float) -> Column:
+    """How many characters at most only one of two strings of these lengths has, if they are as similar as ``least``."""
+    most = F.floor((la + lb) * (1 - least) + 1e-9).cast("int")
+    return most - F.pmod(la + lb - most, F.lit(2))  # 2 LCS = la + lb - spare is even
 
 
-def of_one_brand(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """brand_, sku_, offer_brand, offer_sku, ratio: pairs of one brand whose SKUs can be as similar as ``least``.
+def with_lengths(df: DataFrame, sku: str, own: str, other: str, least: float) -> DataFrame:
+    """df with the string's length, and a row for each length that a similar one can have."""
+    n = F.length(sku)
+    reach = F.sequence(F.floor(n * least / (2 - least)).cast("int"), F.ceil(n * (2 - least) / least).cast("int"))
+    rows = df.withColumn(own, n).withColumn(other, F.explode(reach))
+    return rows.where(F.abs(F.col(own) - F.col(other)) <= spare(F.col(own), F.col(other), least))
 
-    The similarity leaves (1 - least) (la + lb) characters that only one of the SKUs has. Where that
-    is less than two, a pair is equal or one SKU is the other without a character: an equi-join on
-    those variants finds it, and the lengths tell its ratio. Longer SKUs meet those of each length
-    that the bound allows and are compared.
+
+def cut(value: Column) -> Column:
+    """What is left of a string without one of its characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.concat(F.substr(value, F.lit(1), i - 1), F.substr(value, i + 1))))
+
+
+def shortened(value: Column, cuts: Column) -> Column:
+    """The distinct strings that are left after none, one or two cuts."""
+    twice = F.array_distinct(F.flatten(F.transform(cut(value), cut)))
+    return F.when(cuts == 0, F.array(value)).when(cuts == 1, cut(value)).otherwise(twice)
+
+
+def pieces(value: Column, n: Column, m: Column, before: Column, after: Column, length: Column) -> Column:
+    """The m equal pieces of a string of n characters, as they may stand in a string of ``length``, moved by
+    up to ``before`` to the left and ``after`` to the right: array of (piece number, text)."""
+
+    def moved(i: Column) -> Column:
+        begin, end = F.floor(i * n / m).cast("int"), F.floor((i + 1) * n / m).cast("int")
+        starts = F.filter(F.transform(F.sequence(-before, after), lambda d: begin + d), lambda s: (s >= 0) & (s + end - begin <= length))
+        return F.transform(starts, lambda s: F.struct(i.alias("piece"), F.substr(value, s + 1, end - begin).alias("part")))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), m - 1), moved)))
+
+
+def similar_skus(a: DataFrame, b: DataFrame, least: float, brands: list[str]) -> DataFrame:
+    """The distinct pairs of rows of a (brand_, sku_) and b (offer_brand, offer_sku, and ``brands``, which must
+    be equal) whose SKUs can be as similar as ``least``; by equi-joins alone, without loss.
+
+    Two strings of given lengths that are so similar share a subsequence, which is either of them
+    after so many cuts. Where that is at most two cuts of each, an equi-join on what is left finds
+    them. Otherwise the first is parted in one piece more than characters may differ, so one piece
+    stands unchanged in the second, and an equi-join on pieces finds them.
     """
-    least -= 0.00005
-    la, lb = F.length("sku_"), F.length("offer_sku")
-    spare = (la + lb) * (1 - least)
+    la, lb = F.col("la"), F.col("lb")
+    most = spare(la, lb, least)
+    from_a, from_b = ((most + la - lb) / 2).cast("int"), ((most + lb - la) / 2).cast("int")
+    few = F.greatest(from_a, from_b) <= 2
+    left, right = with_lengths(a, "sku_", "la", "lb", least), with_lengths(b, "offer_sku", "lb", "la", least)
     names = ["brand_", "sku_", "offer_brand", "offer_sku"]
-    cut_a = a.select("brand_", "sku_", F.inline(with_one_cut(F.col("sku_"))))
-    cut_b = b.select(F.col("offer_brand").alias("brand_"), "offer_brand", "offer_sku", F.inline(with_one_cut(F.col("offer_sku")))).withColumnRenamed("cut", "offer_cut")
-    near = cut_a.join(cut_b, ["brand_", "variant"]).where(~(F.col("cut") & F.col("offer_cut")) & (spare < 2)).select(*names, (2 * F.least(la, lb) / (la + lb)).alias("ratio"))
-    lengths = F.sequence(F.floor(la * least / (2 - least)).cast("int"), F.ceil(la * (2 - least) / least).cast("int"))
-    by_length = a.select("brand_", "sku_", F.explode(F.filter(lengths, lambda n: ((la + n) * (1 - least) >= 2) & (2 * F.least(la, n) >= least * (la + n)))).alias("n"))
-    far = by_length.join(b.withColumn("brand_", F.col("offer_brand")).withColumn("n", lb), ["brand_", "n"]).select(*names, indel_ratio("sku_", "offer_sku").alias("ratio"))
-    return near.unionByName(far)
+    rest = [c for c in names if c not in brands]
+    keys = [*brands, "la", "lb"]
+    sides = lambda x, y, k: x.join(y, [*keys, *k]).select(*brands, *rest)
+    by_cuts = sides(left.where(few).withColumn("form", F.explode(shortened(F.col("sku_"), from_a))), right.where(few).withColumn("form", F.explode(shortened(F.col("offer_sku"), from_b))), ["form"])
+    zero = F.lit(0)
+    own = left.where(~few).select("*", F.inline(pieces(F.col("sku_"), la, most + 1, zero, zero, la)))
+    other = right.where(~few).select("*", F.inline(pieces(F.col("offer_sku"), la, most + 1, from_a, from_b, lb)))
+    return by_cuts.unionByName(sides(own, other, ["piece", "part"])).distinct()
 
 
 def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.60) -> DataFrame:
     """SKU similarity times what the brands say, where it can reach min_confidence or CONFIDENT.
 
-    A conflict scores 0.3 at most and a missing brand 0.7, so above those thresholds only equal
-    brands are joined; the length of two SKUs bounds their similarity before
-    it is computed. Distinct (brand, SKU) are compared, not rows: repeated offers cost nothing.
+    A conflict scores 0.3 at most and a missing brand 0.7, so above those thresholds such pairs are not
+    made, and below them their SKUs must be the more similar. Pairs of one brand that need little
+    similarity are compared with all of the brand whose lengths allow it, any others are found by
+    equi-joins on what similar SKUs share. Distinct (brand, SKU) are compared, not rows: repeated
+    offers cost nothing.
     """
     least = min(min_confidence, CONFIDENT)
     left = catalog.select(F.col("row_idx").alias("catalog_idx"), text.brand(F.col("brand")).alias("brand_"), identifiers.sku(F.col("sku")).alias("sku_")).where("sku_ <> ''")
     right = offers.select(F.col("row_idx").alias("offer_idx"), text.brand(F.col("brand")).alias("offer_brand"), identifiers.sku(F.col("sku")).alias("offer_sku")).where("offer_sku <> ''")
     a, b = left.select("brand_", "sku_").distinct(), right.select("offer_brand", "offer_sku").distinct()
-    scored = of_one_brand(a, b, least).withColumn("boost", F.lit(SAME)).withColumn("state", F.lit("match"))
-    la, lb = F.length("sku_"), F.length("offer_sku")
-
-    def compared(pairs: DataFrame, boost: float, state: str) -> DataFrame:
-        pairs = pairs.where(boost * 2 * F.least(la, lb) / (la + lb) >= least - 0.00005)
-        return pairs.withColumn("ratio", indel_ratio("sku_", "offer_sku")).withColumn("boost", F.lit(boost)).withColumn("state", F.lit(state))
-
-    if least <= UNKNOWN:
-        unknown = a.where("brand_ is null").join(b).unionByName(a.where("brand_ is not null").join(b.where("offer_brand is null")))
-        scored = scored.unionByName(compared(unknown, UNKNOWN, "unknown"))
-    if least <= CONFLICT:
-        scored = scored.unionByName(compared(a.join(b, F.col("brand_") != F.col("offer_brand")), CONFLICT, "conflict"))
-    scored = scored.withColumn("score", F.round(F.col("ratio") * F.col("boost"), 4)).where(F.col("score") >= least)
-    found = scored.join(left, [left["sku_"] == scored["sku_"], left["brand_"].eqNullSafe(scored["brand_"])]).drop(left["sku_"]).drop(left["brand_"])
-    found = found.join(right, [right["offer_sku"] == found["offer_sku"], right["offer_brand"].eqNullSafe(found["offer_brand"])])
+    names = ["brand_", "sku_", "offer_brand", "offer_sku"]
+
+    def scored(pairs: DataFrame, boost: float, state: str) -> DataFrame:
+        rows = pairs.select(*names, indel_ratio("sku_", "offer_sku").alias("ratio"))
+        return rows.select("*", F.round(F.col("ratio") * boost, 4).alias("score"), F.lit(state).alias("state")).where(F.col("score") >= least)
+
+    branded = b.where("offer_brand is not null").withColumn("brand_", F.col("offer_brand"))
+    need = least - 0.00005
+    if need >= CLOSE:
+        alike = similar_skus(a, branded, need, ["brand_"])
+    else:
+        alike = with_lengths(a, "sku_", "la", "lb", need).join(branded.withColumn("lb", F.length("offer_sku")), ["brand_", "lb"])
+    out = scored(alike, SAME, "match")
+    if need <= UNKNOWN:
+        known = F.col("brand_").isNotNull()
+        pairs = similar_skus(a.where(~known), b, need / UNKNOWN, []).unionByName(similar_skus(a.where(known), b.where("offer_brand is null"), need / UNKNOWN, []))
+        out = out.unionByName(scored(pairs, UNKNOWN, "unknown"))
+    if need <= CONFLICT:
+        out = out.unionByName(scored(similar_skus(a, b, need / CONFLICT, []).where("brand_ <> offer_brand"), CONFLICT, "conflict"))
+    found = out.join(left.withColumnRenamed("sku_", "sku_a").withColumnRenamed("brand_", "brand_a"), (F.col("sku_a") == F.col("sku_")) & F.col("brand_a").eqNullSafe(F.col("brand_")))
+    found = found.join(right.withColumnRenamed("offer_sku", "sku_b").withColumnRenamed("offer_brand", "brand_b"), (F.col("sku_b") == F.col("offer_sku")) & F.col("brand_b").eqNullSafe(F.col("offer_brand")))
     return found.select(*candidate("sku_brand", F.col("score"), F.lit("SKU_BRAND"), fuzzy_score=F.col("ratio"), brand_state=F.col("state")))
 
 
@@ -137,33 +182,40 @@ def encoded(df: DataFrame, column: str, encoder: Encoder, name: str) -> DataFram
 def similar(left: DataFrame, right: DataFrame, least: float, block_bytes: int = 64 << 20) -> DataFrame:
     """left_key, right_key, cosine of all pairs of vectors at or above ``least``.
 
-    left (left_key, left_vec) is the smaller side. It goes to the tasks in blocks of a checked
-    size, each multiplied with the right side's batches; a larger left side makes more passes,
-    never a larger broadcast.
+    left (left_key, left_vec) should be the smaller side. It is written to the shared folder, and a
+    task multiplies its blocks, one at a time, with as much of the right side; a larger left side
+    makes more blocks. It is exact, so its work is the product of the two sides.
     """
-    total = left.agg(F.coalesce(F.sum(F.size("left_vec") * 8 + F.length(F.col("left_key").cast("string"))), F.lit(0)).alias("b")).first().b
-    passes = total // block_bytes + 1
+    blocks = Spool(left.select("left_key", "left_vec"), block_bytes)
     kind = dict(left.dtypes)["left_key"], dict(right.dtypes)["right_key"]
-    out = None
-    for k in range(passes):
-        rows = left.where(F.pmod(F.xxhash64("left_key"), F.lit(passes)) == k).collect()
-        keys = [r.left_key for r in rows]
-        matrix = np.array([r.left_vec for r in rows], np.float64) if rows else np.zeros((0, 1))
-
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not keys or not batch.num_rows:
-                    continue
-                other = np.array(batch.column(1).to_pylist(), np.float64)
-                step = max(1, 4_000_000 // len(keys))
-                for i in range(0, len(other), step):
-                    cosine = other[i : i + step] @ matrix.T
-                    r, c = np.nonzero(np.round(np.clip(cosine, 0, 1), 4) >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in c]), batch.column(0).take(pa.array(r + i)), pa.array(cosine[r, c])], names=["left_key", "right_key", "cosine"])
-
-        part = right.select("right_key", "right_vec").mapInArrow(run, f"left_key {kind[0]}, right_key {kind[1]}, cosine double")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+        flat = vectors.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+    def multiplied(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        keys, other = rows.column(0).combine_chunks(), matrix(rows.column(1))
+        for names, vectors in blocks.blocks(lambda t: (t.column(0).combine_chunks(), matrix(t.column(1)))):
+            step = max(1, 4_000_000 // len(names))
+            for i in range(0, len(other), step):
+                cosine = other[i : i + step] @ vectors.T
+                r, c = np.nonzero(np.round(np.clip(cosine, 0, 1), 4) >= least)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), keys.take(pa.array(r + i)), pa.array(cosine[r, c])], names=["left_key", "right_key", "cosine"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= block_bytes:
+                yield from multiplied(held)
+                held, size = [], 0
+        if held:
+            yield from multiplied(held)
+
+    return right.select("right_key", "right_vec").mapInArrow(run, f"left_key {kind[0]}, right_key {kind[1]}, cosine double")
 
 
 def semantic(catalog: DataFrame, offers: DataFrame, prior: DataFrame | None = None, min_confidence: float = 0.60, encoder: Encoder = bag_of_words, by_pair: bool = False) -> DataFrame:
@@ -183,6 +235,37 @@ def semantic(catalog: DataFrame, offers: DataFrame, prior: DataFrame | None = No
     return found.select(*candidate("semantic", score, F.lit("SEMANTIC"), cosine=F.col("cosine")))
 
 
+def of_pairs(pairs: DataFrame, min_confidence: float = 0.60, encoder: Encoder = bag_of_words) -> DataFrame:
+    """Candidates of all layers for given pairs of a product and an offer that was found for it alone.
+
+    ``pairs`` has catalog_idx, offer_idx, source_id, and of either side, with a_ and b_ before them, brand,
+    title, category, sku, ean and gtin. Meaning is compared but for offers whose source_id an
+    identifier or SKU settles for the product.
+    """
+    code = lambda f, side, name: f(F.col(f"{side}_{name}"))
+    rows = pairs.select(
+        "catalog_idx", "offer_idx", "source_id", *(code(text.brand, x, "brand").alias(f"{x}_brand") for x in "ab"), *(code(identifiers.sku, x, "sku").alias(f"{x}_sku") for x in "ab"), *(code(identifiers.ean, x, "ean").alias(f"{x}_ean") for x in "ab"), *(code(identifiers.gtin, x, "gtin").alias(f"{x}_gtin") for x in "ab"),
+        text.product_text(F.col("a_brand"), F.col("a_title"), F.col("a_category")).alias("left_key"), text.product_text(F.col("b_brand"), F.col("b_title")).alias("right_key"),
+    )
+    conflict = F.coalesce(F.col("a_brand") != F.col("b_brand"), F.lit(False))
+    kind = F.when(F.col("a_ean") == F.col("b_ean"), "ean").when(F.col("a_gtin") == F.col("b_gtin"), "gtin")
+    coded = rows.withColumn("kind", kind).where("kind is not null")
+    exact = coded.select(*candidate("exact_id", F.when(conflict, EXACT_CONFLICT).otherwise(EXACT), F.concat(F.lit("EXACT_"), F.upper("kind")), matched_on=F.col("kind"), identifier=F.when(F.col("kind") == "ean", F.col("a_ean")).otherwise(F.col("a_gtin")), brand_conflict=conflict))
+    boost = F.when(conflict, CONFLICT).when(F.col("a_brand") == F.col("b_brand"), SAME).otherwise(UNKNOWN)
+    named = rows.where("a_sku <> '' and b_sku <> ''").withColumn("ratio", indel_ratio("a_sku", "b_sku")).withColumn("boost", boost)
+    state = F.when(F.col("boost") == SAME, "match").when(F.col("boost") == UNKNOWN, "unknown").otherwise("conflict")
+    by_sku = named.select(*candidate("sku_brand", F.round(F.col("ratio") * F.col("boost"), 4), F.lit("SKU_BRAND"), fuzzy_score=F.col("ratio"), brand_state=state))
+    found = exact.unionByName(by_sku)
+    sure = found.where(F.col("confidence") >= CONFIDENT).select("catalog_idx", "offer_idx").join(rows.select("catalog_idx", "offer_idx", "source_id"), ["catalog_idx", "offer_idx"]).select("catalog_idx", "source_id").distinct()
+    open_ = rows.join(sure, ["catalog_idx", "source_id"], "left_anti")
+    both = open_.join(encoded(open_, "left_key", encoder, "left_vec"), "left_key").join(encoded(open_, "right_key", encoder, "right_vec"), "right_key")
+    cosine = F.aggregate(F.zip_with("left_vec", "right_vec", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    meant = both.withColumn("cosine", cosine)
+    score = F.round(F.least(F.greatest(F.col("cosine"), F.lit(0.0)), F.lit(1.0)), 4)
+    by_meaning = meant.select(*candidate("semantic", score, F.lit("SEMANTIC"), cosine=F.col("cosine")))
+    return found.unionByName(by_meaning).where(F.col("confidence") >= min_confidence)
+
+
 def deduplicated(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     """The most confident candidate of each product and (source, source_id), the earlier one of equals.
 
