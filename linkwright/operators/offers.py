@@ -57,21 +57,44 @@ def as_offers(hits: DataFrame, market: str) -> DataFrame:
     )
 
 
+def grams(value: Column, n: Column) -> Column:
+    """The distinct substrings of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda i: F.substr(value, i, n)))
+
+
+def containing(texts: DataFrame, patterns: DataFrame, most: int = 4) -> DataFrame:
+    """text_, pattern: the distinct texts that contain each of the distinct patterns, which are not empty.
+
+    A pattern is looked up by one of its substrings of ``most`` characters, the one that the fewest
+    texts have, or by itself if it is shorter; a substring that very many texts have serves only
+    patterns of nothing rarer. Texts found so are read for the whole pattern.
+    """
+    length = lambda c: F.least(F.length(c), F.lit(most))
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: n)
+    exploded = texts.where("text_ <> ''").select("text_", F.explode(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("text_")), lambda n: grams(F.col("text_"), n)))).alias("gram"))
+    wanted = patterns.where("pattern <> ''").select("pattern", F.explode(grams(F.col("pattern"), length("pattern"))).alias("gram"))
+    counts = exploded.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("pattern", F.col("k.gram").alias("gram"))
+    return exploded.join(rarest, "gram").where(F.contains("text_", F.col("pattern"))).select("text_", "pattern")
+
+
 def feed_matches(catalog: DataFrame, feed: DataFrame) -> DataFrame:
-    """catalog_idx, item_idx: items (item_idx, title, ean) with the product's identifier, its SKU in
-    the title, or every word of brand and title in it.
+    """catalog_idx, item_idx: items (item_idx, title, ean) with the product's identifier, its SKU in the
+    title, or every token of brand and title in it; all in lower case, anywhere in a word.
 
-    The OR is split: an equi-join by identifier; SKU and words by joins on words of the title. A
-    product's SKU inside a longer word is found through that word's own join on its first characters.
+    The OR is split: an equi-join by identifier, and for SKUs and for each product's longest token
+    the titles that contain it. Distinct titles, SKUs and tokens are compared, not rows.
     """
-    product = catalog.select(F.col("row_idx").alias("catalog_idx"), F.coalesce(identifiers.ean(F.col("ean")), identifiers.gtin(F.col("gtin"))).alias("id_"), F.lower("sku").alias("sku_"), F.array_distinct(F.filter(F.split(text.product_text(F.col("brand"), F.col("title")), " "), lambda w: w != "")).alias("words_"))
-    item = feed.select("item_idx", identifiers.ean(F.col("ean")).alias("id_"), F.lower("title").alias("title_"))
+    code = lambda c: F.coalesce(identifiers.ean(F.col(c)), identifiers.gtin(F.col(c)))
+    tokens = F.filter(F.split(F.trim(F.lower(F.concat_ws(" ", "brand", "title"))), r"(?U)\s+"), lambda t: t != "")
+    longest = F.get(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 0)["t"]
+    product = catalog.select(F.col("row_idx").alias("catalog_idx"), F.coalesce(identifiers.ean(F.col("ean")), identifiers.gtin(F.col("gtin"))).alias("id_"), F.lower(F.trim("sku")).alias("sku_"), F.array_distinct(tokens).alias("tokens"), longest.alias("longest"))
+    item = feed.select("item_idx", code("ean").alias("id_"), F.lower("title").alias("text_"))
+    titles = item.where("text_ is not null").select("text_").distinct()
     by_id = product.where("id_ is not null").join(item, "id_").select("catalog_idx", "item_idx")
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
-    long_ = product.where("length(sku_) >= 4").select("catalog_idx", "sku_", F.substring("sku_", 1, 4).alias("gram"))
-    by_sku = item.where("length(title_) >= 4").select("item_idx", "title_", F.explode(grams(F.col("title_"), 4)).alias("gram")).join(long_, "gram").where(F.contains("title_", F.col("sku_"))).select("catalog_idx", "item_idx")
-    longest = F.get(F.array_sort(F.transform("words_", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
-    keyed = product.where("size(words_) > 0").select("catalog_idx", "words_", longest.alias("word"))
-    plain = item.select("item_idx", text.title(F.col("title_")).alias("t"))
-    by_words = plain.select("item_idx", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).join(keyed, "word").where(F.forall("words_", lambda w: F.contains("t", w))).select("catalog_idx", "item_idx")
-    return by_id.unionByName(by_sku).unionByName(by_words).distinct()
+    patterns = product.select(F.col("sku_").alias("pattern")).union(product.select("longest")).where("pattern is not null").distinct()
+    found = containing(titles, patterns)
+    by_sku = product.join(found, F.col("sku_") == F.col("pattern")).select("catalog_idx", "text_")
+    by_words = product.join(found, F.col("longest") == F.col("pattern")).where(F.forall("tokens", lambda t: F.contains("text_", t))).select("catalog_idx", "text_")
+    by_title = by_sku.union(by_words).distinct().join(item, "text_").select("catalog_idx", "item_idx")
+    return by_id.union(by_title).distinct()

@@ -1,6 +1,8 @@
 """Column functions, file sources and layers on literals and small tables."""
 
+import random
 from decimal import Decimal
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,8 +50,11 @@ def test_indel_ratio():
                 rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
         return rows[-1][-1]
 
-    for a, b in [("SAM-GAL-S21", "SAMGALS21"), ("", "A"), ("ABAB", "BABA"), ("XYZ", "XYZ")]:
-        assert similarity.common_subsequence(a, b) == lcs(a, b)
+    pairs = [("SAM-GAL-S21", "SAMGALS21"), ("", "A"), ("ABAB", "BABA"), ("XYZ", "XYZ"), ("A", ""), ("", ""), ("AB" * 32, "BA" * 40), ("é日B", "日é"), ("A" * 64, "A" * 70)]
+    r = random.Random(2)
+    pairs += [tuple("".join(r.choice("AB") for _ in range(r.randint(0, 64))) for _ in "xy") for _ in range(50)]
+    assert all(similarity.common_subsequence(a, b) == lcs(a, b) for a, b in pairs)
+    assert similarity.common_subsequences(*map(list, zip(*pairs, strict=True))).tolist() == [lcs(a, b) for a, b in pairs]
 
 
 def test_files_to_landscape(spark, tmp_path):
@@ -77,10 +82,56 @@ def test_providers(spark):
     assert providers.keepa(one('{"products":[{"asin":"B1","title":"t","stats":{"current":[1999]}},{"asin":"B2","title":"t","stats":{"current":[-1]}}]}')).first().price == Decimal("19.9900")
 
 
+PRODUCTS = [(1, "ABC-77", "Sony", "Camera Red", "4006381333931", None), (2, None, "Dell", "Laptop", None, None), (3, "z", "Zed", "Lens", None, "00012345600012"), (4, "q7", "Bosch", "Drill 18V  Set", "036000291452", None), (5, " ", None, "ears", None, None), (6, "X1Y", "ab", "c", "bad", "bad")]
+ITEMS = [
+    (1, "x", "4006381333931"), (2, "the abc-77z", None), (3, "red sony camera bag", None), (4, "red camera", None), (5, "dell laptops 15", None), (6, "Zebra", None), (7, "boschdrills 18v presets", None), (8, "nq7", ""), (9, None, "0036000291452"), (10, "", None),
+    (11, "cab", None), (12, "headphones for years", "00012345600012"), (13, "RED SONY CAMERA BAG", None), (13, "RED SONY CAMERA BAG", None),
+]
+
+
+def in_feed(product, item):
+    """The rule for one pair, in plain Python."""
+
+    def code(*values):
+        for v in values:
+            d = "".join(c for c in v or "" if c.isdigit())
+            for f in (d.zfill(13) if len(d) == 12 else d, d):
+                if len(f) in (8, 12, 13, 14) and sum((3 if i % 2 else 1) * int(c) for i, c in enumerate(reversed(f))) % 10 == 0:
+                    return f
+
+    _, sku, brand, title, ean, gtin = product
+    _, text, other = item
+    mine, text = code(ean, gtin), (text or "").lower()
+    tokens = " ".join(filter(None, (brand, title))).lower().split()
+    return bool(mine and mine == code(other) or (sku or "").strip().lower() and sku.strip().lower() in text or text and tokens and all(t in text for t in tokens))
+
+
 def test_feed_matches(spark):
-    catalog = spark.createDataFrame([(1, "ABC-77", "Sony", "Camera Red", "4006381333931", None), (2, None, "Dell", "Laptop", None, None)], "row_idx long, sku string, brand string, title string, ean string, gtin string")
-    feed = spark.createDataFrame([(1, "x", "4006381333931"), (2, "the abc-77z", None), (3, "red sony camera bag", None), (4, "red camera", None), (5, "dell laptops 15", None)], "item_idx long, title string, ean string")
-    assert {tuple(r) for r in feed_matches(catalog, feed).collect()} >= {(1, 1), (1, 2), (1, 3)}
+    catalog = spark.createDataFrame(PRODUCTS, "row_idx long, sku string, brand string, title string, ean string, gtin string")
+    feed = spark.createDataFrame(ITEMS, "item_idx long, title string, ean string")
+    got = [tuple(r) for r in feed_matches(catalog, feed).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p[0], i[0]) for p in PRODUCTS for i in ITEMS if in_feed(p, i)}
+    assert {(3, 6), (4, 7), (4, 9), (5, 12), (1, 13)} <= set(got)
+
+
+def test_feed_matches_at_random(spark):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abc") for _ in range(r.randint(1, n)))
+    products = [(i, r.choice([None, word(6)]), r.choice([None, word(3)]), f"{word(4)} {word(2)}", None, None) for i in range(60)]
+    items = [(i, " ".join(word(7) for _ in range(r.randint(0, 4))), None) for i in range(80)]
+    got = [tuple(x) for x in feed_matches(spark.createDataFrame(products, "row_idx long, sku string, brand string, title string, ean string, gtin string"), spark.createDataFrame(items, "item_idx long, title string, ean string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p[0], i[0]) for p in products for i in items if in_feed(p, i)}
+
+
+def test_addresses(spark):
+    def plain(value):
+        at = urlsplit(value.strip())
+        names = sorted((k, v) for k, v in parse_qsl(at.query) if k.lower() not in offers.TRACKING and not k.lower().startswith("utm_"))
+        return f"{at.scheme or 'https'}://{at.netloc.lower().removeprefix('www.')}{at.path.rstrip('/') or '/'}{'?' + urlencode(names) if names else ''}"
+
+    given = ["HTTPS://www.Shop.it/P/1/?b=2&a=1#x", "shop.it/x", "//h.it", "http://a.it?z=%C3%A9+x&z=a%20b&y=&q", "http://a.it/?=v&k=a=b&UTM_X=1&Ref=2&tag=&m=~*!", " https://u:p@w.it:8080/a//?x=%zz ", "mailto:a@b.it", "http://a.it/?b=1&B=2&a=%2F"]
+    rows = spark.createDataFrame([(x,) for x in [*given, None, "http://[bad "]], "u string").select("u", offers.url("u").alias("got")).collect()
+    assert {r.u: r.got for r in rows} == {x: plain(x) for x in given} | {None: None, "http://[bad ": "http://[bad"}
 
 
 def test_meaning_leaves_out_what_is_settled(spark):
