@@ -7,6 +7,9 @@ no JSON give no hits. Fetching them is outside: any Spark source that yields bod
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ from ..functions import identifiers, money
 from ..functions.money import MONEY
 
 
+#: Providers by what a search costs; the free ones come first.
+TIERS = {"searxng": 0, "duckduckgo": 0, "trovaprezzi": 0, "ebay": 0, "feed": 0, "csv": 0, "dataforseo": 1, "serper": 1, "keepa": 1}
+#: Hits of a product's one provider are numbered below this.
+HITS_MOST = 1 << 40
+
+
+def together(found: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """All providers' hits, given as (provider, hits), numbered in the order of cost, provider and hit.
+
+    Providers of one cost keep the order they are given in. Columns that a provider lacks are null.
+    """
+    ordered = sorted(found, key=lambda pair: TIERS.get(pair[0], 0))
+    rows = [df.withColumn("hit_idx", F.col("hit_idx") + F.lit(k * HITS_MOST)) for k, (_, df) in enumerate(ordered)]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("ean", "sku", "brand") if c not in out.columns))
+
+
 def hits(df: DataFrame, provider: str, title: Column, url: Column, snippet: Column | None = None, price: Column | None = None, currency: Column | None = None, shipping: Column | None = None, ean: Column | None = None, titled: bool = True) -> DataFrame:
     empty = F.lit(None).cast("string")
     col = lambda c, kind="string": (empty if c is None else c).cast(kind)
@@ -34,8 +54,9 @@ def items(answers: DataFrame, schema: str, *path: str) -> DataFrame:
     for k, step in enumerate(path):
         rows = rows.select("catalog_idx", *order, F.posexplode(f"x.{step}").alias(f"p{k}", "x"))
         order.append(f"p{k}")
-    index = sum((F.col(p).cast("long") * 10 ** (4 * (len(order) - 1 - k)) for k, p in enumerate(order)), F.lit(0))
-    return rows.withColumn("hit_idx", index)
+    if len(order) == 1:
+        return rows.withColumn("hit_idx", F.col("p0").cast("long"))
+    return rows.withColumn("hit_idx", F.row_number().over(Window.partitionBy("catalog_idx").orderBy(*order)).cast("long") - 1)
 
 
 def searxng(answers: DataFrame, market: str = "IT") -> DataFrame:

@@ -1,0 +1,135 @@
+"""The online run: providers' hits together, pages and what they confirm, and what is kept."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkwright.operators import landscape, pages
+from linkwright.plans import online
+from linkwright.sources import files, providers
+
+SCHEMA = "row_idx long, sku string, brand string, title string, category string, ean string, gtin string, price decimal(18,4), cogs decimal(18,4)"
+PRODUCTS = [(1, "LMP-100", "Sony", "Red lamp large", "Lights", "4006381333931", None, Decimal(90), None), (2, "CHR-200", "Dell", "Oak chair", "Seats", None, None, None, None)]
+POOL = "row_idx long, source string, source_id string, title string, price decimal(18,4), currency string, url string, market string, ean string, sku string, brand string, shipping_cost decimal(18,4), availability string"
+
+
+@pytest.fixture
+def catalog(spark):
+    return spark.createDataFrame(PRODUCTS, SCHEMA)
+
+
+def hits(spark, *rows):
+    return spark.createDataFrame(list(rows), "catalog_idx long, hit_idx long, source_provider string, title string, url string, snippet string, price decimal(18,4), currency string, shipping_cost decimal(18,4), ean string")
+
+
+def test_providers_come_by_cost(spark):
+    keepa = hits(spark, (1, 0, "keepa", "t", "u1", None, Decimal(1), "EUR", None, None))
+    web = hits(spark, (1, 1, "searxng", "t", "u2", None, None, None, None, None), (1, 0, "searxng", "t", "u3", None, None, None, None, None))
+    feed = web.limit(1).withColumn("source_provider", F.lit("feed")).withColumn("sku", F.lit("s"))
+    rows = providers.together([("keepa", keepa), ("searxng", web), ("feed", feed)]).orderBy("hit_idx").collect()
+    assert [r.source_provider for r in rows] == ["searxng", "searxng", "feed", "keepa"] and rows[0].url == "u3"
+    assert {r.sku for r in rows} == {None, "s"} and rows[0].brand is None
+
+
+def test_fetched_offers_are_one_a_shop(spark, catalog):
+    web = hits(
+        spark, (1, 0, "searxng", "Red lamp large LMP-100", "https://a.it/x?utm_source=1", None, None, None, None, None), (1, 1, "searxng", "Red lamp", "https://a.it/x", "now", Decimal(9), "EUR", None, None),
+        (1, 2, "searxng", "Sony lamp lmp100", "https://www.b.it/y", None, Decimal(7), None, None, None), (2, 0, "searxng", "Oak chair", "https://b.it/z", None, None, None, None, None),
+    )
+    feed = hits(spark, (1, 0, "feed", "Lamp", "https://b.it/q", None, Decimal(5), "EUR", Decimal(0), "4006381333931"))
+    rows = {(r.catalog_idx, r.seller): r for r in online.fetched_offers(catalog, [("feed", feed), ("searxng", web)]).collect()}
+    assert set(rows) == {(1, "a.it"), (1, "b.it"), (2, "b.it")} and len({r.row_idx for r in rows.values()}) == 3
+    assert rows[1, "a.it"].price == 9 and (rows[1, "b.it"].source, rows[1, "b.it"].price, rows[1, "b.it"].shipping_source) == ("feed", 5, "feed")
+    assert rows[1, "b.it"].ean == "4006381333931" and min(r.row_idx for r in rows.values()) >= online.FETCHED_FROM
+
+
+def page(body, ld=""):
+    return f"<html><body>{'<script type=application/ld+json>' + ld + '</script>' if ld else ''}{body}{'x' * 1100}</body></html>"
+
+
+def test_pages(spark, catalog):
+    ld = '{"@type":"Product","sku":"LMP-100","gtin13":"%s","offers":{"price":"80.00","priceCurrency":"%s","seller":{"name":"S"},"valueAddedTaxIncluded":false}}'
+    bodies = {
+        "u1": page("", ld % ("4006381333931", "EUR")), "u2": page("", ld % ("4006381333931", "HUF")), "u3": page("see chr-200 now"), "u4": "short", "u5": page('<meta content="12,50" property="product:price:amount">consegna: 4,99€'),
+        "https://sovatem.it/p": page("nothing"), "u8": page("code 40063813339310"),
+    }
+    shown = spark.createDataFrame([(u, h, 200) for u, h in bodies.items()] + [("u3", page("x"), 200), ("u6", page("LMP-100"), 404)], "url string, html string, status_code int")
+    urls = [*bodies, "u6", "", None]
+    offers = spark.createDataFrame([(k, u, Decimal(10), "EUR", Decimal(1) if k == 0 else None, "seller") for k, u in enumerate(urls)], "row_idx long, url string, price decimal(18,4), currency string, shipping_cost decimal(18,4), seller string")
+    offers = offers.select("*", F.lit(None).cast("string").alias("shipping_source"), F.lit("IN_STOCK").alias("availability"), F.lit(None).cast("int").alias("stock_quantity"), F.lit(None).cast("boolean").alias("vat_included"))
+    product = {2: 2}
+    found = spark.createDataFrame([(product.get(k, 1), k, k + 1) for k in range(len(urls))], "catalog_idx long, offer_idx long, cand_rank int")
+    rows = {r.offer_idx: r for r in pages.verify(found, catalog, offers, shown).collect()}
+    assert len(rows) == len(urls)
+    told = [(rows[k].pdp_verified, rows[k].confirmation_method, rows[k].pdp_skip_reason, rows[k].extraction_method) for k in range(len(urls))]
+    assert told == [
+        (True, "PDP·EAN", None, "json_ld"), (True, "PDP·EAN", None, "json_ld"), (True, "PDP·SKU", None, "regex"), (False, None, "fetch_failed", None), (False, None, None, "meta"), (False, None, None, None), (False, None, None, None),
+        (False, None, "fetch_failed", None), (False, None, "no_url", None), (False, None, "no_url", None),
+    ]
+    assert (rows[0].price, rows[0].seller, rows[0].vat_included, rows[0].shipping_cost, rows[0].page_gtin) == (80, "S", False, 1, "4006381333931") and rows[1].price == 10
+    assert (rows[4].price, rows[4].shipping_cost, rows[4].shipping_source) == (Decimal("12.5"), Decimal("4.99"), "page") and (rows[5].shipping_cost, rows[5].shipping_source) == (0, "rule")
+    capped = {r.offer_idx: r for r in pages.verify(found, catalog, offers, shown, most=1).collect()}
+    assert capped[0].pdp_verified and capped[1].pdp_verified is None and capped[1].pdp_skip_reason is None and len(capped) == len(urls)
+
+
+def test_consensus_fills_the_barcode(spark, catalog):
+    codes = [(2, 1, "A"), (2, 2, "B"), (2, 3, "A"), (2, 4, None), (1, 5, "A"), (1, 6, "A")]
+    seen = spark.createDataFrame([(*c, "PDP·SKU") for c in codes], "catalog_idx long, offer_idx long, page_gtin string, confirmation_method string")
+    rows = {r.offer_idx: (r.gtin_recovered, r.gtin_conflict, r.confirmation_method) for r in pages.gtin_consensus(seen, catalog).collect()}
+    assert rows == {1: (True, False, "PDP·GTIN"), 3: (True, False, "PDP·GTIN"), 2: (False, True, "PDP·SKU"), 4: (False, False, "PDP·SKU"), 5: (False, False, "PDP·SKU"), 6: (False, False, "PDP·SKU")}
+    filled = {r.row_idx: (r.ean, r.gtin) for r in pages.with_agreed_codes(catalog, seen).collect()}
+    assert filled == {1: ("4006381333931", None), 2: ("A", "A")}
+
+
+def test_run(spark, catalog):
+    pool = spark.createDataFrame([
+        (0, "oxylabs", "p0", "Other thing", Decimal(50), "EUR", "", "IT", "4006381333931", None, "Sony", Decimal(0), "IN_STOCK"),
+        (1, "oxylabs", "p1", "Oak chair", Decimal(20), "EUR", "https://c.it/1", "IT", None, None, "Dell", Decimal(2), "IN_STOCK"),
+        (2, "oxylabs", "p2", "Chair CHR200", None, "EUR", "https://d.it/1", "IT", None, "CHR-200", "Dell", Decimal(2), "IN_STOCK"),
+    ], POOL)
+    web = hits(spark, (2, 0, "searxng", "Dell oak chair CHR-200", "https://e.it/1", None, Decimal(19), "EUR", None, None), (1, 0, "searxng", "Oak chair Dell", "https://f.it/1", None, Decimal(3), "EUR", None, None))
+    shown = spark.createDataFrame([("https://c.it/1", page("CHR-200"), 200), ("https://e.it/1", page("Spedizione gratuita"), 200)], "url string, html string, status_code int")
+    run = online.run(catalog, pool, [("searxng", web)], shown)
+    kept = {(r.catalog_idx, r.source, r.confirmation_method) for r in run.accepted.join(run.offers.selectExpr("row_idx AS offer_idx", "source"), "offer_idx").collect()} if "source" not in run.candidates.columns else {(r.catalog_idx, r.source, r.source_id if r.source == "oxylabs" else "", r.confirmation_method) for r in run.accepted.collect()}
+    # p2 has no price; the fetched chair's shipping comes from its page; a hit found for the lamp is not compared with the chair.
+    assert kept == {(1, "oxylabs", "p0", None), (2, "oxylabs", "p1", "PDP·SKU"), (2, "searxng", "", None)}
+    best = {r.catalog_idx: (r.source, r.match_method) for r in run.best.collect()}
+    assert best == {1: ("oxylabs", "EXACT_EAN"), 2: ("searxng", "SKU_BRAND")}
+    rows = landscape.landscape_rows(run.catalog, run.accepted, run.offers).where("product_sku = 'CHR-200'").orderBy("place").collect()
+    assert [(r.competitor_landed, r.shipping_note, r.confirmation_method) for r in rows] == [(Decimal("15.57"), "free", "PDP·SKU"), (Decimal("18.39"), "", "PDP·SKU")]
+    stats = landscape.offer_statistics(run.accepted, run.offers).first()
+    assert (stats.total_offers, stats.offers_with_shipping, stats.offers_pdp_verified) == (3, 3, 1)
+    rejected = online.run(catalog, pool, [("searxng", web)], None, only_complete=False).candidates.where("status = 'rejected'")
+    assert {r.source_id for r in rejected.collect()} == {"p1"}
+
+
+def test_strict_takes_the_next_best(spark):
+    rows = [(1, 10, 0.9, "semantic", "accepted", 1, None), (1, 11, 0.8, "exact_id", "accepted", 2, None), (1, 12, 0.7, "semantic", "accepted", 3, "PDP·SKU"), (1, 13, 0.2, "semantic", "rejected", 1, None), (2, 14, 0.8, "sku_brand", "accepted", 1, "json_ld")]
+    found = spark.createDataFrame(rows, "catalog_idx long, offer_idx long, confidence double, layer_source string, status string, cand_rank int, confirmation_method string").withColumn("gtin_conflict", F.col("catalog_idx") == 2)
+    assert {(r.offer_idx, r.status, r.cand_rank) for r in landscape.strict(found).collect()} == {(11, "accepted", 1), (12, "accepted", 2), (10, "rejected", 1), (13, "rejected", 2), (14, "rejected", 1)}
+
+
+def test_other_providers(spark, tmp_path):
+    one = lambda body: spark.createDataFrame([(7, body), (8, "{bad"), (9, None)], "catalog_idx long, body string")
+    ebay = providers.ebay(one('{"itemSummaries":[{"title":"a","itemWebUrl":"u","price":{"value":"9.50","currency":"EUR"},"shippingOptions":[{"shippingCost":{"value":"3"}},{"shippingCost":{"value":"0"}}],"gtin":"g"},{"title":"no address"}]}')).collect()
+    assert [(r.catalog_idx, r.url, r.price, r.shipping_cost, r.ean) for r in ebay] == [(7, "u", Decimal("9.5"), 3, "g")]
+    serper = providers.serper(one('{"shopping":[{"title":"a","link":"u","price":"€ 1.299,00","delivery":"Free delivery"},{"title":"b","link":"v","price":"£5","delivery":"4,99 shipping"},{"title":"c","link":"w","price":"5"}],"organic":[{"title":"x","link":"y"}]}')).orderBy("hit_idx").collect()
+    assert [(r.url, r.price, r.currency, r.shipping_cost) for r in serper] == [("u", Decimal(1299), "EUR", 0), ("v", Decimal(5), "GBP", Decimal("4.99")), ("w", Decimal(5), None, None)]
+    nested = providers.dataforseo(one('{"status_code":20000,"tasks":[{"result":[{"items":[{"title":"t","url":"a","price":1}]},{"items":[{"title":"t","url":"b","price":1}]}]},{"result":[{"items":[{"title":"t","url":"c","price":1}]}]}]}')).orderBy("hit_idx").collect()
+    assert [(r.url, r.hit_idx) for r in nested] == [("a", 0), ("b", 1), ("c", 2)]
+    (tmp_path / "feed.xml").write_text('<rss xmlns:g="http://base.google.com/ns/1.0"><channel><item><title> Lamp </title><link>https://a.it/1</link><g:price>211.75 EUR</g:price><g:gtin>4006381333931</g:gtin><g:shipping><g:price>4.90 EUR</g:price></g:shipping></item><item><title>no link</title></item></channel></rss>')
+    feed = providers.merchant_feed(spark, str(tmp_path / "feed.xml")).collect()
+    assert [(r.title, r.url, r.price, r.currency, r.shipping_cost, r.ean) for r in feed] == [("Lamp", "https://a.it/1", Decimal("211.75"), "EUR", Decimal("4.9"), "4006381333931")]
+
+
+def test_csv_edges(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('Code|Name|Manufacturer|EAN13|Prezzo|Extra\nA|"two\nlines"|Sony|"8,02586E+12"|"1.234,5"|x\n')
+    row = files.catalog(files.read_csv(spark, str(tmp_path / "c.csv")), "DE").collect()
+    assert [(r.sku, r.title, r.ean, r.price, r.market, r.attributes) for r in row] == [("A", "two\nlines", None, Decimal("1234.5"), "DE", {"Extra": "x"})]
+    (tmp_path / "o.csv").write_text("id,title,price,stock,retailer,delivery,delivery_cost,currency\n,t,\"5,00\",esaurito,Shop,,3,\nq,u,7,1,,ask,4,GBP\n")
+    rows = sorted(files.offers(files.read_csv(spark, str(tmp_path / "o.csv"))).collect(), key=lambda r: r.title)
+    assert [(r.source_id, r.source, r.price, r.availability, r.seller, r.shipping_cost, r.currency) for r in rows] == [("row-1", "oxylabs", 5, "OUT_OF_STOCK", "Shop", 3, "EUR"), ("q", "oxylabs", 7, "IN_STOCK", None, None, "GBP")]
+    (tmp_path / "bad.csv").write_text("id,title,price\n1,t,ask\n")
+    with pytest.raises(files.InputError):
+        files.offers(files.read_csv(spark, str(tmp_path / "bad.csv")))
