@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import identifiers, money, offers as offer_functions, text
 from .operators import landscape, matching, offers as offer_operators, pages
-from .plans import cascade
+from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
 from .sources import files, result_pages
 
@@ -97,7 +97,7 @@ def upc_gtin_not_equal_ean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sku_brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL has a common subsequence; tests hold it against brute force."""
-    return matching.sku_brand(*inputs(spark, sf_dir), min_confidence=0.95).select("catalog_idx", "offer_idx", "confidence", "match_method")
+    return matching.sku_brand(*inputs(spark, sf_dir)).select("catalog_idx", "offer_idx", "confidence", "match_method")
 
 
 @query(
@@ -113,13 +113,20 @@ def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.select("left_key", "right_key", F.round("cosine", 4).alias("cosine"))
 
 
-@query()
+#: Words at the sum of their code points, as the stand-in encoder counts them, for a text t.
+BAG = "[len([w for w in string_split(t, ' ') if list_sum([unicode(ch) for ch in string_split(w, '')]) % 64 = d])::DOUBLE for d in range(64)]"
+
+
+@query(
+    f"{WITH}, l AS (SELECT DISTINCT lower(concat_ws(' ', brand, title, category)) AS t FROM catalog), r AS (SELECT DISTINCT lower(concat_ws(' ', brand, title)) AS t FROM offers), "
+    f"lv AS MATERIALIZED (SELECT t, {BAG} AS v FROM l), rv AS MATERIALIZED (SELECT t, {BAG} AS v FROM r) SELECT lv.t AS left_key, rv.t AS right_key, round(list_cosine_similarity(lv.v, rv.v), 4) AS cosine FROM lv, rv WHERE round(list_cosine_similarity(lv.v, rv.v), 4) >= 0.6"
+)
 def semantic_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of products whose offers have no identifier, by the stand-in encoder, as distinct texts."""
+    """All products' texts against all offers' texts by the stand-in encoder, as distinct texts."""
     catalog, offers = inputs(spark, sf_dir)
     left = catalog.select(text.product_text(F.col("brand"), F.col("title"), F.col("category")).alias("left_key"))
     right = offers.select(text.product_text(F.col("brand"), F.col("title")).alias("right_key"))
-    close = matching.similar(matching.encoded(left, "left_key", matching.bag_of_words, "left_vec"), matching.encoded(right, "right_key", matching.bag_of_words, "right_vec"), 0.9)
+    close = matching.similar(matching.encoded(left, "left_key", matching.bag_of_words, "left_vec"), matching.encoded(right, "right_key", matching.bag_of_words, "right_vec"), 0.6)
     return close.select("left_key", "right_key", F.round("cosine", 4).alias("cosine"))
 
 
@@ -191,11 +198,18 @@ def hits_as_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offer_operators.as_offers(derived(spark, sf_dir, HITS).withColumn("place", F.col("hit_idx")), "IT").select("catalog_idx", "source_id", "price", "seller", "market")
 
 
-@query()
+#: Titles of a merchant's feed: with the words of brand and name apart or inside others, with the SKU alone or inside a word.
+FEED_TITLE = "CASE cast(row_idx % 6 as int) WHEN 0 THEN concat('New ', coalesce(brand, ''), ' ', title, ' set') WHEN 1 THEN concat('x', coalesce(sku, 'y'), 'z') WHEN 2 THEN concat(title, 's ', coalesce(brand, 'any'), 'ware') WHEN 3 THEN lower(coalesce(sku, '')) WHEN 4 THEN concat('only ', title) ELSE seller END"
+
+
+@query(
+    f"{WITH}, feed AS (SELECT row_idx AS item_idx, {FEED_TITLE} AS title, ean FROM offers), t AS MATERIALIZED (SELECT DISTINCT title, lower(title) AS low FROM feed), p AS MATERIALIZED (SELECT row_idx, lower(sku) AS sku, string_split(lower(concat_ws(' ', brand, title)), ' ') AS tokens FROM catalog), "
+    "m AS (SELECT p.row_idx, t.title FROM p JOIN t ON contains(t.low, p.sku) UNION SELECT p.row_idx, t.title FROM p JOIN t ON contains(t.low, p.tokens[1]) AND contains(t.low, p.tokens[2]) AND contains(t.low, p.tokens[-1]) WHERE len([x for x in p.tokens if NOT contains(t.low, x)]) = 0) "
+    "SELECT c.row_idx AS catalog_idx, f.item_idx FROM catalog c JOIN feed f ON c.ean = f.ean UNION SELECT m.row_idx, f.item_idx FROM m JOIN feed f ON m.title = f.title"
+)
 def feed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, offers = inputs(spark, sf_dir)
-    feed = offers.select(F.col("row_idx").alias("item_idx"), F.concat_ws(" ", "sku", "seller").alias("title"), "ean")
-    return offer_operators.feed_matches(catalog, feed)
+    return offer_operators.feed_matches(catalog, offers.select(F.col("row_idx").alias("item_idx"), F.expr(FEED_TITLE).alias("title"), "ean"))
 
 
 PRICES = "CASE cast(l_orderkey % 5 as int) WHEN 0 THEN concat('€ 1.', lpad(cast(l_partkey % 1000 as string), 3, '0'), ',', lpad(cast(l_suppkey % 100 as string), 2, '0')) WHEN 1 THEN concat(cast(l_partkey as string), '.', lpad(cast(l_suppkey % 100 as string), 2, '0'), ' EUR') WHEN 2 THEN concat('1,', lpad(cast(l_partkey % 1000 as string), 3, '0'), '.5') WHEN 3 THEN 'n/a' ELSE concat('-', cast(l_partkey as string), ',5') END"
@@ -262,7 +276,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.run_statistics(catalog, exact_accepted(catalog, offers))
 
 
-@query(f"{WITH}, {EXACT_SQL} SELECT count(*) AS total_offers, round(count(*) / count(DISTINCT catalog_idx), 2) AS avg_offers_per_matched, count(shipping_cost) AS offers_with_shipping FROM exact_ JOIN offers ON offer_idx = row_idx")
+@query(f"{WITH}, {EXACT_SQL} SELECT count(*) AS total_offers, round(count(*) / count(DISTINCT catalog_idx), 2) AS avg_offers_per_matched, count(shipping_cost) AS offers_with_shipping, 0::BIGINT AS offers_pdp_verified FROM exact_ JOIN offers ON offer_idx = row_idx")
 def offer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, offers = inputs(spark, sf_dir)
     return landscape.offer_statistics(exact_accepted(catalog, offers), offers)
@@ -282,9 +296,9 @@ def complete_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All layers; SQL lacks the SKU similarity. Tests hold it against the fixtures' known answers."""
+    """All layers; SQL lacks the SKU similarity. Tests hold it against a comparison of all pairs and known answers."""
     catalog, offers = inputs(spark, sf_dir)
-    return cascade.link(catalog, offers, 0.95).best.select("catalog_idx", "offer_idx", "confidence", "match_method", "confidence_level")
+    return cascade.link(catalog, offers).best.select("catalog_idx", "offer_idx", "confidence", "match_method", "confidence_level")
 
 
 PAGE_GTIN = "CASE WHEN offer_idx % 3 = 0 THEN NULL WHEN offer_idx % 3 = 1 THEN concat('A', cast(catalog_idx as string)) ELSE concat('B', cast(offer_idx % 2 as string)) END"
@@ -366,3 +380,95 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", result_pages.visible_text("html").alias("text"))
+
+
+#: Which provider a hit comes from; the costly one is given first.
+SOURCE = "CASE cast(hit_idx % 3 as int) WHEN 0 THEN 'searxng' WHEN 1 THEN 'feed' ELSE 'keepa' END"
+
+
+@query(
+    f"WITH h AS (SELECT * REPLACE ({SOURCE} AS source_provider), CASE hit_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS tier FROM ({plain(HITS)})), u AS (SELECT *, concat('https://', regexp_extract(url, '^https://(www\\.)?([^/]*)', 2), '/p/', catalog_idx, '?color=', regexp_extract(url, 'color=([0-9])', 1)) AS u, regexp_extract(url, '^https://(www\\.)?([^/]*)', 2) AS domain, "
+    "CASE WHEN price IS NULL THEN 0 ELSE 4 END + CASE WHEN shipping_cost IS NULL THEN 0 ELSE 2 END + CASE WHEN snippet IS NULL THEN 0 ELSE 3 END AS rich FROM h), p AS (SELECT *, min(struct_pack(a := tier, b := hit_idx)) OVER (PARTITION BY catalog_idx, u) AS place, row_number() OVER (PARTITION BY catalog_idx, u ORDER BY rich DESC, tier, hit_idx) AS n FROM u), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY catalog_idx, domain ORDER BY price NULLS LAST, rich DESC, place) AS k FROM p WHERE n = 1) "
+    "SELECT catalog_idx, source_provider AS source, concat(source_provider, '-', substr(sha1(url), 1, 16)) AS source_id, price, shipping_cost, CASE WHEN shipping_cost IS NULL THEN NULL WHEN source_provider = 'feed' THEN 'feed' WHEN source_provider = 'keepa' THEN 'api' END AS shipping_source, domain AS seller FROM d WHERE k = 1"
+)
+def provider_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of three providers to one offer for each product and shop."""
+    hits = derived(spark, sf_dir, HITS).withColumn("source_provider", F.expr(SOURCE))
+    found = [(name, hits.where(F.col("source_provider") == name)) for name in ("keepa", "searxng", "feed")]
+    return online.fetched_offers(derived(spark, sf_dir, CATALOG), found).select("catalog_idx", "source", "source_id", "price", "shipping_cost", "shipping_source", "seller")
+
+
+@query(f"{BEST_SQL}, x AS (SELECT *, ok AND offer_idx % 9 <> 0 AND (layer_source <> 'semantic' OR starts_with(coalesce({CONFIRMED}, ''), 'PDP·')) AS sure FROM j) SELECT catalog_idx, offer_idx, CASE WHEN sure THEN 'accepted' ELSE 'rejected' END AS status, CASE WHEN sure THEN row_number() OVER (PARTITION BY catalog_idx, sure ORDER BY confidence DESC, r, offer_idx) END AS place FROM x")
+def strict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict matching rejects, and the others' new ranks."""
+    rows = tied(spark, sf_dir).withColumn("confirmation_method", F.expr(CONFIRMED)).withColumn("gtin_conflict", F.expr("offer_idx % 9 = 0"))
+    return landscape.strict(rows).select("catalog_idx", "offer_idx", "status", F.when(F.col("status") == "accepted", F.col("cand_rank").cast("long")).alias("place"))
+
+
+#: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone.
+PAGE_KIND = "cast(row_idx % 7 as int)"
+PAGE_URL = f"CASE {PAGE_KIND} WHEN 5 THEN '' WHEN 6 THEN concat('https://www.sovatem.it/', cast(row_idx as string)) ELSE concat('https://s.it/', cast(row_idx as string)) END"
+
+
+def made_pages(offers: DataFrame) -> DataFrame:
+    ld = lambda sku, code, money_: F.format_string('<script type="application/ld+json">{"@type":"Product","sku":"%s","gtin13":"%s","offers":[{"price":"%s","priceCurrency":"%s","availability":"https://schema.org/OutOfStock","inventoryLevel":%d,"seller":{"name":"Shop"}}]}</script>', sku, code, F.lit("12.50"), F.lit(money_), (F.col("row_idx") % 50).cast("int"))
+    kind = F.expr(PAGE_KIND)
+    body = (
+        F.when(kind == 1, ld(F.col("p_sku"), F.col("p_ean"), "EUR"))
+        .when(kind == 2, F.concat(F.lit('<meta property="og:price:amount" content="9,90"><meta content="eur" property="og:price:currency">code '), F.col("p_ean"), F.lit(". Spedizione gratuita")))
+        .when(kind == 4, ld(F.lit("none"), F.lit("4006381333931"), "USD"))
+        .when(kind == 6, F.concat(F.lit("article "), F.lower("p_sku")))
+        .otherwise("")
+    )
+    page = F.concat(F.lit("<html><body>"), body, F.when(kind == 3, "").otherwise(F.rpad(F.lit("<p>"), 1200, "x")), F.lit("</p></body></html>"))
+    return offers.where(kind.isin(1, 2, 3, 4, 6)).select("url", page.alias("html"), F.lit(200).alias("status_code"))
+
+
+VERIFIED_SQL = f"""{WITH}, {EXACT_SQL}, k AS (
+  SELECT e.catalog_idx, e.offer_idx, e.conflict, {PAGE_KIND.replace('row_idx', 'o.row_idx')} AS kind, c.row_idx % 2 AS odd, o.price, o.shipping_cost, o.seller, o.vat_included, o.source, row_number() OVER (PARTITION BY e.catalog_idx ORDER BY e.conflict, e.offer_idx) AS cand_rank FROM exact_ e JOIN catalog c ON e.catalog_idx = c.row_idx JOIN offers o ON e.offer_idx = o.row_idx
+), v AS (
+  SELECT *, CASE WHEN kind IN (1, 2) THEN CASE WHEN odd = 0 THEN 'PDP·GTIN' ELSE 'PDP·EAN' END WHEN kind = 4 THEN 'json_ld' WHEN kind = 6 THEN 'PDP·SKU' END AS label FROM k
+), f AS (
+  SELECT catalog_idx, offer_idx, label AS confirmation_method, label IS NOT NULL AS pdp_verified, CASE WHEN kind = 5 THEN 'no_url' WHEN kind IN (0, 3) THEN 'fetch_failed' END AS pdp_skip_reason, CASE kind WHEN 1 THEN 'json_ld' WHEN 4 THEN 'json_ld' WHEN 2 THEN 'meta' WHEN 6 THEN 'regex' END AS extraction_method,
+         CASE kind WHEN 1 THEN 12.5::DECIMAL(18,4) WHEN 2 THEN 9.9::DECIMAL(18,4) ELSE price END AS price, CASE WHEN kind IN (2, 6) THEN 0::DECIMAL(18,4) ELSE shipping_cost END AS shipping_cost, CASE kind WHEN 2 THEN 'page' WHEN 6 THEN 'rule' END AS shipping_source,
+         CASE WHEN kind IN (1, 4) THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END AS availability, CASE WHEN kind IN (1, 4) THEN cast(offer_idx % 50 AS INT) END AS stock_quantity, CASE WHEN kind IN (1, 4) THEN 'Shop' ELSE seller END AS seller, cand_rank, source FROM v
+)"""
+
+
+def verified_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact candidates with their pages' facts; products of odd numbers have no GTIN of their own."""
+    catalog, offers = inputs(spark, sf_dir)
+    offers = offers.withColumn("url", F.expr(PAGE_URL))
+    accepted = exact_accepted(catalog, offers).drop("source", "source_id")
+    coded = accepted.select(F.col("offer_idx").alias("row_idx"), "catalog_idx").join(catalog.select(F.col("row_idx").alias("catalog_idx"), F.col("sku").alias("p_sku"), F.col("ean").alias("p_ean")), "catalog_idx")
+    pages_ = made_pages(offers.join(coded.drop("catalog_idx"), "row_idx"))
+    catalog = catalog.withColumn("gtin", F.when(F.col("row_idx") % 2 == 0, F.col("gtin")))
+    return catalog, offers, pages.verify(accepted, catalog, offers, pages_)
+
+
+@query(f"{VERIFIED_SQL} SELECT * EXCLUDE (cand_rank, source) FROM f")
+def page_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = ("confirmation_method", "pdp_verified", "pdp_skip_reason", "extraction_method", "price", "shipping_cost", "shipping_source", "availability", "stock_quantity", "seller")
+    return verified_offers(spark, sf_dir)[2].select("catalog_idx", "offer_idx", *facts)
+
+
+@query(
+    f"{VERIFIED_SQL} SELECT c.row_idx AS catalog_idx, f.offer_idx, coalesce(f.seller, f.source) AS competitor_name, f.confirmation_method AS label, CASE WHEN f.pdp_verified THEN 'yes' WHEN NOT f.pdp_verified THEN 'no' ELSE '' END AS pdp_verified, coalesce(f.extraction_method, '') AS extraction_method, "
+    "CASE availability WHEN 'IN_STOCK' THEN 'yes' WHEN 'OUT_OF_STOCK' THEN 'no' END AS in_stock, CASE WHEN f.offer_idx IS NULL THEN '' WHEN f.shipping_cost IS NULL THEN 'unknown' WHEN f.shipping_cost = 0 THEN 'free' ELSE '' END AS shipping_note, f.stock_quantity AS competitor_stock_qty FROM catalog c LEFT JOIN f ON c.row_idx = f.catalog_idx"
+)
+def landscape_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landscape's rows with their pages' labels; without one they bear the layers' tier, shown here as null."""
+    catalog, offers, verified = verified_offers(spark, sf_dir)
+    shown = online.with_page_facts(online.of_offers(offers), verified)
+    rows = landscape.landscape_rows(catalog, verified.drop("url", *pages.OFFER_FACTS), shown)
+    label = F.when((F.col("confirmation_method") != "PDP·GTIN") | (F.col("pdp_verified") == "yes"), F.col("confirmation_method"))
+    return rows.select("catalog_idx", "offer_idx", "competitor_name", label.alias("label"), "pdp_verified", "extraction_method", "in_stock", "shipping_note", "competitor_stock_qty")
+
+
+@query(f"{WITH} SELECT row_idx, concat(upper(brand), '/', CASE WHEN row_idx % 2 = 0 THEN concat(brand, ' ', title) ELSE concat(brand, 'x ', title) END) AS asked, CASE WHEN row_idx % 2 = 0 THEN concat(brand, ' ', title) ELSE concat_ws(' ', brand, concat(brand, 'x ', title)) END AS query, upper(regexp_replace(concat(' ', sku, chr(9), 'x '), '\\s', '', 'g')) AS sku FROM catalog")
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of a provider for each product, and SKUs without white space."""
+    title = F.when(F.col("row_idx") % 2 == 0, F.concat_ws(" ", "brand", "title")).otherwise(F.concat(F.col("brand"), F.lit("x "), F.col("title")))
+    rows = derived(spark, sf_dir, CATALOG).withColumn("t", title)
+    return rows.select("row_idx", F.concat_ws("/", F.upper("brand"), "t").alias("asked"), text.search_query(F.col("brand"), F.col("t")).alias("query"), identifiers.sku(F.concat(F.lit(" "), F.col("sku"), F.lit("\tx "))).alias("sku"))
