@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import xxhash
@@ -43,6 +45,28 @@ def decontaminated(docs, items, width=10):
     return out
 
 
+def without_passages(text, items, width=10):
+    """text with each stretch of words that stand in occurring windows put as one space."""
+    places, words = [m.span() for m in WORDS.finditer(text.translate(LOWER))], item_words(text)
+    hit = set()
+    for _, item in items:
+        mine = item_words(item)
+        size = min(width, len(mine))
+        windows = {tuple(mine[i : i + size]) for i in range(len(mine) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1 if size else 0):
+            if tuple(words[i : i + size]) in windows:
+                hit.add((i, i + size))
+    spans = []
+    for a, b in sorted(hit):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    for a, b in reversed(spans):
+        text = f"{text[: places[a][0]]} {text[places[b - 1][1] :]}"
+    return text
+
+
 def fingerprint(text, width=4):
     words = RUNS.findall((text or "").translate(LOWER))
     shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
@@ -139,3 +163,106 @@ PERSONAL = [
     ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
 ]
+
+
+def license_labels(texts, templates, base, common, rarest=16, agree=0.5, least=3):
+    """labels and score of each text, by counting votes in dictionaries."""
+    split = [(label, t.split(), keys) for label, t, keys in templates]
+    vocab = sorted({w for _, ws, _ in split for w in ws} - common)
+    number = {w: i for i, w in enumerate(vocab)}
+    files = [item_words(t) for t in texts]
+    df = Counter(w for ws in files for w in set(ws) & number.keys())
+    idf = {w: round(1000 * math.log((len(files) + 1) / (df[w] + 1))) + 1 for w in vocab}
+    weight = [sum(idf[w] for w in ws if w in number) for _, ws, _ in split]
+    size = [sum(w in number for w in ws) for _, ws, _ in split]
+    out = []
+    for words in files:
+        top = sorted(set(words) & number.keys(), key=lambda w: (-idf[w], -number[w]))[:rarest]
+        votes, counts, keyed = Counter(), Counter(), set()
+        posts = {w: [(t, p) for t, (_, ws, _) in enumerate(split) for p, x in enumerate(ws) if x == w] for w in top}
+        for i, w in enumerate(words):
+            for t, p in posts.get(w, ()):
+                votes[t, i - p] += idf[w]
+                counts[t, i - p] += 1
+        for t, (_, ws, keys) in enumerate(split):
+            for k in map(str.split, keys):
+                for p in range(len(ws)):
+                    if ws[p : p + len(k)] == k and top:
+                        keyed |= {(t, i - p) for i in range(len(words)) if words[i] == k[0] and words[i : i + len(k)] == k}
+        shares = {v: n / weight[v[0]] for v, n in votes.items()}
+        sure = {split[t][0] for (t, o), x in shares.items() if x >= agree and counts[t, o] >= min(least, size[t]) and (t, o) in keyed}
+        here = {label for phrase, label in base.items() if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+        out.append((",".join(sorted(sure | here)), round(min(max(shares.values(), default=0.0), 1.0), 6)))
+    return out
+
+
+def line_rows(text):
+    """The features of each line with a word, one by one, and its bytes."""
+    lines = [x for x in text.split("\n") if RUNS.search(x)]
+    before, rows = None, []
+    for x in lines:
+        words, raw = RUNS.findall(x), x.encode()
+        n, size = len(words), len(raw)
+        same = 0
+        for w in words:
+            same += w == before
+            before = w
+        upper, other = len(re.findall("[A-Z]", x)), sum(b >= 128 or 97 <= b <= 122 for b in raw)
+        bare = raw.strip(b" \t\n\v\f\r")
+        rows.append([
+            1, math.log1p(n) / 4, min(size / n, 40) / 10, len(re.findall(r"[#*$%&|<>]", x)) / size, upper / max(upper + other, 1), len(re.findall("[0-9]", x)) / size, min(len(re.findall(r"[!?*#$%&]", x)) / n, 3),
+            bare[-1:] in b".!?:;", min(x.count("|") / n, 2), lines.count(x) > 1, same / n, n <= 3, bare[:1].islower(),
+        ])
+    return rows, [len(x.encode()) for x in lines]
+
+
+def best_labels(scores, moves):
+    """Of all label sequences the best, by the best way to each label of each line; ties go to content."""
+    ways = {0: (0.0, [0]), 1: (scores[0], [1])}
+    for e in scores[1:]:
+        ways = {y: max(((ways[z][0] + moves[z][y] + (e if y else 0), z, ways[z][1]) for z in (1, 0)), key=lambda w: (w[0], w[1])) for y in (0, 1)}
+        ways = {y: (v, [*path, y]) for y, (v, _, path) in ways.items()}
+    return max(ways.values(), key=lambda w: (w[0], w[1][-1]))[1]
+
+
+def personal_spans(texts, window=5, least_chars=5, least_docs=3, least_bits=6.0, least_share=0.5):
+    """All spans of each text, those of revealing terms too, joined; and the text without them."""
+    def bases(t):
+        found = []
+        for k, (kind, pattern, good) in enumerate(PERSONAL):
+            found += [(m.start(), k, m.end()) for m in re.finditer(pattern, t or "") if good(m)]
+        return sorted(found)
+
+    def places(t):
+        return [m.span() for m in WORDS.finditer((t or "").translate(LOWER))]
+
+    apart = lambda span, spans: all(span[1] <= a or b <= span[0] for a, _, b in spans)
+    term = lambda w: len(w) >= least_chars and w.isalpha()
+    n_w, n_e, n_ew = Counter(), Counter(), Counter()
+    for t in texts:
+        low, found, words = (t or "").translate(LOWER), bases(t), places(t)
+        n_w.update({low[a:b] for a, b in words})
+        starts = [a for a, _ in words]
+        pairs = set()
+        for a, k, b in found:
+            e = (k, low[a:b] if k < 2 else re.sub("[^0-9]", "", low[a:b]))
+            i, j = bisect_left(starts, a), bisect_left(starts, b)
+            before, after = words[max(0, i - window) : i], words[j : j + window]
+            pairs |= {(e, low[x:y]) for x, y in before + after if apart((x, y), found) and term(low[x:y])}
+            pairs.add((e, None))
+        n_ew.update(pairs)
+    for (e, w), n in n_ew.items():
+        if w is None:
+            n_e[e] = n
+    told = {w for (e, w), n in n_ew.items() if w and n >= least_docs and math.log2(n * len(texts) / (n_e[e] * n_w[w])) >= least_bits and n / n_w[w] >= least_share}
+    out = []
+    for t in texts:
+        found, low = bases(t), (t or "").translate(LOWER)
+        spans = sorted(found + [(a, len(PERSONAL), b) for a, b in places(t) if low[a:b] in told and apart((a, b), found)])
+        names = [*(k for k, _, _ in PERSONAL), "term"]
+        clean, at = "", 0
+        for a, k, b in spans:
+            clean += (t[at:a] + f"<{names[k].upper()}>") if a >= at else ""
+            at = max(at, b)
+        out.append((",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans), None if t is None else clean + t[at:]))
+    return out

@@ -1,13 +1,15 @@
 """Each query of the ten operators against its brute-force version, on the small tables and on odd ones."""
 
+import math
 import random
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from linkwright.llm import queries, sstable
+from linkwright.llm import curriculum, guess_cost, licenses, line_crf, queries, severity, sstable
 
 from . import brute
 
@@ -84,7 +86,8 @@ def test_licenses(spark, folder):
     rows = queries.op3_license_scan(spark, folder).collect()
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows]
     assert by_id(got) == by_id([(d, *brute.base_licenses(t)) for d, t in docs])
-    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in rows)
+    labels = brute.license_labels([t for _, t in docs], licenses.TEMPLATES, licenses.BASE_PHRASES, licenses.COMMON_WORDS)
+    assert by_id((r.doc_id, r.labels, r.score) for r in rows) == by_id((d, *x) for (d, _), x in zip(docs, labels, strict=True))
 
 
 def test_token_shards(spark, folder):
@@ -100,6 +103,20 @@ def test_quality(spark, folder):
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
     assert by_id(got) == by_id([(d, *brute.quality(t)) for d, t in documents(folder)])
     assert not any(r.kept and r.base_failed for r in rows)
+    tables = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")]
+    chain = line_crf.fit(line_crf.sample(*tables))
+    share = []
+    for d, t in documents(folder):
+        features, sizes = brute.line_rows(t or "")
+        if not features:
+            share.append((d, 0.0))
+        elif chain is None:
+            share.append((d, 1.0))
+        else:
+            labels = brute.best_labels([sum(w * x for w, x in zip(chain.weights, f, strict=True)) for f in features], chain.moves)
+            share.append((d, round(sum(n for n, y in zip(sizes, labels, strict=True) if y) / sum(sizes), 6)))
+    assert by_id((r.doc_id, r.content_share) for r in rows) == by_id(share)
+    assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in rows)
 
 
 @pytest.mark.parametrize(("query", "patterns"), [(queries.op6_secret_scan, brute.SECRETS), (queries.op9_pii, brute.PERSONAL)])
@@ -117,14 +134,56 @@ def test_spans(spark, folder, query, patterns):
         assert brute.sha(base) == r.base_sha256
 
 
+def test_personal_terms(spark, folder):
+    docs = documents(folder)
+    want = [(d, s, None if t is None else brute.sha(t)) for (d, _), (s, t) in zip(docs, brute.personal_spans([t for _, t in docs]), strict=True)]
+    rows = queries.op9_pii(spark, folder).collect()
+    assert by_id((r.doc_id, r.spans, r.sanitised_sha256) for r in rows) == by_id(want)
+
+
+def test_guessed_secrets(spark, folder):
+    """The spans of the method, from word counts and costs of all splits taken by another way."""
+    docs = documents(folder)
+    counts = Counter(w for _, t in docs for w in set(brute.item_words(t)) if len(w) >= 3 and w.isalpha())
+    ranked = sorted((-n, w) for w, n in counts.items() if n >= max(5, 0.001 * len(docs)))
+    words = {w: math.log10(r) for r, (_, w) in enumerate(ranked, len(guess_cost.FREQUENT) + 1)} | guess_cost.WORDS
+    assert guess_cost.dictionary(spark.read.parquet(f"{folder}/documents.parquet")) == pytest.approx(words)
+
+    def cost(value):
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            ways = [best[j - 1] + 1] + [best[i] + c + 0.2 for i in range(max(0, j - 32), j) for end, c in guess_cost.segments(value, i, words, 32) if end == j]
+            best.append(min(ways))
+        return best[-1]
+
+    want = []
+    for d, t in docs:
+        want.append((d, ",".join(f"guess:{m.start(1)}:{m.end(1)}" for m in guess_cost.CONTEXT.finditer(t or "") if cost(m.group(1)) >= 10)))
+    rows = queries.op6_secret_scan(spark, folder).collect()
+    assert by_id((r.doc_id, ",".join(s for s in r.spans.split(",") if s.startswith("guess"))) for r in rows) == by_id(want)
+
+
+def test_severities(spark, folder):
+    docs = documents(folder)
+    tables = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")]
+    model = severity.fit(severity.sample(*tables))
+    want = []
+    for d, t in docs:
+        z = sum(model.weights.get(w.encode(), 0.0) for w in set(brute.item_words(t)))
+        above = [1 / (1 + math.exp(-max(-40.0, min(40.0, z - x)))) for x in model.thresholds]
+        cells = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        want.append((d, cells.index(max(cells)), above[0] >= 0.5, sum(above)))
+    want, rows = by_id(want), by_id((r.doc_id, r.grade, r.toxic, r.severity) for r in queries.op10_toxic_severity(spark, folder).collect())
+    assert [r[:3] for r in rows] == [w[:3] for w in want] and [r[3] for r in rows] == pytest.approx([w[3] for w in want], abs=2e-6)
+
+
 def test_mix(spark, folder):
     docs = pq.read_table(f"{folder}/documents.parquet").to_pylist()
     rows = queries.op7_mix_sources(spark, folder).collect()
-    size = {d["doc_id"]: len(brute.RUNS.findall(d["text"] or "")) for d in docs}
-    assert sorted((r.doc_id is not None, r.doc_id, r.size) for r in rows) == sorted((d["doc_id"] is not None, d["doc_id"], size[d["doc_id"]]) for d in docs)
-    sources, source_of = {}, {d["doc_id"]: d["source"] for d in docs}
-    for d in docs:
-        sources[d["source"]] = sources.get(d["source"], 0) + size[d["doc_id"]]
+    size = [len(brute.RUNS.findall(d["text"] or "")) for d in docs]
+    sources = {}
+    for d, n in zip(docs, size, strict=True):
+        sources[d["source"]] = sources.get(d["source"], 0) + n
     order = sorted(sources, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
     target, open_, left = {}, set(order), 1.5 * sum(sources.values())
@@ -137,15 +196,14 @@ def test_mix(spark, folder):
         target |= {s: 2.0 * sources[s] for s in over}
         left -= sum(2 * sources[s] for s in over)
         open_ -= over
-    taken = {}
-    for r in rows:
-        assert r.taken <= 2 * r.size
-        s = source_of[r.doc_id]
-        if folder.endswith("sf0.001"):
-            assert (r.source_size, r.target) == (sources[s], pytest.approx(target[s]))
-        taken[s] = taken.get(s, 0) + r.taken
-    largest = max(size.values())
-    assert folder.endswith("sf0.001") is False or all(abs(taken[s] - target[s]) <= largest for s in order)
+    told = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    assert sorted(told((r.doc_id, r.size, r.source_size, round(r.target, 6))) for r in rows) == sorted(told((d["doc_id"], n, sources[d["source"]], round(target[d["source"]], 6))) for d, n in zip(docs, size, strict=True))
+    assert all(r.taken <= 2 * r.size for r in rows)
+    plan = curriculum.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert sorted((r.size, r.taken) for r in plan) == sorted((r.size, r.taken) for r in rows)
+    for s in order:
+        taken = sum(r.taken for r in plan if r.source == s)
+        assert abs(taken - target[s]) <= max(r.size for r in plan if r.source == s)
 
 
 def rows_of(rows):
