@@ -44,6 +44,16 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("as is basis without warranties or conditions of any kind",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("see the gnu general public license for more details",)),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("shall be included in all copies or substantial portions of the software",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy of the software and accompanying documentation",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license",)),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain by waiving",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 #: Words too common to be indexed.
@@ -84,8 +94,8 @@ def scan(docs: DataFrame, index: TemplateIndex, key: str = "doc_id", text: str =
     """row, key, n_words, hits (indexed word and place), places (phrase and place); one pass over the texts."""
     words = docs.select(F.col(key).alias("key"), scan_words(text).alias("words"))
     present = F.array_intersect("words", strings(index.vocab))
-    heads = strings(sorted({p[0] for p in index.phrases} - {"to", "with", "free"}))
-    # Only a text with an indexed word, or with the head of a base phrase, can hold any phrase.
+    # A text without an indexed word can only hold phrases that have none either.
+    heads = strings(sorted({p[0] for p in index.phrases if not set(p) & set(index.vocab)}))
     table = words.select("key", "words", F.size("words").cast("long").alias("n_words"), present.alias("present"), F.arrays_overlap("words", heads).alias("may"))
     word_no = F.transform("present", lambda w: F.array_position(strings(index.vocab), w).cast("int") - 1)
     hits = F.when(
