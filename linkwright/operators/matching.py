@@ -269,11 +269,13 @@ def of_pairs(pairs: DataFrame, min_confidence: float = 0.60, encoder: Encoder =
 def deduplicated(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     """The most confident candidate of each product and (source, source_id), the earlier one of equals.
 
-    first_layer and first_offer tell where the pair was first met; they order equal confidences.
+    first_met tells where the pair was first met, and orders equal confidences. A layer meets pairs that it
+    scores too low to be candidates: that of SKUs every offer with a SKU, that of meaning any.
     """
-    rows = candidates.join(offers.select(F.col("row_idx").alias("offer_idx"), "source", "source_id"), "offer_idx")
+    met = F.when(identifiers.sku(F.col("sku")) != "", 1).otherwise(2) if "sku" in offers.columns else F.lit(2)
+    rows = candidates.join(offers.select(F.col("row_idx").alias("offer_idx"), "source", "source_id", met.alias("met_")), "offer_idx")
     pair = Window.partitionBy("catalog_idx", "source", "source_id")
-    rows = rows.withColumn("first_met", F.min(F.struct("layer_ord", "offer_idx")).over(pair))
+    rows = rows.withColumn("first_met", F.min(F.struct(F.least("layer_ord", "met_").alias("layer_ord"), "offer_idx")).over(pair)).drop("met_")
     best = pair.orderBy(F.col("confidence").desc(), "layer_ord", "offer_idx")
     return rows.withColumn("n_", F.row_number().over(best)).where("n_ = 1").drop("n_")
 

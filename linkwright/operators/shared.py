@@ -44,6 +44,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder as Parquet, of which later reads take the columns they need."""
+    df.write.parquet(folder := new_folder(df.sparkSession, "table"))
+    return df.sparkSession.read.parquet(folder)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if re.match(r"[a-z0-9]+:/", uri) else os.path.abspath(uri))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import identifiers, money, offers as offer_functions, text
 from .operators import landscape, matching, offers as offer_operators, pages
+from .operators.shared import stored
 from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
 from .sources import files, result_pages
@@ -38,6 +39,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return derived(spark, sf_dir, CATALOG), derived(spark, sf_dir, OFFERS)
 
 
+def stored_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same as tables, as a catalog and offers are: derived once, however often a query reads them."""
+    return tuple(map(stored, inputs(spark, sf_dir)))
+
+
 def exact_accepted(catalog: DataFrame, offers: DataFrame) -> DataFrame:
     return matching.judged(matching.deduplicated(matching.exact_id(catalog, offers), offers)).where("status = 'accepted'")
 
@@ -65,7 +71,7 @@ FROM catalog c LEFT JOIN middle m ON c.row_idx = m.catalog_idx
 
 @query(SUMMARY_SQL)
 def landscape_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return landscape.summary(catalog, exact_accepted(catalog, offers), offers)
 
 
@@ -263,7 +269,7 @@ def vat_and_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT c.row_idx AS catalog_idx, c.sku AS product_sku, {DECIMAL('ex_cents')} AS competitor_price, {DECIMAL('l')} AS competitor_landed, r.confidence, regexp_extract(url, '^https://(www\\.)?([^/]*)', 2) AS competitor_domain, row_number() OVER (PARTITION BY c.row_idx ORDER BY l NULLS LAST, k) AS place FROM catalog c LEFT JOIN r ON c.row_idx = r.catalog_idx"
 )
 def landscape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return landscape.landscape_rows(catalog, exact_accepted(catalog, offers), offers).select("catalog_idx", "product_sku", "competitor_price", "competitor_landed", "confidence", "competitor_domain", F.col("place").cast("long").alias("place"))
 
 
@@ -272,32 +278,32 @@ def landscape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'total_products' AS metric, n AS value FROM t UNION ALL SELECT 'matched_products', m FROM t UNION ALL SELECT 'match_rate_pct', round(100 * m / n, 2) FROM t UNION ALL SELECT concat('level.', CASE WHEN conflict THEN 'MEDIUM' ELSE 'HIGH' END), count(*)::DOUBLE FROM f GROUP BY 1 UNION ALL SELECT concat('method.', match_method), count(*)::DOUBLE FROM f GROUP BY 1"
 )
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return landscape.run_statistics(catalog, exact_accepted(catalog, offers))
 
 
 @query(f"{WITH}, {EXACT_SQL} SELECT count(*) AS total_offers, round(count(*) / count(DISTINCT catalog_idx), 2) AS avg_offers_per_matched, count(shipping_cost) AS offers_with_shipping, 0::BIGINT AS offers_pdp_verified FROM exact_ JOIN offers ON offer_idx = row_idx")
 def offer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return landscape.offer_statistics(exact_accepted(catalog, offers), offers)
 
 
 @query(f"{WITH}, {EXACT_SQL} SELECT source AS provider, count(*) AS n_offers FROM exact_ JOIN offers ON offer_idx = row_idx GROUP BY 1")
 def provider_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return landscape.by_provider(exact_accepted(catalog, offers), offers)
 
 
 @query(f"{WITH}, {EXACT_SQL} SELECT catalog_idx, offer_idx FROM exact_ JOIN offers ON offer_idx = row_idx WHERE price IS NOT NULL AND shipping_cost IS NOT NULL")
 def complete_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return cascade.with_complete_offers(cascade.Linked(exact_accepted(catalog, offers), catalog), offers).select("catalog_idx", "offer_idx")
 
 
 @query()
 def whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers; SQL lacks the SKU similarity. Tests hold it against a comparison of all pairs and known answers."""
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     return cascade.link(catalog, offers).best.select("catalog_idx", "offer_idx", "confidence", "match_method", "confidence_level")
 
 
@@ -351,7 +357,7 @@ def strict_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(b.match_method, '') AS match_method, coalesce(n, 0) AS all_candidates_count FROM catalog c LEFT JOIN b ON c.row_idx = b.catalog_idx AND b.r = 1 LEFT JOIN offers o ON b.offer_idx = o.row_idx"
 )
 def best_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     none = catalog.select(F.col("row_idx").alias("catalog_idx"), F.lit(0).alias("rejected_count"))
     return landscape.best_rows(catalog, exact_accepted(catalog, offers), offers, none).drop("catalog_ean", "catalog_brand", "catalog_market", "matched_currency", "matched_source", "match_details", "rejected_count")
 
@@ -438,7 +444,7 @@ VERIFIED_SQL = f"""{WITH}, {EXACT_SQL}, k AS (
 
 def verified_offers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact candidates with their pages' facts; products of odd numbers have no GTIN of their own."""
-    catalog, offers = inputs(spark, sf_dir)
+    catalog, offers = stored_inputs(spark, sf_dir)
     offers = offers.withColumn("url", F.expr(PAGE_URL))
     accepted = exact_accepted(catalog, offers).drop("source", "source_id")
     coded = accepted.select(F.col("offer_idx").alias("row_idx"), "catalog_idx").join(catalog.select(F.col("row_idx").alias("catalog_idx"), F.col("sku").alias("p_sku"), F.col("ean").alias("p_ean")), "catalog_idx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,15 +53,26 @@ def delimiter(head: str) -> str:
         return ","
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def head(spark: SparkSession, path: str, chars: int = 8192) -> str:
+    """The first characters of a file, of which no more than its first lines are read."""
+    lines, size = [], 0
+    for row in spark.read.text(path).toLocalIterator():
+        lines.append(row.value)
+        size += len(row.value) + 1
+        if size >= chars:
+            break
+    return "\n".join(lines)[:chars]
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
     """All columns as strings, empty where missing, with row_idx in the order of the file.
 
-    The delimiter is told from the file's head. Only that head goes to the driver.
+    The delimiter is told from the file's head. Only that head goes to the driver. A quoted field may
+    hold line breaks, for which Spark reads a file in one task; without ``multi_line`` a large file
+    is split over many.
     """
-    if sep is None:
-        head = spark.read.text(path).limit(50)
-        sep = delimiter("\n".join(r.value for r in head.collect())[:8192])
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', mode="FAILFAST").na.fill("")
+    sep = delimiter(head(spark, path)) if sep is None else sep
+    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST").na.fill("")
     return df.select(*(F.col(f"`{c}`").alias(c.strip()) for c in df.columns)).withColumn("row_idx", F.monotonically_increasing_id())
 
 
@@ -124,6 +136,14 @@ def offers(raw: DataFrame, market: str = "IT") -> DataFrame:
     return required(out.withColumn("price_text", F.col("price").cast("string")), ("price_text",)).drop("price_text")
 
 
+def pool(spark: SparkSession, path: str, market: str = "IT") -> DataFrame:
+    """Offers of a file, none where it is missing or has a row that cannot be read: one of several sources may fail."""
+    try:
+        return offers(read_csv(spark, path), market)
+    except (InputError, PySparkException):
+        return offers(spark.createDataFrame([], "title string, price string, row_idx long"), market)
+
+
 def votes(rows: DataFrame) -> DataFrame:
     """market, n: the most frequent market, the earlier one of equals."""
     counts = rows.where("market is not null").groupBy("market").agg(F.count("*").alias("n"), F.min("row_idx").alias("i"))

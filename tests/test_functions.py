@@ -24,6 +24,7 @@ def value(spark, f, *args):
 @pytest.mark.parametrize(("f", "given", "want"), [
     (identifiers.ean, "036000291452", "0036000291452"), (identifiers.gtin, "036000291452", "036000291452"), (identifiers.ean, "4006381333932", None), (identifiers.ean, "400-6381333931", "4006381333931"), (identifiers.ean, "", None),
     (identifiers.barcode, "8,02586E+12", None), (identifiers.sku, " ab c-1 ", "ABC-1"), (text.title, "Café  w/ 2 pcs & Ünits!", "cafe with 2 pieces and units"), (text.brand, " Hewlett-Packard ", "hp"), (text.brand, " ", None), (text.brand_in_title, "New SONY Camera", "sony"),
+    (lambda c: text.title(c, beyond_latin=True), "Ḝ ﬁn  Ώx", "e fin x"), (text.title, "", ""), (text.title, None, None), (offers.market_of_code, " uk ", "UK"), (offers.market_of_code, "xx", None), (offers.market_of_url, "a.com", None),
     (money.loose_price, "1.299,00", Decimal("1299.0000")), (money.loose_price, "1,299.50", Decimal("1299.5000")), (money.loose_price, "1.299", Decimal("1299.0000")), (money.loose_price, "12,5", Decimal("12.5000")), (money.loose_price, "abc", None),
     (offers.availability, "Non disponibile", "OUT_OF_STOCK"), (offers.availability, "https://schema.org/PreOrder", "PREORDER"), (offers.availability, "1", "IN_STOCK"), (offers.availability, None, "UNKNOWN"), (offers.stock_in_text, "solo 3 pezzi disponibili", 3), (offers.stock_in_text, "disponibili in 2 giorni", None),
     (offers.domain, "HTTPS://WWW.Shop.it:80/x", "shop.it:80"), (offers.domain, "shop.it/x", ""), (offers.market_of_url, "shop.co.uk/x", "UK"), (offers.market_of_url, "https://a.de", "DE"), (offers.url, "https://WWW.Shop.it/p/123/?utm_source=g&ref=abc&color=blue#frag", "https://shop.it/p/123?color=blue"),
@@ -142,6 +143,31 @@ def test_meaning_leaves_out_what_is_settled(spark):
     assert pairs(False) == {(2, 1), (2, 2)} and pairs(True) == {(1, 2), (2, 1), (2, 2)}
 
 
+def test_a_further_layer(spark):
+    catalog = spark.createDataFrame([(1, "red lamp", None, "x", "A1", None, None)], "row_idx long, title string, category string, brand string, sku string, ean string, gtin string")
+    found = spark.createDataFrame([(1, "s", "a", "blue chair", "x", None, None, None)], "row_idx long, source string, source_id string, title string, brand string, sku string, ean string, gtin string")
+
+    def same_brand(products, others, prior):
+        pairs = products.select(F.col("row_idx").alias("catalog_idx"), "brand").join(others.select(F.col("row_idx").alias("offer_idx"), "brand"), "brand")
+        return pairs.select(*matching.candidate("semantic", F.lit(0.65), F.lit("SAME_BRAND"))).withColumn("layer_source", F.lit("brand"))
+
+    best = cascade.link(catalog, found, layers=[same_brand]).best.first()
+    assert (best.match_method, best.layer_ord, best.confidence) == ("SAME_BRAND", 3, 0.65) and cascade.link(catalog, found).accepted.isEmpty()
+
+
+def test_pairs_met_by_sku_come_first_among_equals(spark):
+    offers_ = spark.createDataFrame([(1, "s", "a", None), (2, "s", "b", "K1")], "row_idx long, source string, source_id string, sku string")
+    found = spark.createDataFrame([(9, 1, 0.75, 2), (9, 2, 0.75, 2)], "catalog_idx long, offer_idx long, confidence double, layer_ord int")
+    best = matching.judged(matching.deduplicated(found, offers_)).where("cand_rank = 1").first()
+    assert best.offer_idx == 2
+
+
+def test_a_bad_file_gives_no_offers(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("id,title,price\n1,t,ask\n")
+    (tmp_path / "good.csv").write_text("id,title,price\n1,t,\"5,00\"\n")
+    assert [files.pool(spark, str(tmp_path / f)).count() for f in ("bad.csv", "none.csv", "good.csv")] == [0, 0, 1]
+
+
 def test_facts_of_page():
     page = '<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@type":"Org"},{"@graph":[{"@type":["x","product"],"gtin8":"1","offers":[{"lowPrice":5,"shippingDetails":{"shippingRate":{"value":0}}}]}]}]</script>'
     facts = pages.facts_of(page)
