@@ -117,6 +117,17 @@ def similar_skus(a: DataFrame, b: DataFrame, least: float, brands: list[str]) ->
     return by_cuts.unionByName(sides(own, other, ["piece", "part"])).distinct()
 
 
+def within_brands(a: DataFrame, b: DataFrame, parts: int = 16) -> DataFrame:
+    """All pairs of one brand and length lb. Each such group's first side is dealt to ``parts``, and its second
+    side goes to all of them, so a large brand is the work of many tasks. The number of tasks is set,
+    since the sides are small beside their pairs."""
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["brand_", "lb", "deal"]
+    left = a.withColumn("deal", F.pmod(F.xxhash64("sku_"), F.lit(parts)).cast("int")).repartition(tasks, *keys)
+    right = b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys)
+    return left.join(right, keys)
+
+
 def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.60) -> DataFrame:
     """SKU similarity times what the brands say, where it can reach min_confidence or CONFIDENT.
 
@@ -141,7 +152,7 @@ def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.6
     if need >= CLOSE:
         alike = similar_skus(a, branded, need, ["brand_"])
     else:
-        alike = with_lengths(a, "sku_", "la", "lb", need).join(branded.withColumn("lb", F.length("offer_sku")), ["brand_", "lb"])
+        alike = within_brands(with_lengths(a, "sku_", "la", "lb", need), branded.withColumn("lb", F.length("offer_sku")))
     out = scored(alike, SAME, "match")
     if need <= UNKNOWN:
         known = F.col("brand_").isNotNull()
