@@ -8,9 +8,9 @@ stream is trained at the time t at which the demand reaches c. Documents of all
 then sorted by ranges of that time.
 
 Within a source the stream is a fixed hash order of its documents, whole passes first, then a
-part. Running sums come in two steps, over hash buckets (16 ** ``bucket_digits`` a source) and
-within a bucket, so a source that holds a third of the rows is dealt over many tasks. So do those
-over the sources themselves, by ranges, as there may be as many as hosts. The plan moves only
+part. Running sums come in two steps, over ranges of the order and within a range, so neither a
+source nor an id that a third of the rows bear, nor rows alike in all columns, is the work of one
+task. So do those over the sources themselves, as there may be as many as hosts. The plan moves only
 numbers. All arithmetic that decides is on whole numbers or repeats exactly.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source, the last;
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, row_hash
 
 WEIGHTS = (3, 1, 2)
+#: A table of more sources than this meets the documents by a shuffle, which adaptive execution splits.
+BROADCAST_SOURCES = 100_000
 #: Rate of drawing at the start and the end of training, for the sources of each weight in turn.
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 
@@ -101,7 +103,6 @@ def mix(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
-    bucket_digits: int = 3,
 ) -> DataFrame:
     """key, row, size, source, source_size, target, taken, copies, positions: the plan, without texts.
 
@@ -111,16 +112,14 @@ def mix(
     """
     slim = docs.select(F.col(key).alias("key"), row_hash(docs).alias("row"), F.col(source).alias("source"), n_words(text).alias("size"))
     h = F.md5(F.concat_ws("/", F.coalesce(F.col("key").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary"))
-    slim = checkpointed(slim.withColumn("h", h).withColumn("bucket", F.substring("h", 1, bucket_digits)))
-    parts = slim.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    sizes = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, most)
-    by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(by_bucket), F.lit(0)))
-    plan = parts.join(sizes, parts["source"].eqNullSafe(sizes["source"])).select(parts["source"], "bucket", "ahead", "source_size", "rank", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(plan, placed["source"].eqNullSafe(plan["source"]) & (placed["bucket"] == plan["bucket"])).select(
-        "key", "row", placed["source"], "size", (F.col("ahead") + F.col("within")).alias("begin"), "source_size", "rank", "target"
+    slim = checkpointed(slim.withColumn("h", h)).withColumn("nth", F.monotonically_increasing_id())
+    sizes = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    sizes = sums_before(sizes, [F.col("rank")], source_begin=F.col("source_size")).withColumnRenamed("source", "source_")
+    if sizes.count() <= BROADCAST_SOURCES:
+        sizes = F.broadcast(sizes)
+    stream = sums_before(slim, [F.col("source").asc_nulls_last(), F.col("h"), F.col("key"), F.col("size"), F.col("row"), F.col("nth")], before=F.col("size"))
+    placed = stream.join(sizes, F.col("source").eqNullSafe(F.col("source_"))).select(
+        "key", "row", "source", "size", (F.col("before") - F.col("source_begin")).alias("begin"), "source_size", "rank", "target"
     )
     whole = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     rest = F.col("target") - whole * F.col("source_size")
