@@ -67,15 +67,24 @@ class Spool:
 
     def __init__(self, df: DataFrame, block_bytes: int):
         self.folder, self.block_bytes = new_folder(df.sparkSession, "spool"), block_bytes
-        df.write.parquet(self.folder)
+        df.write.option("parquet.block.size", max(block_bytes, 1 << 20)).parquet(self.folder)
 
-    def tables(self) -> Iterator[pa.Table]:
+    def tables(self, part: int = 0, parts: int = 1) -> Iterator[pa.Table]:
+        """The blocks, or those of every ``parts``-th file from the ``part``-th on.
+
+        A row group is written within the block's bytes, and read in batches of an eighth of them, by its rows'
+        mean size; so a block holds little more than its bound, or one row where a row is larger.
+        """
         system, top = open_fs(self.folder)
         held, size = [], 0
-        for info in sorted(system.get_file_info(fs.FileSelector(top)), key=lambda f: f.path):
-            if info.base_name.endswith(".parquet") and info.base_name[0] not in "._":
-                with system.open_input_file(info.path) as file:
-                    for batch in pq.ParquetFile(file).iter_batches(batch_size=1024):
+        files = [f for f in sorted(system.get_file_info(fs.FileSelector(top)), key=lambda f: f.path) if f.base_name.endswith(".parquet") and f.base_name[0] not in "._"]
+        for info in files[part::parts]:
+            with system.open_input_file(info.path) as file:
+                parquet = pq.ParquetFile(file)
+                for g in range(parquet.num_row_groups):
+                    group = parquet.metadata.row_group(g)
+                    rows = max(1, self.block_bytes * group.num_rows // (8 * max(group.total_byte_size, 1)))
+                    for batch in parquet.iter_batches(batch_size=min(rows, 1 << 16), row_groups=[g]):
                         held.append(batch)
                         size += batch.nbytes
                         if size >= self.block_bytes:
