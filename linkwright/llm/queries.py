@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, disclosure, guess_cost, licenses, line_crf, severity, simhash, snapshots, sstable
+from . import centroids, curriculum, decontaminate, disclosure, guess_cost, lattice, licenses, line_crf, severity, simhash, snapshots, sstable, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,20 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score(docs, model, keep=["doc_id"])
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    moved = rows.withColumn("label", F.when(F.expr("vec_id % 7 = 0"), (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return vantage.mine(moved, F.expr("vec_id % 100 = 0"))
+
+
 QUERIES = (
     op1_decontaminate,
     op2_simhash,
@@ -109,6 +123,9 @@ QUERIES = (
     op8_chat_snapshots,
     op9_pii,
     op10_toxic_severity,
+    op11_centroid_clusters,
+    op12_embedding_dedup,
+    op13_hard_negatives,
 )
 
 OP8_SQL = r"""
