@@ -266,3 +266,87 @@ def personal_spans(texts, window=5, least_chars=5, least_docs=3, least_bits=6.0,
             at = max(at, b)
         out.append((",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans), None if t is None else clean + t[at:]))
     return out
+
+
+def usable(vector):
+    return vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+
+
+def integers(vector):
+    return [math.floor(256 * x) for x in vector]
+
+
+def clusters(rows, k=40, rounds=5, dims=64):
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid hash of (vec_id, vector) rows, in their order."""
+    kept = [(i, integers(v)) for i, v in rows if usable(v) and len(v) == dims and max(map(abs, v), default=0) < 2**19]
+    order = sorted(kept, key=lambda r: (r[0] is None, sha(f"2:{r[0]}"), r[1]))
+    centers = [list(v) for _, v in order[:k]]
+
+    def assigned():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centers)) for _, v in kept]
+
+    for _ in range(rounds):
+        members = defaultdict(list)
+        for (_, v), (_, j) in zip(kept, assigned(), strict=True):
+            members[j].append(v)
+        for j, vs in members.items():
+            centers[j] = [sum(col) // len(vs) for col in zip(*vs, strict=True)]
+    last = assigned()
+    inertia = Counter()
+    for d, j in last:
+        inertia[j] += d
+    return [(i, j, d, inertia[j], sum(inertia.values()), sha(",".join(map(str, centers[j])))) for (i, _), (d, j) in zip(kept, last, strict=True)]
+
+
+def vector_links(rows, least=0.95):
+    """vec_id, n_links, component_id, kept of (vec_id, vector) rows, by comparing all pairs."""
+
+    def unit(v):
+        if not usable(v) or not any(v):
+            return None
+        top = max(map(abs, v))
+        v = [x / top for x in v]
+        size = math.sqrt(math.fsum(x * x for x in v))
+        return [x / size for x in v]
+
+    units = [unit(v) for _, v in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(units):
+        for j in range(i):
+            b = units[j]
+            if a and b and len(a) == len(b) and math.fsum(x * y for x, y in zip(a, b, strict=True)) >= least:
+                links[i] += 1
+                links[j] += 1
+                parent[top(i)] = top(j)
+    least_id = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least_id[top(i)] = min(key, least_id.get(top(i), key))
+    found = [least_id.get(top(i)) for i in range(len(rows))]
+    return [(key, n, c, key == c) for (key, _), n, c in zip(rows, links, found, strict=True)]
+
+
+def negatives(rows, positives=5, k=10):
+    """anchor_id, positive_id, rank, negative_id, both scores, of (vec_id, vector, label) rows."""
+    kept = []
+    for i, v, label in rows:
+        if label is not None and usable(v) and max(map(abs, v), default=0) < 2**18:
+            kept.append((i, integers(v), (label + 1) % 10 if i is not None and i % 7 == 0 else label))
+
+    def order(scored):
+        return sorted(scored, key=lambda x: (-x[0], x[1] is None, x[1]))
+
+    out = []
+    for a, q, label in kept:
+        if a is not None and a % 100 == 0:
+            scored = [(sum(x * y for x, y in zip(q, v)), i, other) for i, v, other in kept]
+            for score, p, _ in order(s for s in scored if s[2] == label and s[1] != a)[:positives]:
+                fit = order(s for s in scored if s[2] != label and 30 * score <= 100 * s[0] <= 90 * score)
+                out += [(a, p, n, i, score, s) for n, (s, i, _) in enumerate(fit[:k], 1)]
+    return out
