@@ -216,8 +216,11 @@ def links(nodes: DataFrame, least: float, shape: tuple[int, int, int], cell_rows
             new = np.zeros(batch.num_rows, bool)
             for c in keys:
                 new[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
+            starts = np.array([0, *np.flatnonzero(new).tolist(), batch.num_rows])
+            # A row alone in its cell has no links; the first and the last run may go on in another batch.
+            alone = np.diff(starts) == 1
+            alone[[0, -1]] = False
+            for a, b in zip(starts[:-1][~alone].tolist(), starts[1:][~alone].tolist(), strict=True):
                 here = tuple(int(c[a]) for c in keys) if b > a else None
                 if here is not None and here != last and rest:
                     yield from of_group(pa.Table.from_batches(rest))

@@ -1,8 +1,9 @@
 """Operator 13, hard-negative mining: vantage-point trees over norm-augmented vectors.
 
 A row x of a block gets one more component, sqrt(M^2 - |x|^2) with M the largest norm of its block, and an
-anchor a zero there. Then |a' - x'|^2 = |a|^2 + M^2 - 2 a.x, so higher scores are nearer, and a window of
-scores is an annulus around the anchor. A block's tree halves its rows by their distance to a vantage
+anchor a zero there, and its other components times s = M / |a|, so that it lies on the rows' sphere. Then
+|a' - x'|^2 = 2 M^2 - 2 s a.x, so higher scores are nearer, and a window of scores is an annulus around
+the anchor. A block's tree halves its rows by their distance to a vantage
 point, level by level; each leaf knows the least and largest distance of its rows to each vantage point above it.
 The triangle inequality bounds an anchor's distance to a leaf from both sides: leaves outside the
 annulus are passed over, the others visited nearest first, until the next cannot hold a better row than
@@ -103,13 +104,16 @@ class Tree:
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and largest score that each leaf can hold for each anchor."""
         own = (q.astype(np.float64) ** 2).sum(axis=1)[:, None]
+        scale = np.sqrt(self.top / np.where(own > 0, own, 1))
+        scale = np.where(scale > 0, scale, 1)
+        own = own * scale**2
         d = min(q.shape[1], self.points.shape[1] - 1)
-        inner = q[:, :d].astype(np.float64) @ self.points[:, :d].T
+        inner = (q[:, :d].astype(np.float64) @ self.points[:, :d].T) * scale
         far = np.sqrt(np.maximum(own + (self.points**2).sum(axis=1) - 2 * inner, 0))[:, self.node]
         nearest = np.maximum(np.maximum(far - self.high, self.low - far), 0).max(axis=2, initial=0)
         farthest = (far + self.high).min(axis=2, initial=np.inf)
         slack = (own + self.top) * 1e-9 + 1
-        return (own + self.top - farthest**2) / 2 - slack, (own + self.top - nearest**2) / 2 + slack
+        return ((own + self.top - farthest**2) / 2 - slack) / scale, ((own + self.top - nearest**2) / 2 + slack) / scale
 
 
 class Search:
