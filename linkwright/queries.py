@@ -327,11 +327,12 @@ PAGE_GTIN = "CASE WHEN offer_idx % 3 = 0 THEN NULL WHEN offer_idx % 3 = 1 THEN c
 
 
 @query(
-    f"WITH c AS ({plain(CANDIDATES)}), v AS (SELECT catalog_idx, offer_idx, {PAGE_GTIN} AS page_gtin FROM c), n AS (SELECT catalog_idx, page_gtin, count(*) AS k, min(offer_idx) AS i FROM v WHERE page_gtin IS NOT NULL AND catalog_idx % 2 = 0 GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT *, row_number() OVER (PARTITION BY catalog_idx ORDER BY k DESC, i) AS r FROM n) "
+    f"WITH c AS ({plain(CANDIDATES)}), v AS (SELECT catalog_idx, offer_idx, {PAGE_GTIN} AS page_gtin, row_number() OVER (PARTITION BY catalog_idx ORDER BY confidence DESC, offer_idx) AS place FROM c), n AS (SELECT catalog_idx, page_gtin, count(*) AS k, min(place) AS i FROM v WHERE page_gtin IS NOT NULL AND catalog_idx % 2 = 0 GROUP BY ALL HAVING count(*) >= 2), b AS (SELECT *, row_number() OVER (PARTITION BY catalog_idx ORDER BY k DESC, i) AS r FROM n) "
     "SELECT v.catalog_idx, v.offer_idx, coalesce(v.page_gtin = b.page_gtin, false) AS gtin_recovered, coalesce(v.page_gtin <> b.page_gtin, false) AS gtin_conflict FROM v LEFT JOIN b ON v.catalog_idx = b.catalog_idx AND b.r = 1"
 )
 def gtin_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = derived(spark, sf_dir, CANDIDATES).select("catalog_idx", "offer_idx", F.expr(PAGE_GTIN).alias("page_gtin"))
+    rank = F.expr("row_number() over (partition by catalog_idx order by confidence desc, offer_idx)")
+    shown = derived(spark, sf_dir, CANDIDATES).select("catalog_idx", "offer_idx", F.expr(PAGE_GTIN).alias("page_gtin"), rank.alias("cand_rank"))
     catalog = derived(spark, sf_dir, CATALOG).select("row_idx", *(F.when(F.col("row_idx") % 2 == 1, F.col(c)).alias(c) for c in ("ean", "gtin")))
     return pages.gtin_consensus(shown, catalog).select("catalog_idx", "offer_idx", "gtin_recovered", "gtin_conflict")
 
@@ -391,10 +392,10 @@ def web_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH h AS ({plain(HITS)}) SELECT hit_idx AS catalog_idx, title, concat('https://www.example.it/go/', cast(hit_idx as varchar)) AS url, price + 0.5 AS price, CASE hit_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 4.99 END::decimal(18,4) AS shipping_cost FROM h WHERE price IS NOT NULL")
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each hit put into a listing's row; rows without a price give no offer."""
+    """Each hit put into a listing's row, after one without a price; no row has its end tag, and those without a price give no offer."""
     price = F.coalesce(F.concat(F.lit('<b class="item_price">'), F.col("price").cast("int").cast("string"), F.lit(",50 &euro;</b>")), F.lit(""))
     shipping = F.when(F.col("hit_idx") % 3 == 0, '<i class="item_delivery">Spedizione Gratis</i>').when(F.col("hit_idx") % 3 == 1, '<i class="item_delivery">4,99 &euro;</i>').otherwise("")
-    body = F.concat(F.lit('<ul><li class="item"><a href="/go/'), F.col("hit_idx").cast("string"), F.lit('">'), F.col("title"), F.lit("</a>"), price, shipping, F.lit("</li></ul>"))
+    body = F.concat(F.lit('<ul><li class="item"><a href="/go/0">unpriced</a><p>more<li class="item"><a href="/go/'), F.col("hit_idx").cast("string"), F.lit('">'), F.col("title"), F.lit("</a>"), price, shipping, F.lit("</ul>"))
     made = derived(spark, sf_dir, HITS).select(F.col("hit_idx").alias("catalog_idx"), body.alias("body"), F.lit("https://www.example.it/list").alias("url"))
     return result_pages.trovaprezzi(made).select("catalog_idx", "title", "url", "price", "shipping_cost")
 
@@ -428,8 +429,9 @@ def strict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.strict(rows).select("catalog_idx", "offer_idx", "status", F.when(F.col("status") == "accepted", F.col("cand_rank").cast("long")).alias("place"))
 
 
-#: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone.
-PAGE_KIND = "cast(row_idx % 7 as int)"
+#: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone,
+#: structured data nested too deep to read.
+PAGE_KIND = "cast(row_idx % 8 as int)"
 PAGE_URL = f"CASE {PAGE_KIND} WHEN 5 THEN '' WHEN 6 THEN concat('https://www.sovatem.it/', cast(row_idx as string)) ELSE concat('https://s.it/', cast(row_idx as string)) END"
 
 
@@ -441,10 +443,11 @@ def made_pages(offers: DataFrame) -> DataFrame:
         .when(kind == 2, F.concat(F.lit('<meta property="og:price:amount" content="9,90"><meta content="eur" property="og:price:currency">code '), F.col("p_ean"), F.lit(". Spedizione gratuita")))
         .when(kind == 4, ld(F.lit("none"), F.lit("4006381333931"), "USD"))
         .when(kind == 6, F.concat(F.lit("article "), F.lower("p_sku")))
+        .when(kind == 7, F.concat(F.col("p_ean"), F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), F.lit(200_000)), F.lit("</script>")))
         .otherwise("")
     )
     page = F.concat(F.lit("<html><body>"), body, F.when(kind == 3, "").otherwise(F.rpad(F.lit("<p>"), 1200, "x")), F.lit("</p></body></html>"))
-    return offers.where(kind.isin(1, 2, 3, 4, 6)).select("url", page.alias("html"), F.lit(200).alias("status_code"))
+    return offers.where(kind.isin(1, 2, 3, 4, 6, 7)).select("url", page.alias("html"), F.lit(200).alias("status_code"))
 
 
 VERIFIED_SQL = f"""{WITH}, {EXACT_SQL}, k AS (
@@ -452,7 +455,7 @@ VERIFIED_SQL = f"""{WITH}, {EXACT_SQL}, k AS (
 ), v AS (
   SELECT *, CASE WHEN kind IN (1, 2) THEN CASE WHEN odd = 0 THEN 'PDP·GTIN' ELSE 'PDP·EAN' END WHEN kind = 4 THEN 'json_ld' WHEN kind = 6 THEN 'PDP·SKU' END AS label FROM k
 ), f AS (
-  SELECT catalog_idx, offer_idx, label AS confirmation_method, label IS NOT NULL AS pdp_verified, CASE WHEN kind = 5 THEN 'no_url' WHEN kind IN (0, 3) THEN 'fetch_failed' END AS pdp_skip_reason, CASE kind WHEN 1 THEN 'json_ld' WHEN 4 THEN 'json_ld' WHEN 2 THEN 'meta' WHEN 6 THEN 'regex' END AS extraction_method,
+  SELECT catalog_idx, offer_idx, label AS confirmation_method, label IS NOT NULL AS pdp_verified, CASE WHEN kind = 5 THEN 'no_url' WHEN kind IN (0, 3) THEN 'fetch_failed' WHEN kind = 7 THEN 'error' END AS pdp_skip_reason, CASE kind WHEN 1 THEN 'json_ld' WHEN 4 THEN 'json_ld' WHEN 2 THEN 'meta' WHEN 6 THEN 'regex' END AS extraction_method,
          CASE kind WHEN 1 THEN 12.5::DECIMAL(18,4) WHEN 2 THEN 9.9::DECIMAL(18,4) ELSE price END AS price, CASE WHEN kind IN (2, 6) THEN 0::DECIMAL(18,4) ELSE shipping_cost END AS shipping_cost, CASE kind WHEN 2 THEN 'page' WHEN 6 THEN 'rule' END AS shipping_source,
          CASE WHEN kind IN (1, 4) THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END AS availability, CASE WHEN kind IN (1, 4) THEN cast(offer_idx % 50 AS INT) END AS stock_quantity, CASE WHEN kind IN (1, 4) THEN 'Shop' ELSE seller END AS seller, cand_rank, source FROM v
 )"""

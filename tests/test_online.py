@@ -1,5 +1,6 @@
 """The online run: providers' hits together, pages and what they confirm, and what is kept."""
 
+import time
 from decimal import Decimal
 
 import pytest
@@ -133,3 +134,40 @@ def test_csv_edges(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("id,title,price\n1,t,ask\n")
     with pytest.raises(files.InputError):
         files.offers(files.read_csv(spark, str(tmp_path / "bad.csv")))
+
+
+LD = '<script type="application/ld+json">{}</script>'
+
+
+def test_structured_data_is_read_as_its_page_states_it():
+    """The product's own barcode, the first node of each list, and no comment."""
+    page = "<!-- " + LD.format('{"@type":"Product","sku":"no"}') + " -->" + LD.format("{broken") + LD.format(
+        '[{"@type":"Thing"},{"@graph":[{"@type":["x","PRODUCT"],"sku":"S","gtin8":"","gtin":"123","brand":{"name":"B"},"offers":["x",{"gtin13":"9","lowPrice":0,"shippingDetails":[1,{"shippingRate":{"value":0}}],"priceSpecification":["y",{"valueAddedTaxIncluded":true}],"seller":"Shop"}]}]}]'
+    )
+    found = pages.facts_of(page)
+    assert {k: v for k, v in found.items() if v is not None} == {"sku": "S", "gtin": "123", "brand": "B", "price": "0", "shipping": "0", "vat_included": "true"}
+    assert pages.facts_of(LD.format('{"@type":"Product","offers":[{"gtin13":"4006381333931"}]}'))["gtin"] is None
+    assert pages.facts_of(None) == pages.facts_of("<script") == pages.facts_of("<script type='application/ld+json'>{}") == {}
+
+
+def test_hostile_pages_cost_little_time():
+    began = time.process_time()
+    for page in ("<script type='application/ld+json'>" * 20_000, "<script " * 100_000, "<!--" * 100_000, LD.format("[" * 10_000 + "]" * 10_000) * 3):
+        assert set(pages.facts_of(page)) <= {"error"}
+    assert time.process_time() - began < 5
+
+
+def test_a_page_that_cannot_be_read_is_an_error_of_its_offers_alone(spark, catalog):
+    filler = "<p>" + "x" * 1200 + " 4006381333931"
+    offers = online.of_offers(spark.createDataFrame([(10, "https://a.it/1", Decimal(5)), (11, "https://a.it/2", Decimal(6)), (12, "", Decimal(7)), (13, None, Decimal(8))], "row_idx long, url string, price decimal(18,4)").withColumn("currency", F.lit("EUR")))
+    made = spark.createDataFrame([("https://a.it/1", LD.format("[" * 200_000) + filler, 200), ("https://a.it/2", LD.format('{"@type":"Product","offers":{"price":"4.20","priceCurrency":"EUR"}}') + filler, 200)], "url string, html string, status_code int")
+    asked = spark.createDataFrame([(1, i) for i in (10, 11, 12, 13)], "catalog_idx long, offer_idx long")
+    rows = {r.offer_idx: (r.pdp_verified, r.pdp_skip_reason, r.confirmation_method, r.price) for r in pages.verify(asked, catalog, offers, made).collect()}
+    assert rows == {10: (False, "error", None, Decimal(5)), 11: (True, None, "PDP·EAN", Decimal("4.2")), 12: (False, "no_url", None, Decimal(7)), 13: (False, "no_url", None, Decimal(8))}
+
+
+def test_of_codes_with_equal_support_the_best_ranked_candidate_decides(spark):
+    catalog = spark.createDataFrame([(1, None, None)], "row_idx long, ean string, gtin string")
+    shown = spark.createDataFrame([(1, 1, "A", 3), (1, 2, "A", 4), (1, 8, "B", 1), (1, 9, "B", 2)], "catalog_idx long, offer_idx long, page_gtin string, cand_rank int")
+    assert pages.agreed_codes(shown, catalog).collect()[0].agreed_ == "B"
+    assert pages.agreed_codes(shown.drop("cand_rank"), catalog).collect()[0].agreed_ == "A"

@@ -1,5 +1,6 @@
 """Hits read from result pages, numbering of rows, and the first hits of a search, on literals."""
 
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -76,3 +77,31 @@ def test_best_rows_show_unpriced_and_missing(spark):
     rejected = spark.createDataFrame([(2, 4)], "catalog_idx long, rejected_count long")
     rows = {r.catalog_sku: (r.matched_price, r.confidence, r.match_details, r.all_candidates_count, r.rejected_count) for r in landscape.best_rows(catalog, accepted, offers, rejected).collect()}
     assert rows == {"A": ("None", "0.9500", '{"matched_on":"ean"}', 1, 0), "B": ("", "", "", 0, 4)}
+
+
+UNCLOSED = """
+<ul><li class="item"><a href="/go/1">no price</a><p>first<li class="item"><a href="/go/2">Lamp</a><p class="price">9,50<li class="item"><a href="/go/3">Chair</a><b class="price">3,00</b></ul>
+<table><tr class="item_offer"><td><a href="/go/4">Bulb</a><td class="price">1,10<tr class="item_offer"><td><a href="/go/5">unpriced</a><td>ask</table>
+<ul><li class="item"><a href="/go/6">outer</a><ul><li>one<li class="price">2,00</ul></ul>
+"""
+
+
+def test_rows_whose_end_tags_are_left_out_stay_apart(spark):
+    """A row without a price takes none of the row after it; a list within a row belongs to it."""
+    pages = spark.createDataFrame([(1, UNCLOSED, "https://cmp.it/")], "catalog_idx long, body string, url string")
+    rows = {r.url.rpartition("/")[2]: (r.title, r.price) for r in result_pages.trovaprezzi(pages).collect()}
+    assert rows == {"2": ("Lamp", Decimal("9.5000")), "3": ("Chair", Decimal("3.0000")), "4": ("Bulb", Decimal("1.1000")), "6": ("outer", Decimal("2.0000"))}
+
+
+def test_very_many_unclosed_elements_are_read_in_linear_time():
+    parts = ("<li class='item'><a href='u'>x</a><b class='price'>1</b>", "<div class='item'><nav><a>", "<p><td><option></b></i>")
+
+    def took(page):
+        began = time.process_time()
+        outline = result_pages.Outline(page)
+        rows = [outline.first(result_pages.OFFER_PRICE, row) for row in outline.find(result_pages.OFFER_ROW)]
+        return time.process_time() - began, len(rows)
+
+    for part in parts:
+        (short, few), (long_, many) = took(part * 5_000), took(part * 40_000)
+        assert many == 8 * few and long_ < 24 * short
