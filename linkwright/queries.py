@@ -431,7 +431,7 @@ def strict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone,
 #: structured data nested too deep to read.
-PAGE_KIND = "cast(row_idx % 8 as int)"
+PAGE_KIND = "CASE WHEN row_idx % 97 = 7 THEN 7 ELSE cast(row_idx % 7 as int) END"
 PAGE_URL = f"CASE {PAGE_KIND} WHEN 5 THEN '' WHEN 6 THEN concat('https://www.sovatem.it/', cast(row_idx as string)) ELSE concat('https://s.it/', cast(row_idx as string)) END"
 
 
@@ -443,7 +443,7 @@ def made_pages(offers: DataFrame) -> DataFrame:
         .when(kind == 2, F.concat(F.lit('<meta property="og:price:amount" content="9,90"><meta content="eur" property="og:price:currency">code '), F.col("p_ean"), F.lit(". Spedizione gratuita")))
         .when(kind == 4, ld(F.lit("none"), F.lit("4006381333931"), "USD"))
         .when(kind == 6, F.concat(F.lit("article "), F.lower("p_sku")))
-        .when(kind == 7, F.concat(F.col("p_ean"), F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), F.lit(200_000)), F.lit("</script>")))
+        .when(kind == 7, F.concat(F.col("p_ean"), F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), F.lit(12_000)), F.lit("</script>")))
         .otherwise("")
     )
     page = F.concat(F.lit("<html><body>"), body, F.when(kind == 3, "").otherwise(F.rpad(F.lit("<p>"), 1200, "x")), F.lit("</p></body></html>"))
