@@ -50,7 +50,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of a whole row; columns of a kind that has no hash, such as maps, are left out."""
+    """A hash of a whole row; columns of a kind that has no hash, such as maps and variants, count by their JSON."""
 
     def has_hash(kind: T.DataType) -> bool:
         if isinstance(kind, T.ArrayType):
@@ -59,7 +59,11 @@ def row_hash(df: DataFrame) -> Column:
             return all(has_hash(f.dataType) for f in kind.fields)
         return not isinstance(kind, (T.MapType, T.VariantType))
 
-    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if has_hash(f.dataType)))
+    def hashable(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return c if has_hash(f.dataType) else F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
+
+    return F.xxhash64(*map(hashable, df.schema.fields))
 
 
 def with_hot_keys(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 10_000) -> DataFrame:
@@ -110,9 +114,11 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 3, held: int = 200_000) -> DataFrame:
+def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 3, held: int = 200_000, hide: re.Pattern | None = None) -> DataFrame:
     """w, n: in how many documents each word stands that is of letters alone and not shorter than that.
 
+    What the first group of ``hide`` matches has no words.
+
     A task holds at most so many counts at once, and a text's own; they are summed before the shuffle.
     """
     small_batches(docs.sparkSession)
@@ -127,7 +133,7 @@ def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 3, h
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update(set(item_words(t)))
+                counts.update(set(item_words(hidden(t, hide) if hide and t else t)))
                 if len(counts) > held:
                     yield flush()
         if counts:
@@ -136,6 +142,15 @@ def document_counts(docs: DataFrame, text: str = "text", least_chars: int = 3, h
     return docs.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def hidden(text: str, pattern: re.Pattern) -> str:
+    """text with what the pattern's first group matches put as a space."""
+    out, at = [], 0
+    for m in pattern.finditer(text):
+        out += [text[at : m.start(1)], " "]
+        at = m.end(1)
+    return "".join([*out, text[at:]])
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 

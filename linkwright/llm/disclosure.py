@@ -5,8 +5,11 @@ A term is a word of letters within ``window`` words of a mention. Over the whole
 documents, c(w) those with the term, c(e) those with the entity, and c(e, w) those with the term
 beside the entity give what the term discloses: log2(N c(e, w) / (c(e) c(w))) bits, and the
 probability c(e, w) / c(w) that the term means the entity. A term that exceeds both thresholds for
-some entity, in enough documents, reveals it wherever it stands, so all its places are spans to
-sanitise, beside the base spans: each is generalised to its kind.
+some entity, beside it in ``least_docs`` different texts, reveals it wherever it stands, so all its places
+are spans to sanitise, beside the base spans: each is generalised to its kind. Copies of a document are one
+text, and so no evidence however many they are; in the ratios they count on all sides. Words under ``least_chars`` letters, or not of letters
+alone, are no terms, and an entity in fewer texts than ``least_docs`` has none: both are parameters, since
+short words and single mentions are mostly chance.
 
 Three passes read whole texts in the tasks that scan them: for mentions and their surroundings, for
 words, and for the spans. Counts are combined in the task before the shuffle; entities, terms and
@@ -15,7 +18,7 @@ makes longer by one counted row. Revealing terms go to the shared folder, from w
 in blocks of ``block_bytes``; more terms make more blocks. Texts are never shuffled.
 
 Defined cases: a null text has no spans and stays null, an empty one has none; repeated rows count
-as documents of their own; spans are code points, end exclusive; of spans that overlap, all
+as documents, but are one text; spans are code points, end exclusive; of spans that overlap, all
 characters go under the first one's kind; columns other than the text are not used.
 """
 
@@ -110,38 +113,40 @@ def is_term(word: str, least_chars: int) -> bool:
     return len(word) >= least_chars and word.isalpha()
 
 
-def surroundings(text: str, bases: list[tuple[int, int, int]], window: int, least_chars: int) -> set[tuple[int, str]]:
-    """entity and term for the terms near each mention."""
+def surroundings(text: str, bases: list[tuple[int, int, int]], window: int, least_chars: int) -> dict[int, set[str]]:
+    """For each entity the terms near its mentions."""
     lower = text.translate(LOWER_STR)
     words, covered = words_apart(lower, bases)
     starts = [a for a, _ in words]
-    out = set()
+    out: dict[int, set[str]] = {}
     for a, kind, b in bases:
         before, after = bisect_left(starts, a), bisect_left(starts, b)
         near = (lower[slice(*words[i])] for i in [*range(max(0, before - window), before), *range(after, min(len(words), after + window))] if i not in covered)
-        out |= {(entity_of(kind, text[a:b]), word) for word in near if is_term(word, least_chars)}
+        out.setdefault(entity_of(kind, text[a:b]), set()).update(word for word in near if is_term(word, least_chars))
     return out
 
 
 def mentions(docs: DataFrame, text: str = "text", window: int = 5, least_chars: int = 5) -> DataFrame:
-    """pairs, entities: the distinct (entity, term) and entities of each text with a mention."""
+    """pairs, entities: the distinct (entity, term) and entities of each text with a mention; x is a hash of the text."""
 
     def make():
         def fn(texts: list) -> dict:
             bases = [base_spans(t) for t in texts]
-            near = [sorted(surroundings(t, b, window, least_chars)) if b else [] for t, b in zip(texts, bases, strict=True)]
-            return {"pairs": [[{"e": e, "w": w} for e, w in x] for x in near], "entities": [sorted({entity_of(k, t[a:c]) for a, k, c in b}) for t, b in zip(texts, bases, strict=True)]}
+            near = [surroundings(t, b, window, least_chars) if b else {} for t, b in zip(texts, bases, strict=True)]
+            pairs = [[{"e": e, "w": w} for e, ws in x.items() for w in ws] for x in near]
+            return {"pairs": pairs, "entities": [sorted(x) for x in near], "x": [xxhash.xxh64_intdigest(utf8(t), 9) >> 1 if b else 0 for t, b in zip(texts, bases, strict=True)]}
 
         return fn
 
-    found = map_texts(docs.select(text), make, "pairs array<struct<e:long,w:string>>, entities array<long>", text, [])
+    found = map_texts(docs.select(text), make, "pairs array<struct<e:long,w:string>>, entities array<long>, x long", text, [])
     return found.where("size(entities) > 0")
 
 
 def revealing_terms(docs: DataFrame, text: str, window: int, least_chars: int, least_docs: int, least_bits: float, least_share: float) -> DataFrame:
     """w: the distinct terms that disclose some entity."""
     found = checkpointed(mentions(docs, text, window, least_chars))
-    joint = found.select(F.explode("pairs").alias("p")).groupBy(F.col("p.e").alias("e"), F.col("p.w").alias("w")).agg(F.count("*").alias("n_ew")).where(F.col("n_ew") >= least_docs)
+    each = found.select(F.inline("pairs"), "x").groupBy("e", "w", "x").agg(F.count("*").alias("n"))
+    joint = each.groupBy("e", "w").agg(F.sum("n").alias("n_ew"), F.count("*").alias("kinds")).where(F.col("kinds") >= least_docs).drop("kinds")
     per_entity = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     bits = F.log2(F.col("n_ew") * F.lit(float(docs.count())) / (F.col("n_e") * F.col("n")))
     told = joint.join(per_entity, "e").join(document_counts(docs, text, least_chars), "w")

@@ -122,9 +122,12 @@ def find_secrets(text: str | None, words: dict[str, float] = WORDS, least_cost:
 
 
 def dictionary(docs: DataFrame, text: str = "text", share: float = 0.001, least_docs: int = 5) -> dict[str, float]:
-    """Words of at least ``share`` of the documents, and no less than ``least_docs``, with log10 of their rank."""
+    """Words of at least ``share`` of the documents, and no less than ``least_docs``, with log10 of their rank.
+
+    The values in credential contexts are left out, so a secret that is copied stays as costly to guess.
+    """
     n = docs.count()
-    rows = document_counts(docs, text).where(F.col("n") >= max(least_docs, share * n)).collect()
+    rows = document_counts(docs, text, hide=CONTEXT).where(F.col("n") >= max(least_docs, share * n)).collect()
     ranked = sorted((-r.n, r.w) for r in rows)
     return {w: math.log10(r) for r, (_, w) in enumerate(ranked, len(FREQUENT) + 1)} | WORDS
 

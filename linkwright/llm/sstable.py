@@ -19,12 +19,13 @@ A shard is written under a name of its own attempt and the manifest lists only f
 a lost executor's half-written shard is never read. The manifest is checkpointed: its files are
 written once. Files go through pyarrow's file systems to a shared folder.
 
-A key that fills several ranges by itself, or no key at all, is dealt to as many shards by a hash
-of the values, so no task writes all of its documents.
+A key that fills several ranges by itself, or no key at all, is dealt to as many shards by the number of its row
+in its partition, equal rows too, so no task writes all of its documents. For that the documents should come
+from a table or another source that gives a partition's rows in one order.
 
 Defined cases: a null or empty text gives the end id alone; null keys come first; repeated keys
 are kept, each as a document, next to each other, in the order of their values' bytes within a
-shard; an empty table makes no shard.
+shard; ids may be any of 64 bits; an empty table makes no shard.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ import re
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -53,6 +55,8 @@ MAGIC = b"SSTB0001"
 FOOTER = struct.Struct("<QIQIQQ")  # index offset, length; Bloom offset, length; documents, ids
 TAIL = struct.Struct("<B7s8s")  # width, padding, magic
 FOOTER_BYTES = FOOTER.size + TAIL.size
+#: Sampled keys a shard, of which the driver makes the cuts.
+SAMPLE = 64
 SHARD = "place int, part int, path string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
 #: White space on which a text can be cut before any tokenizer rule looks across the cut.
 CHUNK = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
@@ -351,30 +355,34 @@ class Reader:
 
 
 def shard_places(docs: DataFrame, shards: int) -> tuple[int, Callable[[Column, Column], Column]]:
-    """How many places the keys of column key are dealt to, and the place of a key and its value.
+    """How many places the keys of column key are dealt to, and the place of a key by its row's number.
 
-    Quantiles cut the keys in about ``shards`` ranges. A key that is several quantiles fills as
-    many places, and so do null keys by their number.
+    Quantiles of about SAMPLE sampled keys a shard cut the keys in about ``shards`` ranges. A key that is several
+    quantiles fills as many places, and so do null keys by their number; their rows are dealt by number,
+    so that equal ones are dealt as well.
     """
-    n = docs.agg(F.count("*").alias("n"), F.count("key").alias("keys")).first()
-    nulls = -(-(n.n - n.keys) * shards // n.n) if n.n else 0
-    cuts = docs.approxQuantile("key", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    times = {int(c): cuts.count(c) for c in sorted(set(cuts))}
-    bounds = list(times)
+    n = docs.agg(F.count("*").alias("n"), F.count("key").alias("keys")).first().asDict()
+    nulls = -(-(n["n"] - n["keys"]) * shards // n["n"]) if n["n"] else 0
+    held = docs.where("key is not null")
+    asked = SAMPLE * shards
+    known = sorted(r[0] for r in (held.sample(1.2 * asked / n["keys"], 4) if n["keys"] > 1.2 * asked else held).collect()) if shards > 1 else []
+    cuts = [known[i * len(known) // shards] for i in range(1, shards)] if known else []
+    times = Counter(cuts)
+    bounds = sorted(times)
     leaves, place = [(nulls, 0, None)], nulls + 1  # the leaf's place, how many its bound alone fills before it, the bound
     for b in bounds:
         several = times[b] if times[b] > 1 else 0
         leaves.append((place + several, several, b))
         place += several + 1
 
-    def at(key: Column, value: Column) -> Column:
+    def at(key: Column, number: Column) -> Column:
         def leaf(i: int) -> Column:
             here, several, bound = leaves[i]
             if not several:
                 return F.lit(here)
-            return F.when(key == bound, here - several + F.pmod(F.xxhash64(value), F.lit(several)).cast("int")).otherwise(here)
+            return F.when(key == bound, here - several + F.pmod(number, F.lit(several)).cast("int")).otherwise(here)
 
-        nameless = F.pmod(F.xxhash64(value), F.lit(max(nulls, 1))).cast("int")
+        nameless = F.pmod(number, F.lit(max(nulls, 1))).cast("int")
         return F.when(key.isNull(), nameless).otherwise(tree(key, bounds, 0, len(bounds), leaf))
 
     return place, at
@@ -398,9 +406,9 @@ def write_shards(
     spark = docs.sparkSession
     folder = (folder or new_folder(spark, "sst")).rstrip("/")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places, at = shard_places(docs.select(F.col(key).cast("double").alias("key")), shards)
+    places, at = shard_places(docs.select(F.col(key).cast("long").alias("key")), shards)
     encoded = encode(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizer, end_id, "text", ["key"])
-    placed = encoded.withColumn("place", at(F.col("key"), F.col("value")).cast("int"))
+    placed = encoded.withColumn("place", at(F.col("key"), F.monotonically_increasing_id()).cast("int"))
     dealt = placed.repartitionById(places, "place").sortWithinPartitions("place", "key", "value")
     width = 2 if _vocab_size(tokenizer) <= 1 << 16 else 4
 
@@ -502,8 +510,8 @@ def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFra
     """
     asked = keys.select(F.col(key).cast("long").alias("key")).distinct()
     ranges = manifest.select("path", "first_key", "last_key")
-    sortable = F.udf(sort_key, "binary")
-    dealt = asked.withColumn("k", sortable("key")).join(ranges, F.col("k").between(F.col("first_key"), F.col("last_key"))).select("path", "key", "k").repartition("path").sortWithinPartitions("path", "k")
+    unsigned = F.lpad(F.hex(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    dealt = asked.withColumn("k", F.unhex(F.when(F.col("key").isNull(), "00").otherwise(F.concat(F.lit("01"), unsigned)))).join(ranges, F.col("k").between(F.col("first_key"), F.col("last_key"))).select("path", "key", "k").repartition("path").sortWithinPartitions("path", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path_open, reader = None, None

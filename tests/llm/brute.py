@@ -238,7 +238,7 @@ def personal_spans(texts, window=5, least_chars=5, least_docs=3, least_bits=6.0,
 
     apart = lambda span, spans: all(span[1] <= a or b <= span[0] for a, _, b in spans)
     term = lambda w: len(w) >= least_chars and w.isalpha()
-    n_w, n_e, n_ew = Counter(), Counter(), Counter()
+    n_w, n_e, n_ew, beside = Counter(), Counter(), Counter(), defaultdict(set)
     for t in texts:
         low, found, words = (t or "").translate(LOWER), bases(t), places(t)
         n_w.update({low[a:b] for a, b in words})
@@ -251,10 +251,12 @@ def personal_spans(texts, window=5, least_chars=5, least_docs=3, least_bits=6.0,
             pairs |= {(e, low[x:y]) for x, y in before + after if apart((x, y), found) and term(low[x:y])}
             pairs.add((e, None))
         n_ew.update(pairs)
+        for pair in pairs:
+            beside[pair].add(t)
     for (e, w), n in n_ew.items():
         if w is None:
             n_e[e] = n
-    told = {w for (e, w), n in n_ew.items() if w and n >= least_docs and math.log2(n * len(texts) / (n_e[e] * n_w[w])) >= least_bits and n / n_w[w] >= least_share}
+    told = {w for (e, w), n in n_ew.items() if w and len(beside[e, w]) >= least_docs and math.log2(n * len(texts) / (n_e[e] * n_w[w])) >= least_bits and n / n_w[w] >= least_share}
     out = []
     for t in texts:
         found, low = bases(t), (t or "").translate(LOWER)

@@ -144,7 +144,8 @@ def test_personal_terms(spark, folder):
 def test_guessed_secrets(spark, folder):
     """The spans of the method, from word counts and costs of all splits taken by another way."""
     docs = documents(folder)
-    counts = Counter(w for _, t in docs for w in set(brute.item_words(t)) if len(w) >= 3 and w.isalpha())
+    blank = lambda t: guess_cost.CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()] + " " + m[0][m.end(1) - m.start() :], t or "")
+    counts = Counter(w for _, t in docs for w in set(brute.item_words(blank(t))) if len(w) >= 3 and w.isalpha())
     ranked = sorted((-n, w) for w, n in counts.items() if n >= max(5, 0.001 * len(docs)))
     words = {w: math.log10(r) for r, (_, w) in enumerate(ranked, len(guess_cost.FREQUENT) + 1)} | guess_cost.WORDS
     assert guess_cost.dictionary(spark.read.parquet(f"{folder}/documents.parquet")) == pytest.approx(words)

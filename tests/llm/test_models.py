@@ -321,3 +321,51 @@ def test_items_without_an_id(spark):
     items = spark.createDataFrame([(None, "b c d e f g h i j k"), (None, "z"), ("i1", "Z"), ("i0", "!")], "item_id string, text string")
     got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.find_contamination(docs, items, shard_chars=1).collect()}
     assert got == {1: (10, [None]), 2: (1, ["i1", None])}
+
+
+def test_copies_hide_no_secret(spark):
+    """However often a document is copied, its secret stays costly."""
+    secret = "pwd=xkqzvbnmtrplwqyzkjhgf"
+    for copies in (1, 4, 5, 50):
+        docs = spark.createDataFrame([(k, f"we use {secret} here") for k in range(copies)] + [(1000 + k, f"plain words number {k}") for k in range(100)], "doc_id long, text string")
+        rows = guess_cost.scan_secrets(docs, keep=["doc_id"]).where("size(spans) > 0").collect()
+        assert len(rows) == copies and all(len(r.spans) == 1 for r in rows)
+
+
+def test_words_of_credential_values_are_not_learnt(spark):
+    docs = spark.createDataFrame([(k, "token = zanzibarzebra; zanzibar is learnt") for k in range(10)], "doc_id long, text string")
+    known = guess_cost.dictionary(docs)
+    assert "zanzibar" in known and "learnt" in known and "zanzibarzebra" not in known
+
+
+def test_copies_of_a_document_reveal_nothing(spark):
+    """Words beside an address in one text only are no terms, however many rows have that text."""
+    text = "Margaret Thornfield lives beside the orchard, margaret@acme.com"
+    docs = spark.createDataFrame([(k, text) for k in range(30)] + [(100 + k, f"other words number {k}") for k in range(200)], "doc_id long, text string")
+    rows = disclosure.find_disclosures(docs, keep=["doc_id"]).where("doc_id < 30").collect()
+    assert {r.sanitised for r in rows} == {"Margaret Thornfield lives beside the orchard, <EMAIL>"}
+
+
+def test_ids_at_the_ends_of_64_bits(spark):
+    ids = [2**63 - 1, 2**63 - 2, 5, -(2**63), None, 2**53 + 1, 2**53, 5]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    manifest = sstable.write_shards(docs, sstable.tokenizer_path(spark), shards=3)
+    rows = sstable.read_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    asked = spark.createDataFrame([(i,) for i in [*ids, 6]], "doc_id long")
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in sstable.lookup(manifest, asked).collect()) == sorted((i is not None, i or 0) for i in ids)
+
+
+def test_equal_rows_of_a_hot_key_are_dealt_to_several_shards(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 7, "") for k in range(4000)] + [(10 + k, "x") for k in range(2000)], "doc_id long, text string").repartition(4)
+    docs = docs.sparkSession.createDataFrame(docs.collect(), "doc_id long, text string")
+    counts = [r.n_docs for r in sstable.write_shards(docs, sstable.tokenizer_path(spark), shards=12).collect()]
+    assert sum(counts) == 6000 and max(counts) < 1500
+
+
+def test_rows_that_differ_only_in_a_map_or_a_variant_are_all_kept(spark):
+    rows = spark.sql("select 1L as doc_id, 'one two three' as text, 's' as source, m, parse_json(v) as v from values (map('a', 'x'), '{}'), (map('a', 'y'), '{}'), (map('a', 'y'), '{\"b\":1}'), (map('a', cast(null as string)), '{}') as t(m, v)")
+    keep = lambda df: sorted((r.m["a"] or "", r.v) for r in df.select("m", F.to_json("v").alias("v")).collect())
+    ordered = curriculum.training_order(rows, curriculum.mix(rows, most=1, share=(1, 1)))
+    assert keep(ordered) == keep(rows) and len(set(keep(rows))) == 4
+    assert simhash.keep_representatives(rows).count() == 1
