@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
+from .cosine import Block
 from .shared import Spool
 from .similarity import indel_ratio
 
@@ -208,15 +209,16 @@ def encoded(df: DataFrame, column: str, encoder: Encoder, name: str) -> DataFram
     return df.select(column).distinct().mapInArrow(run, f"{column} string, {name} array<double>")
 
 
-def similar(left: DataFrame, right: DataFrame, least: float, block_bytes: int = 64 << 20) -> DataFrame:
-    """left_key, right_key, cosine of all pairs of vectors at or above ``least``.
+def similar(left: DataFrame, right: DataFrame, least: float, block_bytes: int = 64 << 20, right_rows: int = 8192) -> DataFrame:
+    """left_key, right_key, cosine of all pairs of vectors of length one at or above ``least`` (of four places).
 
     left (left_key, left_vec) should be the smaller side. It is written to the shared folder, and a
-    task multiplies its blocks, one at a time, with as much of the right side; a larger left side
-    makes more blocks. It is exact, so its work is the product of the two sides.
+    task meets its blocks, one at a time, with as much of the right side; a larger left side
+    makes more blocks. In a block only pairs are computed that its index, or its cells, leave open.
     """
     blocks = Spool(left.select("left_key", "left_vec"), block_bytes)
     kind = dict(left.dtypes)["left_key"], dict(right.dtypes)["right_key"]
+    bound = least - 0.00005
 
     def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
         flat = vectors.combine_chunks()
@@ -225,12 +227,12 @@ def similar(left: DataFrame, right: DataFrame, least: float, block_bytes: int =
     def multiplied(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         keys, other = rows.column(0).combine_chunks(), matrix(rows.column(1))
-        for names, vectors in blocks.blocks(lambda t: (t.column(0).combine_chunks(), matrix(t.column(1)))):
-            step = max(1, 4_000_000 // len(names))
-            for i in range(0, len(other), step):
-                cosine = other[i : i + step] @ vectors.T
-                r, c = np.nonzero(np.round(np.clip(cosine, 0, 1), 4) >= least)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), keys.take(pa.array(r + i)), pa.array(cosine[r, c])], names=["left_key", "right_key", "cosine"])
+        for names, block in blocks.blocks(lambda t: (t.column(0).combine_chunks(), Block(matrix(t.column(1)), bound))):
+            for i in range(0, len(other), right_rows):
+                for r, c, cosine in block.pairs(other[i : i + right_rows]):
+                    good = np.round(np.clip(cosine, 0, 1), 4) >= least
+                    r, c = r[good], c[good]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), keys.take(pa.array(r + i)), pa.array(cosine[good])], names=["left_key", "right_key", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
