@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
 from .cosine import Block
+from .metric import similar_within_brands
 from .shared import Spool
 from .similarity import indel_ratio
 
@@ -118,40 +119,13 @@ def similar_skus(a: DataFrame, b: DataFrame, least: float, brands: list[str]) ->
     return by_cuts.unionByName(sides(own, other, ["piece", "part"])).distinct()
 
 
-def letters(value: Column) -> Column:
-    """How often a string has characters of each of 16 classes, up to four times, as four bits each.
-
-    Where two strings' bits differ, one has a character that the other lacks; so as many characters,
-    at least, are in only one of them.
-    """
-    classes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(16)))
-    shift = lambda x, n: F.call_function("shiftleft", x, n)
-
-    def bits(k: Column) -> Column:
-        n = F.least(F.size(F.filter(classes, lambda c: c == k)), F.lit(4))
-        return shift(shift(F.lit(1).cast("long"), n) - 1, 4 * k)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(bits(k)))
-
-
-def within_brands(a: DataFrame, b: DataFrame, parts: int = 16) -> DataFrame:
-    """All pairs of one brand and length lb. Each such group's first side is dealt to ``parts``, and its second
-    side goes to all of them, so a large brand is the work of many tasks. The number of tasks is set,
-    since the sides are small beside their pairs."""
-    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["brand_", "lb", "deal"]
-    left = a.withColumn("deal", F.pmod(F.xxhash64("sku_"), F.lit(parts)).cast("int")).repartition(tasks, *keys)
-    right = b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys)
-    return left.join(right, keys)
-
-
 def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.60) -> DataFrame:
     """SKU similarity times what the brands say, where it can reach min_confidence or CONFIDENT.
 
     A conflict scores 0.3 at most and a missing brand 0.7, so above those thresholds such pairs are not
     made, and below them their SKUs must be the more similar. Pairs of one brand that need little
-    similarity are compared with all of the brand whose lengths and characters allow it, any others are
-    found by equi-joins on what similar SKUs share. Distinct (brand, SKU) are compared, not rows: repeated
+    similarity are found in a partition of the brand's SKUs by their distances to pivots, any others
+    by equi-joins on what similar SKUs share. Distinct (brand, SKU) are compared, not rows: repeated
     offers cost nothing.
     """
     least = min(min_confidence, CONFIDENT)
@@ -161,7 +135,8 @@ def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.6
     names = ["brand_", "sku_", "offer_brand", "offer_sku"]
 
     def scored(pairs: DataFrame, boost: float, state: str) -> DataFrame:
-        rows = pairs.select(*names, indel_ratio("sku_", "offer_sku").alias("ratio"))
+        ratio = F.col("ratio") if "ratio" in pairs.columns else indel_ratio("sku_", "offer_sku").alias("ratio")
+        rows = pairs.select(*names, ratio)
         return rows.select("*", F.round(F.col("ratio") * boost, 4).alias("score"), F.lit(state).alias("state")).where(F.col("score") >= least)
 
     branded = b.where("offer_brand is not null").withColumn("brand_", F.col("offer_brand"))
@@ -169,9 +144,7 @@ def sku_brand(catalog: DataFrame, offers: DataFrame, min_confidence: float = 0.6
     if need >= CLOSE:
         alike = similar_skus(a, branded, need, ["brand_"])
     else:
-        left_, right_ = a.withColumn("letters_", letters(F.col("sku_"))), branded.withColumn("offer_letters", letters(F.col("offer_sku")))
-        alike = within_brands(with_lengths(left_, "sku_", "la", "lb", need), right_.withColumn("lb", F.length("offer_sku")))
-        alike = alike.where(F.bit_count(F.col("letters_").bitwiseXOR(F.col("offer_letters"))) <= spare(F.col("la"), F.col("lb"), need))
+        alike = similar_within_brands(a.where("brand_ is not null"), branded.select("brand_", "offer_sku"), need).withColumn("offer_brand", F.col("brand_"))
     out = scored(alike, SAME, "match")
     if need <= UNKNOWN:
         known = F.col("brand_").isNotNull()
