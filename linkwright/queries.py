@@ -12,7 +12,7 @@ from .operators import landscape, matching, offers as offer_operators, pages
 from .operators.shared import stored
 from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
-from .sources import files, result_pages
+from .sources import fetching, files, result_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +429,27 @@ def strict_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.strict(rows).select("catalog_idx", "offer_idx", "status", F.when(F.col("status") == "accepted", F.col("cand_rank").cast("long")).alias("place"))
 
 
+def made_answers() -> fetching.Fetch:
+    """A client that answers by the query's length: so many pages, and for some a failure at the second."""
+
+    def fetch(asked: str, market: str, page: int) -> str | None:
+        if page == 2 and len(asked) % 5 == 0:
+            raise fetching.Unavailable("blocked")
+        return f'{{"results":[{{"title":"{market}","url":"https://s.it/{page}"}}]}}' if page <= len(asked) % 4 else None
+
+    return fetch
+
+
+@query(
+    f"WITH catalog AS ({plain(CATALOG)}), a AS (SELECT row_idx, [concat(brand, ' \"', sku, '\"'), concat('\"', ean, '\"'), concat(brand, ' ', title)] AS asked FROM catalog), q AS (SELECT row_idx, n, asked[n + 1] AS query FROM a, range(3) AS t(n)), p AS (SELECT *, length(query) AS k FROM q, range(1, 4) AS t(page)) "
+    "SELECT row_idx AS catalog_idx, provider, n::INT AS query_no, query, page::INT AS page, CASE WHEN provider = 'searxng' AND page = 2 AND k % 5 = 0 THEN 'blocked' END AS reason FROM p, (VALUES ('searxng'), ('serper')) AS v(provider) WHERE page <= CASE provider WHEN 'serper' THEN 1 ELSE 3 END AND (page <= k % 4 OR page = 2 AND k % 5 = 0 AND k % 4 = 1) AND NOT (page > 2 AND k % 5 = 0)"
+)
+def provider_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's queries asked of two providers, page by page until an empty one or a failure; a third is not available."""
+    asked = [fetching.Provider("serper", made_answers), fetching.Provider("keepa", made_answers, lambda: False), fetching.Provider("searxng", made_answers, most_pages=3)]
+    return fetching.fetched(fetching.queries_of(derived(spark, sf_dir, CATALOG)), asked).drop("body")
+
+
 #: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone,
 #: structured data nested too deep to read.
 PAGE_KIND = "CASE WHEN row_idx % 97 = 7 THEN 7 ELSE cast(row_idx % 7 as int) END"

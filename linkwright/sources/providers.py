@@ -48,14 +48,16 @@ def first_hits(found: DataFrame, most: int) -> DataFrame:
 
 
 def items(answers: DataFrame, schema: str, *path: str) -> DataFrame:
-    """One row ``x`` for each element at the path of arrays, with hit_idx in order."""
-    rows = answers.select("catalog_idx", F.from_json("body", schema).alias("x"))
-    order = []
+    """One row ``x`` for each element at the path of arrays, with hit_idx in order; of several bodies of a
+    product in the order of their ``place``, where they have one."""
+    order = ["place"] if "place" in answers.columns else []
+    rows = answers.select("catalog_idx", *order, F.from_json("body", schema).alias("x"))
     for k, step in enumerate(path):
         rows = rows.select("catalog_idx", *order, F.posexplode(f"x.{step}").alias(f"p{k}", "x"))
         order.append(f"p{k}")
-    if len(order) == 1:
-        return rows.withColumn("hit_idx", F.col("p0").cast("long"))
+    if len(path) == 1:
+        first = F.col("place") * (1 << 20) if "place" in order else F.lit(0)
+        return rows.withColumn("hit_idx", first + F.col("p0").cast("long"))
     return rows.withColumn("hit_idx", F.row_number().over(Window.partitionBy("catalog_idx").orderBy(*order)).cast("long") - 1)
 
 
