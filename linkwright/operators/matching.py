@@ -288,47 +288,65 @@ def judged(candidates: DataFrame, min_confidence: float = 0.60) -> DataFrame:
     """With status accepted or rejected, the rank among a product's accepted ones, and its level."""
     accepted = F.col("confidence") >= min_confidence
     rank = Window.partitionBy("catalog_idx", "status").orderBy(F.col("confidence").desc(), "first_met", "offer_idx")
-    level = F.when(F.col("confidence") > 0.90, "HIGH").when(F.col("confidence") >= 0.70, "MEDIUM").otherwise("LOW")
-    return candidates.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("cand_rank", F.row_number().over(rank)).withColumn("confidence_level", level)
+    return candidates.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("cand_rank", F.row_number().over(rank)).withColumn("confidence_level", confidence_level(F.col("confidence")))
+
+
+def confidence_level(confidence: Column) -> Column:
+    return F.when(confidence > 0.90, "HIGH").when(confidence >= 0.70, "MEDIUM").otherwise("LOW")
 
 
 def reviewed(candidates: DataFrame, verdicts: DataFrame, min_confidence: float = 0.60) -> DataFrame:
-    """Apply a reviewer's verdicts (catalog_idx, offer_idx, is_match, adjustment).
+    """Apply a reviewer's verdicts (catalog_idx, offer_idx, is_match, adjustment, and perhaps reason and failure).
 
     No verdict leaves a candidate as it is; an adjustment lies in [-0.3, 0.1]. A match is
-    AI_VERIFIED; what is none, or falls under min_confidence, is rejected.
+    AI_VERIFIED; what is none, or falls under min_confidence, is rejected. ``review`` tells the verdict, or
+    that the reviewer skipped the candidate and why. Ranks stay as they were.
     """
-    rows = candidates.join(verdicts.select("catalog_idx", "offer_idx", "is_match", "adjustment"), ["catalog_idx", "offer_idx"], "left")
+    given = [c for c in ("reason", "failure") if c in verdicts.columns]
+    rows = candidates.drop("review").join(verdicts.select("catalog_idx", "offer_idx", "is_match", "adjustment", *given), ["catalog_idx", "offer_idx"], "left")
+    for c in {"reason", "failure"} - {*given}:
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
     move = F.least(F.greatest(F.coalesce("adjustment", F.lit(0.0)), F.lit(-0.3)), F.lit(0.1))
     changed = F.round(F.least(F.greatest(F.col("confidence") + move, F.lit(0.0)), F.lit(1.0)), 4)
     open_ = (F.col("status") == "accepted") & F.col("is_match").isNotNull()
+    skipped = (F.col("status") == "accepted") & F.col("failure").isNotNull()
+    told = F.struct(F.when(skipped, "skipped").alias("ai_gate"), F.when(skipped, F.col("failure")).alias("ai_error"), F.when(open_, F.col("is_match")).alias("ai_is_match"), F.when(open_, F.round(move, 4)).alias("ai_confidence_adjustment"), F.when(open_, F.col("reason")).alias("ai_reason"))
+    rows = rows.withColumn("review", F.when(open_ | skipped, told))
     rows = rows.withColumn("confidence", F.when(open_, changed).otherwise(F.col("confidence")))
     rows = rows.withColumn("match_method", F.when(open_ & F.col("is_match"), "AI_VERIFIED").otherwise(F.col("match_method")))
+    if "confidence_level" in rows.columns:
+        rows = rows.withColumn("confidence_level", confidence_level(F.col("confidence")))
     keep = F.coalesce("is_match", F.lit(True)) & (F.col("confidence") >= min_confidence)
-    return rows.withColumn("status", F.when((F.col("status") == "accepted") & keep, "accepted").otherwise("rejected")).drop("is_match", "adjustment")
+    return rows.withColumn("status", F.when((F.col("status") == "accepted") & keep, "accepted").otherwise("rejected")).drop("is_match", "adjustment", "reason", "failure")
 
 
-def rejected_counts(catalog: DataFrame, offers: DataFrame, exact: DataFrame, accepted: DataFrame, semantic_ran: DataFrame | None = None) -> DataFrame:
-    """catalog_idx, rejected_count, without making rejected rows.
+def rejected_counts(catalog: DataFrame, offers: DataFrame, exact: DataFrame, accepted: DataFrame, sure: DataFrame | None = None, by_pair: bool = False, with_meaning: bool = True) -> DataFrame:
+    """catalog_idx, rejected_count, without making rejected rows: what the layers met of a product less what is accepted.
 
-    A product that the semantic layer saw (catalog_idx in ``semantic_ran``; all if None) has a candidate for every offer;
-    any other has one for each offer with a SKU or an exact match.
+    An offer here is a (source, source_id). The first layer meets those of equal identifiers (``exact``), that of SKUs all with a
+    SKU if the product has one, that of meaning all; but ``sure`` candidates settle their whole product, or, ``by_pair``, the offers
+    of their source_id, and what is settled is not compared by meaning. Two numbers go to the driver.
     """
-    pairs = offers.select("row_idx", "source", "source_id", (identifiers.sku(F.col("sku")) != "").alias("has_sku"))
-    every = pairs.select("source", "source_id").distinct().count()
-    with_sku = pairs.where("has_sku").select("source", "source_id").distinct()
-    n_sku = with_sku.count()
-    extra = exact.join(pairs.withColumnRenamed("row_idx", "offer_idx"), "offer_idx").join(with_sku, ["source", "source_id"], "left_anti")
-    extra = extra.select("catalog_idx", "source", "source_id").distinct().groupBy("catalog_idx").agg(F.count("*").alias("extra"))
-    n_accepted = accepted.groupBy("catalog_idx").agg(F.count("*").alias("accepted_count"))
-    rows = catalog.select(F.col("row_idx").alias("catalog_idx"), (identifiers.sku(F.col("sku")) != "").alias("sku_")).join(extra, "catalog_idx", "left").join(n_accepted, "catalog_idx", "left")
-    if semantic_ran is None:
-        rows = rows.withColumn("ran", F.lit(True))
-    else:
-        rows = rows.join(semantic_ran.select("catalog_idx", F.lit(True).alias("ran")), "catalog_idx", "left")
-    by_sku = F.when(F.col("sku_"), n_sku).otherwise(0)
-    pairs_of = F.when(F.coalesce("ran", F.lit(False)), every).otherwise(by_sku + F.coalesce("extra", F.lit(0)))
-    return rows.select("catalog_idx", (pairs_of - F.coalesce("accepted_count", F.lit(0))).cast("long").alias("rejected_count"))
+    pair = ["source", "source_id"]
+    sides = offers.groupBy(*pair).agg(F.bool_or(F.coalesce(identifiers.sku(F.col("sku")) != "", F.lit(False))).alias("named_"))
+    total = sides.agg(F.count("*").alias("every"), F.count_if("named_").alias("named")).first()
+    products = catalog.select(F.col("row_idx").alias("catalog_idx"), F.coalesce(identifiers.sku(F.col("sku")) != "", F.lit(False)).alias("own_"))
+    ids = offers.select(F.col("row_idx").alias("offer_idx"), *pair)
+    by_id = exact.select("catalog_idx", "offer_idx").join(ids, "offer_idx").select("catalog_idx", *pair).distinct()
+    no_sku = lambda rows: rows.join(products, "catalog_idx").where("not (named_ and own_)")
+    counted = lambda rows, name: rows.groupBy("catalog_idx").agg(F.count("*").alias(name))
+    n = F.when(F.col("own_"), total.named).otherwise(0) + F.coalesce("extra_", F.lit(0))
+    rows = products.join(counted(accepted, "accepted_"), "catalog_idx", "left").join(counted(no_sku(by_id.join(sides, pair)), "extra_"), "catalog_idx", "left")
+    if with_meaning and sure is None:
+        n = F.lit(total.every)
+    elif with_meaning and by_pair:
+        settled = sure.select("catalog_idx", "offer_idx").join(ids, "offer_idx").select("catalog_idx", "source_id").distinct()
+        unmet = no_sku(settled.join(sides, "source_id")).join(by_id, ["catalog_idx", *pair], "left_anti")
+        rows, n = rows.join(counted(unmet, "unmet_"), "catalog_idx", "left"), F.lit(total.every) - F.coalesce("unmet_", F.lit(0))
+    elif with_meaning:
+        rows = rows.join(sure.select("catalog_idx").distinct().withColumn("settled_", F.lit(True)), "catalog_idx", "left")
+        n = F.when(F.col("settled_"), n).otherwise(total.every)
+    return rows.select("catalog_idx", (n - F.coalesce("accepted_", F.lit(0))).cast("long").alias("rejected_count"))
 
 
 def match_field(layer: Column) -> Column:

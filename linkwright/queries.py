@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identifiers, money, offers as offer_functions, text
-from .operators import landscape, matching, offers as offer_operators, pages
+from .operators import landscape, matching, models, offers as offer_operators, pages
 from .operators.shared import stored
 from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
@@ -192,6 +195,36 @@ def reviewer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.reviewed(rows, verdicts).select("catalog_idx", "offer_idx", "confidence", "status")
 
 
+def made_reviewer() -> models.Answer:
+    """A reviewer that answers by the offer's number, which its title ends with: with a match or none, in words, or not at all."""
+
+    def answer(prompt: str) -> str:
+        n = int(re.search(r"title: T(\d+)$", prompt.split("Offer")[1], re.MULTILINE)[1])
+        if n % 5 == 3:
+            return "I cannot tell"
+        if n % 5 == 4:
+            raise TimeoutError("busy")
+        return json.dumps({"is_match": n % 4 != 0, "confidence_adjustment": -0.5 if n % 3 == 0 else 0.05, "reason": f"as {n % 7}"})
+
+    return answer
+
+
+@query(
+    f"{BEST_SQL}, x AS (SELECT *, ok AND offer_idx % 5 < 3 AS told, CASE WHEN ok AND offer_idx % 5 < 3 THEN round(least(greatest(confidence + CASE WHEN offer_idx % 3 = 0 THEN -0.3 ELSE 0.05 END, 0), 1), 4) ELSE confidence END AS c FROM j), y AS (SELECT *, ok AND (NOT told OR offer_idx % 4 <> 0 AND c >= 0.6) AS kept FROM x) "
+    "SELECT catalog_idx, offer_idx, c AS confidence, CASE WHEN kept THEN 'accepted' ELSE 'rejected' END AS status, CASE WHEN kept THEN row_number() OVER (PARTITION BY catalog_idx, kept ORDER BY c DESC, r, offer_idx) END AS place, CASE WHEN c > 0.9 THEN 'HIGH' WHEN c >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level, "
+    "CASE WHEN told AND offer_idx % 4 <> 0 THEN 'AI_VERIFIED' ELSE 'SEMANTIC' END AS match_method, CASE WHEN ok AND NOT told THEN 'skipped' END AS ai_gate, CASE WHEN ok AND offer_idx % 5 = 4 THEN 'busy' WHEN ok AND offer_idx % 5 = 3 THEN 'unread' END AS ai_error, CASE WHEN told THEN concat('as ', offer_idx % 7) END AS ai_reason FROM y"
+)
+def model_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted candidates asked of a model, one by one; some answers cannot be read, some never come."""
+    rows = tied(spark, sf_dir).withColumn("match_method", F.lit("SEMANTIC"))
+    empty = F.lit(None).cast("string")
+    offers = derived(spark, sf_dir, CANDIDATES).select(F.col("offer_idx").alias("row_idx"), F.concat(F.lit("T"), "offer_idx").alias("title"), *(empty.alias(c) for c in ("brand", "sku", "ean", "price")))
+    found = cascade.reviewed(rows, derived(spark, sf_dir, CATALOG), offers, models.Model(made_reviewer, tries=2, wait=0))
+    error = F.when(F.col("review.ai_error") == "busy", "busy").when(F.col("review.ai_error").isNotNull(), "unread")
+    place = F.when(F.col("status") == "accepted", F.col("cand_rank").cast("long"))
+    return found.select("catalog_idx", "offer_idx", "confidence", "status", place.alias("place"), "confidence_level", "match_method", "review.ai_gate", error.alias("ai_error"), "review.ai_reason")
+
+
 HIT_SQL = f"WITH h AS ({plain(HITS)}), u AS (SELECT *, concat('https://', regexp_extract(url, '^https://(www\\.)?([^/]*)', 2), '/p/', catalog_idx, '?color=', regexp_extract(url, 'color=([0-9])', 1)) AS u, regexp_extract(url, '^https://(www\\.)?([^/]*)', 2) AS domain, CASE WHEN price IS NULL THEN 0 ELSE 4 END + CASE WHEN shipping_cost IS NULL THEN 0 ELSE 2 END + CASE WHEN snippet IS NULL THEN 0 ELSE 1 END AS rich FROM h), p AS (SELECT *, min(hit_idx) OVER (PARTITION BY catalog_idx, u) AS place, row_number() OVER (PARTITION BY catalog_idx, u ORDER BY rich DESC, hit_idx) AS n FROM u), q AS (SELECT * FROM p WHERE n = 1)"
 
 
@@ -311,12 +344,15 @@ def complete_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.with_complete_offers(cascade.Linked(exact_accepted(catalog, offers), catalog), offers).select("catalog_idx", "offer_idx")
 
 
-@query(
+CASCADE_SQL = (
     f"{WITH}, {EXACT_SQL}, {SKU_SQL}, sure AS (SELECT catalog_idx, offer_idx, CASE WHEN conflict THEN 0.7 ELSE 0.95 END::DOUBLE AS confidence, match_method, 0 AS layer FROM exact_ UNION ALL SELECT *, 1 FROM by_sku), open_ AS (SELECT row_idx, lower(concat_ws(' ', brand, title, category)) AS t FROM catalog WHERE row_idx NOT IN (SELECT catalog_idx FROM sure WHERE confidence >= 0.9)), "
     f"texts AS (SELECT row_idx, lower(concat_ws(' ', brand, title)) AS t FROM offers), lv AS MATERIALIZED (SELECT t, {BAG} AS v FROM (SELECT DISTINCT t FROM open_)), rv AS MATERIALIZED (SELECT t, {BAG} AS v FROM (SELECT DISTINCT t FROM texts)), meant AS (SELECT lv.t AS a, rv.t AS b, round(list_cosine_similarity(lv.v, rv.v), 4) AS confidence FROM lv, rv WHERE round(list_cosine_similarity(lv.v, rv.v), 4) >= 0.6), "
     "all_ AS (SELECT * FROM sure UNION ALL SELECT open_.row_idx, texts.row_idx, confidence, 'SEMANTIC', 2 FROM meant JOIN open_ ON open_.t = a JOIN texts ON texts.t = b), p AS (SELECT a.*, least(min(layer) OVER pair, CASE WHEN o.sku <> '' THEN 1 ELSE 2 END) AS met, row_number() OVER (pair ORDER BY confidence DESC, layer) AS n FROM all_ a JOIN offers o ON a.offer_idx = o.row_idx WINDOW pair AS (PARTITION BY catalog_idx, offer_idx)), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY catalog_idx ORDER BY confidence DESC, met, offer_idx) AS place FROM p WHERE n = 1) SELECT catalog_idx, offer_idx, confidence, match_method, CASE WHEN confidence > 0.9 THEN 'HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level FROM r WHERE place = 1"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY catalog_idx ORDER BY confidence DESC, met, offer_idx) AS place FROM p WHERE n = 1)"
 )
+
+
+@query(CASCADE_SQL + " SELECT catalog_idx, offer_idx, confidence, match_method, CASE WHEN confidence > 0.9 THEN 'HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level FROM r WHERE place = 1")
 def whole_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers; tests hold it against a comparison of all pairs and known answers as well."""
     catalog, offers = stored_inputs(spark, sf_dir)
@@ -367,16 +403,27 @@ def strict_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.identity_confirmed(rows).select("catalog_idx", "offer_idx")
 
 
+#: What the layers meet of a product: all offers, or, where one is sure, those with a SKU or an equal code.
+MET_SQL = "met_ AS (SELECT c.row_idx AS catalog_idx, CASE WHEN c.row_idx IN (SELECT row_idx FROM open_) THEN (SELECT count(*) FROM offers) ELSE (SELECT count(*) FROM offers WHERE sku <> '') + coalesce(x.n, 0) END AS n_met FROM catalog c LEFT JOIN (SELECT e.catalog_idx, count(*) AS n FROM exact_ e JOIN offers o ON e.offer_idx = o.row_idx WHERE coalesce(o.sku, '') = '' GROUP BY 1) x ON x.catalog_idx = c.row_idx)"
+#: The digits of a cosine's last places are an engine's own.
+NO_COSINE = '("cosine":)[-0-9.E]+'
+
+
 @query(
-    f"{WITH}, {EXACT_SQL}, b AS (SELECT *, CASE WHEN conflict THEN 0.7 ELSE 0.95 END AS sure, count(*) OVER (PARTITION BY catalog_idx) AS n, row_number() OVER (PARTITION BY catalog_idx ORDER BY conflict, offer_idx) AS r FROM exact_) "
-    "SELECT c.row_idx AS catalog_idx, c.sku AS catalog_sku, c.title AS catalog_title, coalesce(o.title, '') AS matched_competitor_title, coalesce(o.brand, '') AS matched_competitor_brand, CASE WHEN b.r IS NULL THEN '' ELSE coalesce(cast(o.price as varchar), 'None') END AS matched_price, "
-    "coalesce(cast(o.shipping_cost as varchar), '') AS matched_shipping, coalesce(o.url, '') AS matched_url, CASE WHEN b.r IS NULL THEN '' WHEN conflict THEN '0.7000' ELSE '0.9500' END AS confidence, CASE WHEN b.r IS NULL THEN '' WHEN conflict THEN 'MEDIUM' ELSE 'HIGH' END AS confidence_level, "
-    "coalesce(b.match_method, '') AS match_method, coalesce(n, 0) AS all_candidates_count FROM catalog c LEFT JOIN b ON c.row_idx = b.catalog_idx AND b.r = 1 LEFT JOIN offers o ON b.offer_idx = o.row_idx"
+    f"{CASCADE_SQL}, {MET_SQL}, n AS (SELECT catalog_idx, count(*) AS n FROM r GROUP BY 1), b AS (SELECT r.*, e.identifier, e.conflict, k.ratio FROM r LEFT JOIN exact_ e USING (catalog_idx, offer_idx) JOIN offers o ON o.row_idx = r.offer_idx JOIN catalog c ON c.row_idx = r.catalog_idx LEFT JOIN alike k ON k.a = upper(c.sku) AND k.b = upper(o.sku) WHERE place = 1) "
+    "SELECT c.row_idx AS catalog_idx, c.sku AS catalog_sku, c.ean AS catalog_ean, c.title AS catalog_title, c.brand AS catalog_brand, c.market AS catalog_market, coalesce(o.title, '') AS matched_competitor_title, coalesce(o.brand, '') AS matched_competitor_brand, "
+    "CASE WHEN b.place IS NULL THEN '' ELSE coalesce(cast(o.price as varchar), 'None') END AS matched_price, coalesce(o.currency, '') AS matched_currency, coalesce(cast(o.shipping_cost as varchar), '') AS matched_shipping, coalesce(o.source, '') AS matched_source, coalesce(o.url, '') AS matched_url, "
+    "coalesce(printf('%.4f', b.confidence), '') AS confidence, CASE WHEN b.place IS NULL THEN '' WHEN b.confidence > 0.9 THEN 'HIGH' WHEN b.confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level, coalesce(b.match_method, '') AS match_method, "
+    """CASE b.match_method WHEN 'SEMANTIC' THEN '{"cosine":}' WHEN 'SKU_BRAND' THEN concat('{"fuzzy_score":', b.ratio, ',"brand_state":"', CASE WHEN c.brand IS NULL OR o.brand IS NULL THEN 'unknown' WHEN lower(c.brand) = lower(o.brand) THEN 'match' ELSE 'conflict' END, '"}') """
+    """WHEN 'EXACT_EAN' THEN concat('{"matched_on":"ean","identifier":"', b.identifier, '","brand_conflict":', b.conflict, '}') WHEN 'EXACT_GTIN' THEN concat('{"matched_on":"gtin","identifier":"', b.identifier, '","brand_conflict":', b.conflict, '}') ELSE '' END AS match_details, """
+    "coalesce(n.n, 0) AS all_candidates_count, n_met - coalesce(n.n, 0) AS rejected_count FROM catalog c JOIN met_ ON met_.catalog_idx = c.row_idx LEFT JOIN n ON n.catalog_idx = c.row_idx LEFT JOIN b ON b.catalog_idx = c.row_idx LEFT JOIN offers o ON o.row_idx = b.offer_idx"
 )
 def best_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result file of the whole cascade, with its counts of accepted and rejected offers."""
     catalog, offers = stored_inputs(spark, sf_dir)
-    none = catalog.select(F.col("row_idx").alias("catalog_idx"), F.lit(0).alias("rejected_count"))
-    return landscape.best_rows(catalog, exact_accepted(catalog, offers), offers, none).drop("catalog_ean", "catalog_brand", "catalog_market", "matched_currency", "matched_source", "match_details", "rejected_count")
+    linked = cascade.link(catalog, offers)
+    linked = replace(linked, candidates=stored(linked.candidates))
+    return landscape.best_rows(catalog, linked.accepted, offers, linked.rejected(catalog, offers)).withColumn("match_details", F.regexp_replace("match_details", NO_COSINE, "$1"))
 
 
 @query(f"WITH h AS ({plain(HITS)}) SELECT hit_idx AS catalog_idx, title, url, price, CASE WHEN price IS NOT NULL THEN 'EUR' END AS currency FROM h")
@@ -499,6 +546,38 @@ def page_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_offers(spark, sf_dir)[2].select("catalog_idx", "offer_idx", *facts)
 
 
+def made_extractor() -> models.Answer:
+    """An extractor that reads a page's words for the product's title; it fails where they name no price, or another's."""
+
+    def answer(prompt: str) -> str:
+        asked, shown = (re.search(p, prompt)[1] for p in (r"title: (\S+)", r"about (\S+)"))
+        if asked != shown:
+            raise ValueError("another product")
+        price = re.search(r"asks (\d+)", prompt)
+        return json.dumps({"price": int(price[1]) + 0.5 if price else None, "currency": "eur", "shipping_cost": "4,90", "availability": "esaurito", "seller": "Worded"})
+
+    return answer
+
+
+@query(
+    f"WITH c AS ({plain(CANDIDATES)}), s AS (SELECT *, offer_idx % 4 AS k FROM c), t AS (SELECT *, confidence < 0.75 AND k = 0 AS ai FROM s) "
+    "SELECT catalog_idx, offer_idx, CASE WHEN ai THEN 'ai' END AS confirmation_method, ai AS pdp_verified, CASE WHEN k = 3 THEN 'fetch_failed' END AS pdp_skip_reason, CASE WHEN ai THEN 'ai' WHEN k = 2 THEN 'meta' END AS extraction_method, CASE WHEN ai THEN offer_idx % 90 + 0.5 WHEN k = 2 THEN 9.9 ELSE 1 END::DECIMAL(18,4) AS price, "
+    "CASE WHEN ai THEN 4.9 END::DECIMAL(18,4) AS shipping_cost, CASE WHEN ai THEN 'OUT_OF_STOCK' ELSE 'UNKNOWN' END AS availability, CASE WHEN ai THEN 'Worded' END AS seller FROM t"
+)
+def model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates' pages, of which those without identifiers and prices are read by a model: of four kinds, a page states
+    a price in words, none, one in a meta tag, or is missing."""
+    rows = derived(spark, sf_dir, CANDIDATES)
+    url = F.concat(F.lit("https://a.it/"), F.col("offer_idx").cast("string"))
+    kind, text = F.col("offer_idx") % 4, F.concat(F.lit("<script>var asks = 1</script><p>about T"), F.col("catalog_idx").cast("string"), F.lit("</p>"))
+    body = F.concat(text, F.when(kind == 0, F.concat(F.lit("<b>asks "), (F.col("offer_idx") % 90).cast("string"), F.lit("</b>"))).when(kind == 2, '<meta property="og:price:amount" content="9.90">').otherwise(""), F.rpad(F.lit("<p>"), 1100, "x"))
+    shown = rows.where(kind < 3).select(url.alias("url"), body.alias("html"), F.lit(200).alias("status_code"))
+    offers = online.of_offers(rows.select(F.col("offer_idx").alias("row_idx"), url.alias("url"), F.lit(1).alias("price"), F.lit("EUR").alias("currency"), F.lit("UNKNOWN").alias("availability")))
+    catalog = rows.groupBy(F.col("catalog_idx").alias("row_idx")).agg(F.concat(F.lit("T"), F.first("catalog_idx")).alias("title")).select("*", *(F.lit(None).cast("string").alias(c) for c in ("brand", "sku", "ean", "gtin")))
+    facts = ("confirmation_method", "pdp_verified", "pdp_skip_reason", "extraction_method", "price", "shipping_cost", "availability", "seller")
+    return pages.verify(rows.select("catalog_idx", "offer_idx", "confidence"), catalog, offers, shown, extractor=models.Model(made_extractor, tries=1)).select("catalog_idx", "offer_idx", *facts)
+
+
 @query(
     f"{VERIFIED_SQL} SELECT c.row_idx AS catalog_idx, f.offer_idx, coalesce(f.seller, f.source) AS competitor_name, f.confirmation_method AS label, CASE WHEN f.pdp_verified THEN 'yes' WHEN NOT f.pdp_verified THEN 'no' ELSE '' END AS pdp_verified, coalesce(f.extraction_method, '') AS extraction_method, "
     "CASE availability WHEN 'IN_STOCK' THEN 'yes' WHEN 'OUT_OF_STOCK' THEN 'no' END AS in_stock, CASE WHEN f.offer_idx IS NULL THEN '' WHEN f.shipping_cost IS NULL THEN 'unknown' WHEN f.shipping_cost = 0 THEN 'free' ELSE '' END AS shipping_note, f.stock_quantity AS competitor_stock_qty FROM catalog c LEFT JOIN f ON c.row_idx = f.catalog_idx"
