@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import identifiers, money, offers as offer_functions, text
 from .operators import landscape, matching, models, offers as offer_operators, pages
-from .operators.shared import stored
+from .operators.shared import new_folder, stored
 from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
-from .sources import fetching, files, result_pages
+from .sources import fetching, files, providers, result_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +262,29 @@ def feed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offer_operators.feed_matches(catalog, offers.select(F.col("row_idx").alias("item_idx"), F.expr(FEED_TITLE).alias("title"), "ean"))
 
 
+FEED_SHOP = "concat('s', cast(row_idx % 48 as string), '.it')"
+
+
+@query(
+    f"{WITH}, feed AS (SELECT row_idx AS item_idx, {FEED_TITLE} AS title, ean, price, {FEED_SHOP} AS shop, CASE row_idx % 4 WHEN 0 THEN 4.9 WHEN 2 THEN 0 END::DECIMAL(18,4) AS shipping FROM offers WHERE {FEED_TITLE} <> ''), t AS MATERIALIZED (SELECT DISTINCT title, lower(title) AS low FROM feed), p AS MATERIALIZED (SELECT row_idx, lower(sku) AS sku, string_split(lower(concat_ws(' ', brand, title)), ' ') AS tokens FROM catalog), "
+    "m AS (SELECT p.row_idx, t.title FROM p JOIN t ON contains(t.low, p.sku) UNION SELECT p.row_idx, t.title FROM p JOIN t ON contains(t.low, p.tokens[1]) AND contains(t.low, p.tokens[2]) AND contains(t.low, p.tokens[-1]) WHERE len([x for x in p.tokens if NOT contains(t.low, x)]) = 0), "
+    "f AS (SELECT c.row_idx AS catalog_idx, f.item_idx FROM catalog c JOIN feed f ON c.ean = f.ean UNION SELECT m.row_idx, f.item_idx FROM m JOIN feed f ON m.title = f.title), "
+    "k AS (SELECT f.catalog_idx, shop, price, shipping, row_number() OVER (PARTITION BY f.catalog_idx, shop ORDER BY price NULLS LAST) AS n FROM f JOIN feed USING (item_idx)) SELECT catalog_idx, shop AS seller, price, shipping AS shipping_cost, CASE WHEN shipping IS NOT NULL THEN 'feed' END AS shipping_source, 'GBP' AS currency FROM k WHERE n = 1"
+)
+def feed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offers as a merchant's feed, written as XML and read back: one offer for each product and shop among the items that match and have a title."""
+    catalog, offers = stored_inputs(spark, sf_dir)
+    cost = F.when(F.col("row_idx") % 4 == 0, "<g:shipping><g:price>4.90 GBP</g:price></g:shipping>").when(F.col("row_idx") % 4 == 2, "<g:shipping_price>0.00 GBP</g:shipping_price>").otherwise("")
+    told = lambda tag, c: F.coalesce(F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")), F.lit(""))
+    item = F.concat(F.lit("<item>"), told("title", F.expr(FEED_TITLE)), told("link", F.concat(F.lit("https://www."), F.expr(FEED_SHOP), F.lit("/i/"), F.col("row_idx").cast("string"))), F.coalesce(F.concat(F.lit("<g:price>"), F.col("price").cast("string"), F.lit(" GBP</g:price>")), F.lit("<g:price>ask GBP</g:price>")), told("g:gtin", F.col("ean")), cost, F.lit("</item>"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame = lambda place, tags: spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(place).alias("place"), F.lit(tags).alias("value"))
+    lines = frame(0, "<rss><channel>").unionByName(offers.select(F.pmod("row_idx", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("place"), item.alias("value"))).unionByName(frame(2, "</channel></rss>"))
+    lines.repartitionById(parts, "part").sortWithinPartitions("part", "place").select("value").write.text(folder := new_folder(spark, "feed"))
+    found = providers.feed_hits(catalog, providers.merchant_feed(spark, folder))
+    return online.fetched_offers(catalog, [("feed", found)]).select("catalog_idx", "seller", "price", "shipping_cost", "shipping_source", "currency")
+
+
 PRICES = "CASE cast(l_orderkey % 5 as int) WHEN 0 THEN concat('€ 1.', lpad(cast(l_partkey % 1000 as string), 3, '0'), ',', lpad(cast(l_suppkey % 100 as string), 2, '0')) WHEN 1 THEN concat(cast(l_partkey as string), '.', lpad(cast(l_suppkey % 100 as string), 2, '0'), ' EUR') WHEN 2 THEN concat('1,', lpad(cast(l_partkey % 1000 as string), 3, '0'), '.5') WHEN 3 THEN 'n/a' ELSE concat('-', cast(l_partkey as string), ',5') END"
 CLEAN = "regexp_replace(t, '[^0-9.,-]', '', 'g')"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,11 +137,20 @@ def offers(raw: DataFrame, market: str = "IT") -> DataFrame:
 
 
 def pool(spark: SparkSession, path: str, market: str = "IT") -> DataFrame:
-    """Offers of a file, none where it is missing or has a row that cannot be read: one of several sources may fail."""
+    """Offers of a file, none where it is missing or has a row that cannot be read: one of several sources may fail. That a
+    job fails for another reason, such as lost executors, is an error."""
     try:
         return offers(read_csv(spark, path), market)
-    except (InputError, PySparkException):
-        return offers(spark.createDataFrame([], "title string, price string, row_idx long"), market)
+    except (InputError, AnalysisException):
+        return none(spark, market)
+    except PySparkException as e:
+        if "MALFORMED" not in str(e):
+            raise
+        return none(spark, market)
+
+
+def none(spark: SparkSession, market: str) -> DataFrame:
+    return offers(spark.createDataFrame([], "title string, price string, row_idx long"), market)
 
 
 def votes(rows: DataFrame) -> DataFrame:

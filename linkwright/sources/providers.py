@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, money
 from ..functions.money import MONEY
-
+from ..operators.offers import feed_matches
+from ..operators.shared import stored
+from .files import numbered
 
 #: Providers by what a search costs; the free ones come first.
 TIERS = {"searxng": 0, "duckduckgo": 0, "trovaprezzi": 0, "ebay": 0, "feed": 0, "csv": 0, "dataforseo": 1, "serper": 1, "keepa": 1}
@@ -86,26 +89,59 @@ def dataforseo(answers: DataFrame, result_limit: int = 20) -> DataFrame:
 
 
 def serper(answers: DataFrame, market: str = "IT") -> DataFrame:
-    rows = items(answers, "struct<shopping:array<struct<title:string,link:string,price:string,delivery:string,source:string>>>", "shopping")
-    sign = F.when(F.contains("x.price", F.lit("€")), "EUR").when(F.contains("x.price", F.lit("£")), "GBP").when(F.contains("x.price", F.lit("$")), "USD")
+    """Shopping tiles with a price, in words or as a number; without a sign it is in euro."""
+    rows = items(answers, "struct<shopping:array<struct<title:string,link:string,price:string,priceValue:string,delivery:string,source:string>>>", "shopping")
+    sign = F.when(F.contains("x.price", F.lit("€")), "EUR").when(F.contains("x.price", F.lit("£")), "GBP").when(F.contains("x.price", F.lit("$")), "USD").otherwise("EUR")
     delivery = F.lower(F.col("x.delivery"))
     shipping = F.when(delivery.rlike("free|gratis|gratuit"), F.lit(0).cast(MONEY)).otherwise(money.loose_price(F.regexp_extract(F.col("x.delivery"), r"\d+(?:[.,]\d+)*", 0)))
-    return hits(rows, "serper", F.col("x.title"), F.col("x.link"), None, money.loose_price(F.col("x.price")), sign, shipping)
+    price = F.coalesce(money.loose_price(F.col("x.price")), money.loose_price(F.col("x.priceValue")))
+    return hits(rows, "serper", F.trim("x.title"), F.trim("x.link"), None, price, sign, shipping).where("price is not null")
+
+
+#: What the end of an Amazon address says of its prices, where that is not the euro.
+AMAZON_MONEY = {"co.uk": "GBP", "com": "USD"}
 
 
 def keepa(answers: DataFrame, tld: str = "it") -> DataFrame:
-    """Cents of the current price; none or less is no offer."""
+    """Cents of the current price; none or less is no offer. The barcode is the one asked for, where answers have it in
+    ``code``, else the first that the answer lists."""
     rows = items(answers, "struct<products:array<struct<asin:string,title:string,stats:struct<current:array<long>>,eanList:array<string>>>>", "products")
     price = (F.get(F.col("x.stats.current"), 0) / 100).cast(MONEY)
-    return hits(rows, "keepa", F.col("x.title"), F.concat(F.lit(f"https://www.amazon.{tld}/dp/"), F.col("x.asin")), None, F.when(price > 0, price), F.lit("EUR"), None, F.get(F.col("x.eanList"), 0)).where("price is not null")
+    listed = F.get(F.col("x.eanList"), 0)
+    if "code" in answers.columns:
+        rows = rows.join(answers.groupBy("catalog_idx").agg(F.min("code").alias("code_")), "catalog_idx", "left")
+        listed = F.coalesce("code_", listed)
+    asin = F.nullif(F.trim("x.asin"), F.lit(""))
+    return hits(rows, "keepa", F.trim("x.title"), F.concat(F.lit(f"https://www.amazon.{tld}/dp/"), asin), None, F.when(price > 0, price), F.lit(AMAZON_MONEY.get(tld, "EUR")), None, listed).where("price is not null")
+
+
+FEED = "title string, link string, `g:price` string, `g:gtin` string, `g:availability` string, `g:shipping` struct<`g:price`:string>, `g:shipping_price` string, `g:brand` string, `g:mpn` string"
 
 
 def merchant_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Items of an RSS feed with g: fields: title, link, price, currency, shipping_cost, gtin, availability."""
-    schema = "title string, link string, `g:price` string, `g:gtin` string, `g:availability` string, `g:shipping` struct<`g:price`:string>, `g:brand` string, `g:mpn` string"
-    rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    """Items of RSS feeds with g: fields: title, url, price, currency, shipping_cost, ean, item_idx.
+
+    ``path`` may be a folder or pattern. An item that is no XML is passed over, and so is a path without feeds; a
+    shipping node counts before the flat field, even where it states no cost. item_idx is unique, and follows the
+    items' order in a file. Items after the place where a file is broken are lost, those before it stay.
+    """
+    try:
+        rows = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(FEED).load(path)
+    except AnalysisException:
+        rows = spark.createDataFrame([], FEED)
     currency = F.nullif(F.regexp_extract(F.col("`g:price`"), r"\b([A-Z]{3})\b", 1), F.lit(""))
+    shipping = F.when(F.col("`g:shipping`").isNotNull(), F.col("`g:shipping`")["g:price"]).otherwise(F.col("`g:shipping_price`"))
     return rows.select(
-        F.trim("title").alias("title"), F.trim("link").alias("url"), money.loose_price(F.col("`g:price`")).alias("price"), F.coalesce(currency, F.lit("EUR")).alias("currency"), money.loose_price(F.col("`g:shipping`")["g:price"]).alias("shipping_cost"),
+        F.monotonically_increasing_id().alias("item_idx"), F.trim("title").alias("title"), F.trim("link").alias("url"), money.loose_price(F.col("`g:price`")).alias("price"), F.coalesce(currency, F.lit("EUR")).alias("currency"), money.loose_price(shipping).alias("shipping_cost"),
         identifiers.gtin(F.col("`g:gtin`")).alias("ean"), F.col("`g:brand`").alias("brand"), F.col("`g:mpn`").alias("sku"),
     ).where("coalesce(title, '') <> '' and coalesce(url, '') <> ''")
+
+
+def feed_hits(catalog: DataFrame, feed: DataFrame) -> DataFrame:
+    """Hits of each product among a feed's items, in the items' order, as ``together`` takes them.
+
+    The feed is stored once with its items numbered from 0 on, so it is neither read nor parsed again.
+    """
+    items_ = stored(numbered(feed.withColumnRenamed("item_idx", "row_idx")).withColumn("item_idx", F.col("number") - 1).drop("row_idx", "number"))
+    found = feed_matches(catalog, items_).join(items_, "item_idx").withColumn("hit_idx", F.col("item_idx"))
+    return hits(found, "feed", F.col("title"), F.col("url"), None, F.col("price"), F.col("currency"), F.col("shipping_cost"), F.col("ean"))

@@ -115,8 +115,8 @@ def test_other_providers(spark, tmp_path):
     one = lambda body: spark.createDataFrame([(7, body), (8, "{bad"), (9, None)], "catalog_idx long, body string")
     ebay = providers.ebay(one('{"itemSummaries":[{"title":"a","itemWebUrl":"u","price":{"value":"9.50","currency":"EUR"},"shippingOptions":[{"shippingCost":{"value":"3"}},{"shippingCost":{"value":"0"}}],"gtin":"g"},{"title":"no address"}]}')).collect()
     assert [(r.catalog_idx, r.url, r.price, r.shipping_cost, r.ean) for r in ebay] == [(7, "u", Decimal("9.5"), 3, "g")]
-    serper = providers.serper(one('{"shopping":[{"title":"a","link":"u","price":"€ 1.299,00","delivery":"Free delivery"},{"title":"b","link":"v","price":"£5","delivery":"4,99 shipping"},{"title":"c","link":"w","price":"5"}],"organic":[{"title":"x","link":"y"}]}')).orderBy("hit_idx").collect()
-    assert [(r.url, r.price, r.currency, r.shipping_cost) for r in serper] == [("u", Decimal(1299), "EUR", 0), ("v", Decimal(5), "GBP", Decimal("4.99")), ("w", Decimal(5), None, None)]
+    serper = providers.serper(one('{"shopping":[{"title":"a","link":"u","price":"€ 1.299,00","delivery":"Free delivery"},{"title":"b","link":"v","price":"£5","delivery":"4,99 shipping"},{"title":"c","link":"w","price":"5"},{"title":"d","link":"y","price":"ask","priceValue":7.5},{"title":"e","link":"z"}],"organic":[{"title":"x","link":"y"}]}')).orderBy("hit_idx").collect()
+    assert [(r.url, r.price, r.currency, r.shipping_cost) for r in serper] == [("u", Decimal(1299), "EUR", 0), ("v", Decimal(5), "GBP", Decimal("4.99")), ("w", Decimal(5), "EUR", None), ("y", Decimal("7.5"), "EUR", None)]
     nested = providers.dataforseo(one('{"status_code":20000,"tasks":[{"result":[{"items":[{"title":"t","url":"a","price":1}]},{"items":[{"title":"t","url":"b","price":1}]}]},{"result":[{"items":[{"title":"t","url":"c","price":1}]}]}]}')).orderBy("hit_idx").collect()
     assert [(r.url, r.hit_idx) for r in nested] == [("a", 0), ("b", 1), ("c", 2)]
     (tmp_path / "feed.xml").write_text('<rss xmlns:g="http://base.google.com/ns/1.0"><channel><item><title> Lamp </title><link>https://a.it/1</link><g:price>211.75 EUR</g:price><g:gtin>4006381333931</g:gtin><g:shipping><g:price>4.90 EUR</g:price></g:shipping></item><item><title>no link</title></item></channel></rss>')
@@ -124,6 +124,26 @@ def test_other_providers(spark, tmp_path):
     assert [(r.title, r.url, r.price, r.currency, r.shipping_cost, r.ean) for r in feed] == [("Lamp", "https://a.it/1", Decimal("211.75"), "EUR", Decimal("4.9"), "4006381333931")]
 
 
+def test_keepa_asks_by_code(spark):
+    body = '{"products":[{"asin":" B1 ","title":"t","stats":{"current":[1999]},"eanList":["x"]},{"asin":"","title":"u","stats":{"current":[5]}},{"asin":"B2","title":"v","stats":{"current":[-1]}},{"asin":"B3","title":"w"}]}'
+    rows = [(r.url, r.price, r.currency, r.ean) for r in providers.keepa(spark.createDataFrame([(1, body, "4006381333931")], "catalog_idx long, body string, code string"), "co.uk").collect()]
+    assert rows == [("https://www.amazon.co.uk/dp/B1", Decimal("19.99"), "GBP", "4006381333931")]
+    assert [(r.currency, r.ean) for r in providers.keepa(spark.createDataFrame([(1, body)], "catalog_idx long, body string")).collect()] == [("EUR", "x")]
+
+
+def test_feeds_give_hits(spark, catalog, tmp_path):
+    item = "<item><title>{}</title><link>{}</link>{}</item>".format
+    (tmp_path / "a.xml").write_text("<rss><channel>" + item("Lamp", "https://a.it/1", "<g:price>5.00 GBP</g:price><g:gtin>4006381333931</g:gtin><g:shipping_price>0.00 GBP</g:shipping_price>") + item("New chr-200 seat", "https://a.it/2", "<g:shipping><g:country>IT</g:country></g:shipping><g:shipping_price>3</g:shipping_price>") + "</channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel>" + item("Oak chair by dell", "https://b.it/1", "") + "<item><title>Dell oak chair <b></title>")
+    rows = sorted(providers.feed_hits(catalog, providers.merchant_feed(spark, str(tmp_path))).collect(), key=lambda r: r.url)
+    assert [(r.catalog_idx, r.source_provider, r.url, r.price, r.currency, r.shipping_cost, r.ean) for r in rows] == [
+        (1, "feed", "https://a.it/1", 5, "GBP", 0, "4006381333931"), (2, "feed", "https://a.it/2", None, "EUR", None, None), (2, "feed", "https://b.it/1", None, "EUR", None, None),
+    ]
+    assert sorted(r.hit_idx for r in rows) == [0, 1, 2] and rows[0].hit_idx < rows[1].hit_idx
+    assert providers.feed_hits(catalog, providers.merchant_feed(spark, str(tmp_path / "none"))).count() == 0
+    assert {r.seller for r in online.fetched_offers(catalog, [("feed", providers.feed_hits(catalog, providers.merchant_feed(spark, str(tmp_path))))]).collect()} == {"a.it", "b.it"}
+
+
 def test_csv_edges(spark, tmp_path):
     (tmp_path / "c.csv").write_text('Code|Name|Manufacturer|EAN13|Prezzo|Extra\nA|"two\nlines"|Sony|"8,02586E+12"|"1.234,5"|x\n')
     row = files.catalog(files.read_csv(spark, str(tmp_path / "c.csv")), "DE").collect()
