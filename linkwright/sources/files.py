@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -173,5 +175,40 @@ def detect_market(catalog_rows: DataFrame, offer_rows: DataFrame | None = None)
     return found or "IT"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """One folder of CSV files with headers, which in the order of their names hold the rows in that of ``order``."""
+    write_results(df.sparkSession, path, {"": (df, order)})
+
+
+def write_results(spark: SparkSession, path: str, tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> None:
+    """Tables, each with its order, as folders of CSV files in a folder that takes the place of ``path`` when all are written.
+
+    Rows are sorted by ranges, so no task holds a whole table. A run that ends early leaves what stood at ``path``, and a
+    folder beside it whose name begins with its own. Until the new folder is in its place the old one is
+    kept beside it, and is put back where the move fails.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = lambda word: spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex}")
+    new, old = beside("new"), beside("old")
+    for name, (df, order) in tables.items():
+        (df.orderBy(*order) if order else df).write.csv(f"{new}/{name}".rstrip("/"), header=True, quoteAll=False, escape='"')
+    if kept := system.exists(place):
+        if not system.rename(place, old):
+            raise OSError(f"{path} cannot be moved")
+    if not system.rename(new, place):
+        if kept:
+            system.rename(old, place)
+        raise OSError(f"{new} cannot be moved to {path}")
+    if kept:
+        system.delete(old, True)
+
+
+def write_landscape(path: str, rows: DataFrame, summary: DataFrame, statistics: DataFrame) -> None:
+    """What a run gives, in the catalog's order: each product's offers from the cheapest on, its summary, and the run's numbers."""
+    write_results(rows.sparkSession, path, {"landscape": (rows, ("catalog_idx", "place")), "summary": (summary, ("catalog_idx",)), "stats": (statistics, ("metric",))})
+
+
+def write_matches(path: str, rows: DataFrame, statistics: DataFrame) -> None:
+    """The result rows of all products in the catalog's order, and the run's numbers."""
+    write_results(rows.sparkSession, path, {"matches": (rows, ("catalog_idx",)), "stats": (statistics, ("metric",))})
