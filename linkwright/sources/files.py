@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, money, offers as offer_functions
+from . import quoted
 
 #: Column names under which a field may come, the first that is filled wins in each row.
 CATALOG_COLUMNS = {
@@ -67,14 +68,17 @@ def head(spark: SparkSession, path: str, chars: int = 8192) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
-    """All columns as strings, empty where missing, with row_idx in the order of the file.
+    """All columns as strings, empty where missing, with row_idx in the order of files and rows.
 
     The delimiter is told from the file's head. Only that head goes to the driver. A quoted field may
-    hold line breaks, for which Spark reads a file in one task; without ``multi_line`` a large file
-    is split over many.
+    hold line breaks, and a file is many tasks all the same; without ``multi_line``, where no field does, texts
+    are not moved, and row_idx leaves gaps.
     """
     sep = delimiter(head(spark, path)) if sep is None else sep
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST").na.fill("")
+    if multi_line:
+        df = quoted.read(spark, path, sep)
+        return df.select(*(F.col(f"`{c}`").alias(c.strip()) for c in df.columns))
+    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"', mode="FAILFAST").na.fill("")
     return df.select(*(F.col(f"`{c}`").alias(c.strip()) for c in df.columns)).withColumn("row_idx", F.monotonically_increasing_id())
 
 

@@ -1,0 +1,85 @@
+"""CSV files with line breaks in quotes, read by many tasks, against one reader of the whole text."""
+
+import csv
+import io
+import random
+
+import pytest
+
+from linkwright.sources import files, quoted
+
+CELLS = ["", "a", "x y", "1.299,00", 'say "hi"', "two\nlines", "a\n\nb", '"\n"', "sep,in;side", ',"', "ends\r\nhere", 'only "', "\n", "è"]
+
+
+def made(rows, cells=CELLS, end="\n", head=("sku", "title", "note")):
+    out = io.StringIO(newline="")
+    write = csv.writer(out, lineterminator=end)
+    write.writerow(head)
+    write.writerows(rows)
+    return out.getvalue()
+
+
+def random_rows(seed, n):
+    pick = random.Random(seed)
+    return [[f"k{i}", pick.choice(CELLS) + pick.choice(CELLS), pick.choice(CELLS)] for i in range(n)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def found(df):
+    return [tuple(r) for r in df.orderBy("row_idx").drop("row_idx").collect()]
+
+
+@pytest.mark.parametrize("seed,end", [(1, "\n"), (2, "\r\n"), (3, "\n")])
+def test_many_splits_give_the_rows_of_one_reader(spark, tmp_path, small_splits, seed, end):
+    rows = random_rows(seed, 300)
+    (tmp_path / "f.csv").write_bytes(made(rows, end=end).encode())
+    assert quoted.lines(spark, str(tmp_path / "f.csv"), ",").select("block").distinct().count() > 10
+    df = files.read_csv(spark, str(tmp_path / "f.csv"), ",")
+    assert found(df) == [tuple(r) for r in rows]
+    assert sorted(r.row_idx for r in df.select("row_idx").collect()) == list(range(300))
+
+
+def test_quotes_within_plain_fields_open_nothing(spark, tmp_path, small_splits):
+    text = 'sku,title,note\n' + "".join(f'p{i},5" pipe,"a ""b""\nc"\nq{i}, "x,y"\nr{i},,""\n' for i in range(60))
+    (tmp_path / "f.csv").write_text(text)
+    want = [r for i in range(60) for r in ((f"p{i}", '5" pipe', 'a "b"\nc'), (f"q{i}", ' "x', 'y"'), (f"r{i}", "", ""))]
+    assert found(files.read_csv(spark, str(tmp_path / "f.csv"), ",")) == want
+    one_task = spark.read.csv(str(tmp_path / "f.csv"), header=True, multiLine=True, escape='"').na.fill("")
+    assert sorted(map(tuple, one_task.collect())) == sorted(want)
+
+
+def test_conditions_on_fields_meet_whole_rows_only(spark, tmp_path, small_splits):
+    rows = random_rows(5, 200)
+    (tmp_path / "f.csv").write_bytes(made(rows).encode())
+    df = files.read_csv(spark, str(tmp_path / "f.csv"), ",").where("contains(title, 'lines') and note <> ''")
+    assert found(df) == [tuple(r) for r in rows if "lines" in r[1] and r[2]]
+
+
+def test_several_files_blank_lines_and_long_rows(spark, tmp_path, small_splits):
+    long = "line\n" * 4000 + '""' * 3000
+    a, b, c = [["1", "a", "b"], ["2", long, ""]], [["3", "x\ny", "z"]], []
+    for name, rows in (("a", a), ("b", b), ("c", c)):
+        (tmp_path / f"{name}.csv").write_bytes((made(rows) + "\n\n").encode())
+    assert found(files.read_csv(spark, str(tmp_path), ",")) == [tuple(r) for r in a + b]
+
+
+def test_no_rows(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("sku,title\n")
+    df = files.read_csv(spark, str(tmp_path / "f.csv"), ",")
+    assert df.columns == ["sku", "title", "row_idx"] and df.count() == 0
+    (tmp_path / "e.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path / "e.csv")).columns == ["row_idx"]
+
+
+def test_row_with_too_many_fields_is_an_error(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('sku,title\n1,"a\nb",c\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, str(tmp_path / "f.csv"), ",").collect()
