@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers, text
 from .cosine import Block
 from .metric import similar_within_brands
+from .ordering import placed
 from .shared import Spool
 from .similarity import indel_ratio
 
@@ -284,11 +285,18 @@ def deduplicated(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     return rows.withColumn("n_", F.row_number().over(best)).where("n_ = 1").drop("n_")
 
 
-def judged(candidates: DataFrame, min_confidence: float = 0.60) -> DataFrame:
-    """With status accepted or rejected, the rank among a product's accepted ones, and its level."""
+def judged(candidates: DataFrame, min_confidence: float = 0.60, dealt: bool = False) -> DataFrame:
+    """With status accepted or rejected, the rank among a product's accepted ones, and its level.
+
+    With ``dealt`` the candidates are written once, and a product with a large share of them is ranked by several
+    tasks; without, each product is ranked by one, of whose candidates a caller that wants the best reads only those.
+    """
     accepted = F.col("confidence") >= min_confidence
-    rank = Window.partitionBy("catalog_idx", "status").orderBy(F.col("confidence").desc(), "first_met", "offer_idx")
-    return candidates.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("cand_rank", F.row_number().over(rank)).withColumn("confidence_level", confidence_level(F.col("confidence")))
+    rows = candidates.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("confidence_level", confidence_level(F.col("confidence")))
+    group, order = ["catalog_idx", "status"], [F.col("confidence").desc(), F.col("first_met").asc(), F.col("offer_idx").asc()]
+    if dealt:
+        return placed(rows, group, order).withColumnRenamed("place", "cand_rank")
+    return rows.withColumn("cand_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
 def confidence_level(confidence: Column) -> Column:
