@@ -15,7 +15,7 @@ from .operators import landscape, matching, models, offers as offer_operators, p
 from .operators.shared import new_folder, stored
 from .plans import cascade, online
 from .plans.workload import CANDIDATES, CATALOG, HITS, OFFERS, derived, plain, table
-from .sources import fetching, files, providers, result_pages
+from .sources import fetching, files, page_fetching, providers, result_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -520,6 +520,38 @@ def provider_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetching.fetched(fetching.queries_of(derived(spark, sf_dir, CATALOG)), asked).drop("body")
 
 
+def made_site() -> page_fetching.Get:
+    """A site that by an address's length gives no answer, none of that name, a nearly empty page, or one."""
+
+    def get(url: str, market: str) -> tuple[int, str]:
+        if len(url) % 7 == 0:
+            raise fetching.Unavailable("blocked")
+        return (404, "gone") if len(url) % 5 == 0 else (200, "thin") if len(url) % 3 == 0 else (200, url.ljust(1200))
+
+    return get
+
+
+def made_browser() -> page_fetching.Get:
+    def get(url: str, market: str) -> tuple[int, str]:
+        if len(url) % 11 == 0:
+            raise fetching.Unavailable("blocked")
+        return (200, url.ljust(2000)) if len(url) % 2 == 0 else (403, "")
+
+    return get
+
+
+@query(
+    f"{WITH}, u AS (SELECT DISTINCT url, length(url) AS k FROM offers), p AS (SELECT *, k % 7 <> 0 AND k % 5 <> 0 AND k % 3 <> 0 AS plain FROM u) "
+    "SELECT url, CASE WHEN plain THEN 200 WHEN k % 11 = 0 THEN NULL WHEN k % 2 = 0 THEN 200 ELSE 403 END::INT AS status_code, CASE WHEN plain THEN 'plain' ELSE 'browser' END AS fetched_by, plain OR (k % 11 <> 0 AND k % 2 = 0) AS ok, CASE WHEN NOT plain AND k % 11 = 0 THEN 'Unavailable: blocked' END AS reason, "
+    "CASE WHEN plain THEN 1200 WHEN k % 11 = 0 THEN NULL WHEN k % 2 = 0 THEN 2000 ELSE 0 END::INT AS n_chars FROM p"
+)
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each offer's address by made sites, without a pace: plainly, and where that gives nothing usable by a browser."""
+    ways = [page_fetching.Tier("plain", made_site), page_fetching.Tier("browser", made_browser)]
+    found = page_fetching.fetched(derived(spark, sf_dir, OFFERS).select("url"), ways, pace=page_fetching.Pace(0))
+    return found.select("url", "status_code", "fetched_by", "ok", "reason", F.length("html").alias("n_chars"))
+
+
 #: The kind of page that an offer has: none, structured data, meta tags, nearly empty, structured data of another shop's product, no address, the SKU alone,
 #: structured data nested too deep to read.
 PAGE_KIND = "CASE WHEN row_idx % 97 = 7 THEN 7 ELSE cast(row_idx % 7 as int) END"
