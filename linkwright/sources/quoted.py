@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..operators.shared import stored
+
 #: Within a line: outside quotes, in a quoted field, after a quote there that ends it or escapes the next, at the line's start.
 OUTSIDE, INSIDE, AFTER_QUOTE, AT_START = range(4)
 
@@ -87,6 +89,8 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
 def read(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """The columns of the first file's header as strings, empty where missing, and row_idx in the order of files and rows, from 0. An empty file has none.
 
+    Rows are parsed once and written to the shared folder, however often they are read later.
+
     Rows end in a line feed, or in one after a carriage return. Every file begins with a header. A row of another number of fields is an error.
     """
     names = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"').columns
@@ -99,4 +103,5 @@ def read(spark: SparkSession, path: str, sep: str) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": "true", "maxCharsPerColumn": "-1"}
     parsed = body.select(F.from_csv(F.when(F.col("number") > F.col("head_"), F.col("record")), schema, options).alias("f_"), (F.col("number") - F.col("heads_")).alias("row_idx"))
-    return parsed.select(*(F.coalesce(F.col(f"f_.c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)), "row_idx")
+    held = stored(parsed.select("row_idx", *(F.coalesce(F.col(f"f_.c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names)))))
+    return held.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(names)), "row_idx")

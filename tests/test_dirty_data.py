@@ -1,0 +1,84 @@
+"""Files as shops give them, in which accessories carry the barcode of what they fit: one identifier alone is not to be trusted."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkwright.operators import models
+from linkwright.plans import cascade
+from linkwright.sources import files
+
+CATALOG = """SKU;Barcode;Marca;Titolo;Prezzo;colour
+
+ORB-SAW-900;8010000000018;Orbello;Orbello chain saw 900 W;"1.249,00 €";red
+ORB-HDG-450;8010000000025;ORBELLO ;Orbello hedge trimmer 450;189,90;
+TRM-KTL-17;8,01E+12;Termico;Termico steel kettle 1.7 l;39,50;
+VLT-DRL-18;8010000000049;Voltana;Voltana cordless drill 18 V;99;"blue
+and black"
+NUL-000-X;;Nulla;Nulla garden gnome;12,00;
+"""
+OFFERS = """product_id,name,brand,barcode,seller_sku,price_value,delivery,stock,link
+a1,"Orbello chain saw 900 W, new",Orbello,8010000000018,ORB-SAW-900,"1.199,00 EUR",0,In stock,https://one.it/saw
+a2,"Spare chain
+for Orbello chain saw",Fitwell,8010000000018,,"19,90",,disponibile,https://two.it/chain
+a3,Blade cover for hedge trimmer,Fitwell,8010000000025,,"9,90","4,90",esaurito,https://two.it/cover
+a4,Termico kettle 1.7 litres steel,termico,,trm-ktl-17,"€ 34,00",5,,https://one.it/kettle
+a4,Termico kettle 1.7 litres steel,termico,,trm-ktl-17,"€ 34,00",5,,https://one.it/kettle
+a5,Voltana drill 18 V,VOLTANA,8010000000049,,"0089,00","",preorder,
+a6,"Charger ""fast"" for drill",Fitwell,8010000000049,,25,"spedizione gratuita",solo 3,https://two.it/charger
+
+"""
+ACCESSORIES = ("spare", "cover", "charger")
+
+
+def reviewer():
+    """A client that takes an offer for the product unless its words name an accessory."""
+
+    def answer(prompt):
+        other = any(word in prompt.lower() for word in ACCESSORIES)
+        return '{"is_match": %s, "confidence_adjustment": 0, "reason": "%s"}' % (("false", "accessory") if other else ("true", "same"))
+
+    return answer
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("dirty")
+    (folder / "c.csv").write_bytes(b"\xef\xbb\xbf" + CATALOG.replace("\n", "\r\n").encode())
+    (folder / "o.csv").write_text(OFFERS)
+    return files.catalog(files.read_csv(spark, str(folder / "c.csv"))), files.offers(files.read_csv(spark, str(folder / "o.csv")))
+
+
+def by_sku(catalog, rows):
+    found = {}
+    for r in rows.join(catalog.select(F.col("row_idx").alias("catalog_idx"), F.col("sku").alias("product")), "catalog_idx").collect():
+        found.setdefault(r["product"], {})[r.source_id] = r
+    return found
+
+
+def test_fields_are_read(tables):
+    catalog, offers = tables
+    rows = {r.sku: r for r in catalog.collect()}
+    assert list(rows) and {k: (r.ean, float(r.price)) for k, r in rows.items()} == {"ORB-SAW-900": (rows["ORB-SAW-900"].ean, 1249), "ORB-HDG-450": (rows["ORB-HDG-450"].ean, 189.9), "TRM-KTL-17": (None, 39.5), "VLT-DRL-18": (rows["VLT-DRL-18"].ean, 99), "NUL-000-X": (None, 12)}
+    assert rows["ORB-HDG-450"].brand == "ORBELLO" and rows["VLT-DRL-18"].attributes["colour"].split() == ["blue", "and", "black"]
+    got = {r.source_id: (float(r.price), None if r.shipping_cost is None else float(r.shipping_cost)) for r in offers.collect()}
+    assert got == {"a1": (1199, 0), "a2": (19.9, None), "a3": (9.9, 4.9), "a4": (34, 5), "a5": (89, None), "a6": (25, None)} and offers.count() == 7
+    assert {r.title for r in offers.collect()} >= {"Spare chain\nfor Orbello chain saw", 'Charger "fast" for drill'}
+
+
+def test_a_shared_barcode_is_taken_without_a_reviewer(tables):
+    catalog, offers = tables
+    found = cascade.link(catalog, offers)
+    best = by_sku(catalog, found.best)
+    assert set(best["ORB-HDG-450"]) == {"a3"} and set(best["ORB-SAW-900"]) == {"a1"} and set(best["TRM-KTL-17"]) == {"a4"}
+    assert "NUL-000-X" not in best and set(by_sku(catalog, found.accepted)["ORB-SAW-900"]) == {"a1", "a2"}
+
+
+def test_a_reviewer_rejects_what_only_shares_a_barcode(tables):
+    catalog, offers = tables
+    found = cascade.link(catalog, offers, reviewer=models.Model(lambda: reviewer(), wait=0))
+    best, gone = by_sku(catalog, found.best), by_sku(catalog, found.candidates.where("status = 'rejected'"))
+    assert "a3" not in best.get("ORB-HDG-450", {}) and gone["ORB-HDG-450"]["a3"].review.ai_is_match is False
+    assert gone["ORB-SAW-900"]["a2"].review.ai_reason == "accessory" and "a6" in gone["VLT-DRL-18"]
+    for sku, offer in (("ORB-SAW-900", "a1"), ("TRM-KTL-17", "a4"), ("VLT-DRL-18", "a5")):
+        row = best[sku][offer]
+        assert (row.match_method, row.review.ai_is_match, row.cand_rank) == ("AI_VERIFIED", True, 1)
