@@ -40,7 +40,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,22 +58,27 @@ FOOTER_BYTES = FOOTER.size + TAIL.size
 #: Sampled keys a shard, of which the driver makes the cuts.
 SAMPLE = 64
 SHARD = "place int, part int, path string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
-#: White space on which a text can be cut before any tokenizer rule looks across the cut.
-CHUNK = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
-#: Code points that some rule calls space beside the six above; a text with any is encoded whole.
+#: Kinds of bytes: white space, ASCII letters and digits, the rest of ASCII; then the two bytes of a letter between
+#: U+00C0 and U+023F or U+0400 and U+047F. Other letters are not told; a cut left out costs only time.
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+WORD = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+OTHER = (np.arange(256) < 128) & ~WHITE & ~WORD
+LEAD = np.isin(np.arange(256), [*range(0xC3, 0xC9), 0xD0, 0xD1])
+TRAIL = (np.arange(256) >> 6 == 2) & ~np.isin(np.arange(256), [0x97, 0xB7])
+#: Bytes of texts that are cut in pieces at a time.
+GROUP_BYTES = 4 << 20
+#: Code points that some rule calls space beside those six; a text with any is encoded whole.
 ODD_RANGES = ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
 ODD_SPACE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_RANGES) + "]")
-#: What may not follow the space of a chunk that is one space and a word.
-WHITE = ("", *" \t\n\r\v\f")
 
 
 class Encoder:
-    """Byte-level BPE by the tokenizers library, with a bounded memory of chunk encodings.
+    """Byte-level BPE by the tokenizers library, with a bounded memory of the ids of pieces.
 
-    A white-space run and the word after it start and end where the byte-level pre-tokenizer
-    always cuts, so encoding by such chunks equals encoding the whole text. With a tokenizer of
-    another kind, and for a text with a longer chunk than ``longest``, the whole text is encoded.
-    At most ``max_chunks`` chunks and ``max_chars`` of their characters are remembered.
+    Texts are cut where the byte-level pre-tokenizer always cuts, so encoding by pieces equals
+    encoding the whole text, and the library is asked once for each distinct piece. With a tokenizer
+    of another kind, and for a text with an added token or a piece of more than ``longest`` bytes,
+    the whole text is encoded. At most ``max_chunks`` pieces and ``max_chars`` of their bytes are remembered.
     """
 
     def __init__(self, path: str, max_chunks: int = 1_000_000, max_chars: int = 32 << 20, longest: int = 512):
@@ -83,12 +88,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.max_chunks, self.max_chars, self.longest = max_chunks, max_chars, longest
         self.cuts_at_space = cuts_at_space(self.tokenizer.to_str())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.newline = self.whole("\n")
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a byte-level token has a character a byte
+        self.n_bytes[list(vocab.values())] = list(map(len, vocab))
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.chars = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.bounds = np.zeros(1 << 12, np.int64)
@@ -96,68 +104,106 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, chunks: list[str]) -> None:
-        rest = chunks
-        if len(self.newline) == 1:
-            # One call for many chunks: a newline between two of them is always an id of its own.
-            plain = [c for c in chunks if c[0] == " " and c[1:2] not in WHITE]
-            rest = [c for c in chunks if c[0] != " " or c[1:2] in WHITE]
-            for i in range(0, len(plain), 10_000):
-                part = plain[i : i + 10_000]
-                ids = np.array(self.whole("\n".join(part)), np.uint32)
-                parting = ids == self.newline[0]
-                ends = np.append(np.flatnonzero(parting), len(ids))
-                self.keep(part, ids[~parting], np.diff(ends, prepend=-1) - 1)
+    def learn(self, pieces: list[bytes]) -> None:
+        # One call for many pieces that begin with a space and no other: put end to end they are cut there again.
+        spaced = [p for p in pieces if p[0] == 32 and p[1:2].strip()]
+        rest = [p for p in pieces if p[0] != 32 or not p[1:2].strip()]
+        for i in range(0, len(spaced), 1000):
+            part = spaced[i : i + 1000]
+            ids = np.array(self.whole(b"".join(part).decode()), np.uint32)
+            ends, stops = np.cumsum(self.n_bytes[ids]), np.cumsum(list(map(len, part)))
+            last = np.searchsorted(ends, stops)
+            if last[-1] == len(ids) - 1 and (ends[last] == stops).all():
+                self.keep(part, ids, np.diff(last, prepend=-1))
+            else:  # some bytes have no token
+                rest += part
         if rest:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.keep(rest, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
-    def keep(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        """Add chunks, with their ids one after another."""
-        if len(lengths) != len(chunks):
-            raise ValueError("the tokenizer joins a newline with its neighbours")
+    def keep(self, pieces: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Add pieces, with their ids one after another."""
         n = len(self.at)
-        self.ids, self.bounds = grown(self.ids, self.used + len(flat)), grown(self.bounds, n + len(chunks) + 1)
+        self.ids, self.bounds = grown(self.ids, self.used + len(flat)), grown(self.bounds, n + len(pieces) + 1)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.bounds[n + 1 : n + 1 + len(chunks)] = self.used + np.cumsum(lengths)
+        self.bounds[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(lengths)
         self.used += len(flat)
-        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunked = [None if t and (not self.cuts_at_space or ODD_SPACE.search(t)) else CHUNK.findall(t or "") for t in texts]
-        out: list[np.ndarray] = []
-        todo = 0
-        while todo < len(texts):
-            stop, size = todo, 0
-            while stop < len(texts) and size < 200_000:
-                size += len(chunked[stop] or ())
-                stop += 1
-            new = set().union(*(c for c in chunked[todo:stop] if c)).difference(self.at)
-            long = {c for c in new if len(c) > self.longest}
-            if long:
-                chunked[todo:stop] = [None if c and not long.isdisjoint(c) else c for c in chunked[todo:stop]]
-                new = set().union(*(c for c in chunked[todo:stop] if c)).difference(self.at)
-            chars = sum(map(len, new))
-            if len(self.at) + len(new) > self.max_chunks or self.chars + chars > self.max_chars:
-                self.forget()
-                new = set().union(*(c for c in chunked[todo:stop] if c))
-                chars = sum(map(len, new))
-            if new:
-                self.learn(list(new))
-                self.chars += chars
-            for text, chunks in zip(texts[todo:stop], chunked[todo:stop], strict=True):
-                if chunks is None:
-                    out.append(np.array(self.whole(text), np.uint32))
-                    continue
-                which = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-                begin = self.bounds[which]
-                n = self.bounds[which + 1] - begin
-                flat = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
-                out.append(self.ids[flat])
-            todo = stop
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        places: list[int] = []
+        group: list[bytes] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cuts_at_space or ODD_SPACE.search(text) or any(t in text for t in self.added):
+                out[i] = np.array(self.whole(text), np.uint32)
+                continue
+            places.append(i)
+            group.append(text.encode())
+            size += len(group[-1])
+            if size >= GROUP_BYTES:
+                for k, ids in zip(places, self.encode_group(group), strict=True):
+                    out[k] = ids
+                places, group, size = [], [], 0
+        for k, ids in zip(places, self.encode_group(group), strict=True):
+            out[k] = ids
         return out
 
+    def encode_group(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts, none of them empty, by their pieces."""
+        if not texts:
+            return []
+        data, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        starts = piece_starts(data, begins[:-1])
+        first = np.searchsorted(starts, begins)
+        long = np.maximum.reduceat(np.diff(starts, append=len(data)), first[:-1]) > self.longest
+        if long.any():
+            rest = iter(self.encode_group([t for t, x in zip(texts, long, strict=True) if not x]))
+            return [np.array(self.whole(t.decode()), np.uint32) if x else next(rest) for t, x in zip(texts, long, strict=True)]
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        which = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = [p for p, i in zip(distinct, which.tolist(), strict=True) if i < 0]
+        if len(self.at) + len(new) > self.max_chunks or self.chars + sum(map(len, new)) > self.max_chars:
+            self.forget()
+            new, which = distinct, np.full(len(distinct), -1)
+        if new:
+            self.learn(new)
+            self.chars += sum(map(len, new))
+            which[which < 0] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        order = pieces.indices.to_numpy()
+        begin, n = self.bounds[which][order], (self.bounds[which + 1] - self.bounds[which])[order]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)]
+        if len(self.at) > self.max_chunks or self.chars > self.max_chars:
+            self.forget()
+        return np.split(ids, ends[first[1:-1] - 1])
+
+
+def piece_starts(data: bytes, texts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts put end to end, of which ``texts`` has the starts.
+
+    The pre-tokenizer always cuts before white space that follows something else, after all but the last of the white
+    space before a word, after that one too unless it is a space, and between a letter or digit and other ASCII.
+    Its rules look ahead only from white space, to whether more follows, so a piece alone is cut as in its text.
+    """
+    b = np.frombuffer(data, np.uint8)
+    white, word = WHITE[b], WORD[b]
+    word[1:] |= LEAD[b[:-1]] & TRAIL[b[1:]]
+    start = np.zeros(len(b), bool)
+    start[1:] = white[1:] & ~white[:-1] | word[:-1] & OTHER[b[1:]]
+    last = white[:-1] & ~white[1:]
+    last[texts[1:] - 1] = False
+    start[:-1] |= last
+    start[1:] |= last & (b[:-1] != 32)
+    start[texts] = True
+    return np.flatnonzero(start)
+
 
 def cuts_at_space(tokenizer: str) -> bool:
     """Whether the tokenizer, as JSON, is byte-level without anything that looks across white space."""
