@@ -66,7 +66,7 @@ OTHER = (np.arange(256) < 128) & ~WHITE & ~WORD
 LEAD = np.isin(np.arange(256), [*range(0xC3, 0xC9), 0xD0, 0xD1])
 TRAIL = (np.arange(256) >> 6 == 2) & ~np.isin(np.arange(256), [0x97, 0xB7])
 #: Bytes of texts that are cut in pieces at a time.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Code points that some rule calls space beside those six; a text with any is encoded whole.
 ODD_RANGES = ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
 ODD_SPACE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_RANGES) + "]")
@@ -98,7 +98,7 @@ class Encoder:
     def forget(self) -> None:
         self.at: dict[bytes, int] = {}
         self.chars = 0
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint16 if len(self.n_bytes) <= 1 << 16 else np.uint32), 0
         self.bounds = np.zeros(1 << 12, np.int64)
 
     def whole(self, text: str) -> list[int]:
