@@ -1,6 +1,9 @@
 """Hits and feeds to offers, where larger tables and odd addresses told more than small ones."""
 
+from decimal import Decimal
+
 from linkwright.operators import offers
+from linkwright.plans import online
 
 CATALOG = "row_idx long, sku string, brand string, ean string, gtin string"
 HITS = "catalog_idx long, hit_idx long, source_provider string, title string, url string, snippet string, price decimal(18,4), currency string, shipping_cost decimal(18,4), ean string, sku string, brand string"
@@ -19,3 +22,11 @@ def test_no_code_from_several_parts_of_an_address(spark):
     got = {r.hit_idx: (r.sku, r.ean) for r in offers.confirmed(spark.createDataFrame(rows, HITS), catalog).collect()}
     assert {k for k, v in got.items() if v[0]} == {2, 3, 4}
     assert {k for k, v in got.items() if v[1]} == {6, 7}
+
+
+def test_parts_of_an_address_make_no_hit_richer(spark):
+    """Of one address' hits the one that shows the SKU stays, not one with a shipping cost whose address only looks like it."""
+    catalog = spark.createDataFrame([(1, "P102899", "B", None, None)], CATALOG)
+    shipped, coded = hit(0, "https://a.it/p/102899/", shipping=Decimal(5)), hit(1, "https://www.a.it/p/102899", "x", "code P102899")
+    (kept,) = online.fetched_offers(catalog, [("searxng", spark.createDataFrame([shipped, coded], HITS))]).collect()
+    assert kept.url == "https://www.a.it/p/102899" and kept.sku == "P102899"
