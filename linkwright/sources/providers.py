@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, money
 from ..functions.money import MONEY
-from ..operators.offers import feed_matches
+from ..operators.offers import feed_choice, feed_matches
 from ..operators.shared import stored
 from .files import numbered
 
@@ -137,11 +137,12 @@ def merchant_feed(spark: SparkSession, path: str) -> DataFrame:
     ).where("coalesce(title, '') <> '' and coalesce(url, '') <> ''")
 
 
-def feed_hits(catalog: DataFrame, feed: DataFrame) -> DataFrame:
+def feed_hits(catalog: DataFrame, feed: DataFrame, alone: bool = False) -> DataFrame:
     """Hits of each product among a feed's items, in the items' order, as ``together`` takes them.
 
-    The feed is stored once with its items numbered from 0 on, so it is neither read nor parsed again.
+    The feed is stored once with its items numbered from 0 on, so it is neither read nor parsed again. Where the feed is
+    ``alone``, with no other provider's hits beside its own, hits that cannot become an offer are not made.
     """
     items_ = stored(numbered(feed.withColumnRenamed("item_idx", "row_idx")).withColumn("item_idx", F.col("number") - 1).drop("row_idx", "number"))
-    found = feed_matches(catalog, items_).join(items_, "item_idx").withColumn("hit_idx", F.col("item_idx"))
+    found = (feed_choice if alone else feed_matches)(catalog, items_).join(items_, "item_idx").withColumn("hit_idx", F.col("item_idx"))
     return hits(found, "feed", F.col("title"), F.col("url"), None, F.col("price"), F.col("currency"), F.col("shipping_cost"), F.col("ean"))

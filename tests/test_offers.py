@@ -3,8 +3,11 @@
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from linkwright.operators import offers
 from linkwright.plans import online
+from linkwright.sources import providers
 
 CATALOG = "row_idx long, sku string, brand string, ean string, gtin string"
 HITS = "catalog_idx long, hit_idx long, source_provider string, title string, url string, snippet string, price decimal(18,4), currency string, shipping_cost decimal(18,4), ean string, sku string, brand string"
@@ -49,3 +52,22 @@ def test_long_and_short_patterns_in_texts(spark):
     texts, patterns = {word(r.randint(0, 30)) for _ in range(60)}, {word(r.randint(1, 14)) for _ in range(80)}
     got = [tuple(x) for x in offers.containing(spark.createDataFrame([(t,) for t in texts], "text_ string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()]
     assert len(got) == len(set(got)) and set(got) == {(t, p) for t in texts for p in patterns if p in t}
+
+
+FEED = "item_idx long, title string, url string, price decimal(18,4), currency string, shipping_cost decimal(18,4), ean string, brand string, sku string"
+
+
+def test_a_feed_alone_makes_only_hits_that_can_be_offers(spark):
+    """The same offers come of far fewer hits, where prices tie, items lack codes or share addresses, and titles bear SKUs."""
+    r = random.Random(11)
+    brands, names, codes = ("Acme", "Bolt"), ("red lamp", "blue lamp", "lamp"), ("4006381333931", "036000291452", None)
+    products = [(i, f"SK{i % 9:04d}", r.choice(brands), r.choice(names), r.choice(codes), None) for i in range(30)]
+    catalog = spark.createDataFrame(products, "row_idx long, sku string, brand string, title string, ean string, gtin string").withColumn("market", F.lit("IT"))
+    title = lambda: f"{r.choice(brands)} {r.choice(names)} {r.choice(['', f'SK{r.randint(0, 9):04d}'])}"
+    address = lambda i: f"https://www.s{r.randint(0, 2)}.it/{r.choice([1000 + i] * 8 + [r.randint(0, 20), f'SK{r.randint(0, 9):04d}'])}"
+    items = [(i, title(), address(i), r.choice([None, Decimal(5), Decimal(6), Decimal(7)]), "EUR", r.choice([None, Decimal(1)]), r.choice([*codes, ""]), None, None) for i in range(300)]
+    feed = spark.createDataFrame(items, FEED)
+    hits = {alone: providers.feed_hits(catalog, feed, alone) for alone in (False, True)}
+    offers_of = lambda alone: sorted(map(tuple, online.fetched_offers(catalog, [("feed", hits[alone])]).drop("row_idx").collect()), key=repr)
+    assert offers_of(True) == offers_of(False) and len(offers_of(True)) > 60
+    assert 3 * hits[True].count() < 2 * hits[False].count() and hits[True].count() == hits[True].select("catalog_idx", "hit_idx").distinct().count()
