@@ -105,3 +105,22 @@ def test_very_many_unclosed_elements_are_read_in_linear_time():
     for part in parts:
         (short, few), (long_, many) = took(part * 5_000), took(part * 40_000)
         assert many == 8 * few and long_ < 24 * short
+
+
+def test_simple_pages_need_no_parser():
+    """A page of plain tags, attributes and text is read without the parser, to the same elements and texts; any other by it."""
+    import random
+
+    class Parsed(result_pages.Outline):
+        def read_simple(self, html):
+            return False
+
+    r = random.Random(2)
+    plain = ["<ul>", '<li class="item">', "</li>", "<p>", "</P>", '<a href="/x">', "</a>", '<b class="price item">', '<i data-price="1">', "text", "&euro; ", "&am", "<br>", '<div\n class="a b" ID="q">', " ", "<td>"]
+    odd = ["<", ">", '"', "<BR/>", "<script>", "</script>", "<title>", "<!-- c -->", "<![x]>", "<a href=x>", '</a x="y">', "</", "<i a='b'>", "&lt"]
+    for k in range(4000):
+        html = "".join(r.choice(plain if k % 2 else plain + odd) for _ in range(r.randint(0, 12)))
+        quick, parsed = result_pages.Outline(html), Parsed(html)
+        assert (quick.elements, quick.texts) == (parsed.elements, parsed.texts)
+        assert quick.places(result_pages.OFFER_ROW) == parsed.places(result_pages.OFFER_ROW)
+        assert not k % 2 or not hasattr(quick, "rawdata")
