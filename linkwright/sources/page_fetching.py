@@ -102,22 +102,36 @@ def in_turn(batch: pa.RecordBatch, pace: Pace, last: dict[tuple[str, int], int])
             heapq.heappush(turns, (slot_of(key), key))
 
 
+def in_batches(rows: Iterator[tuple], most_rows: int = 1000, most_chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of PAGES as batches, each of as many rows as stay within both bounds, or of one."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+    names = [f.split()[0] for f in PAGES.split(", ")]
+    made = lambda held: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    held: list[tuple] = []
+    chars = 0
+    for row in rows:
+        size = len(row[0]) + len(row[1] or "")
+        if held and (len(held) >= most_rows or chars + size > most_chars):
+            yield made(held)
+            held, chars = [], 0
+        held.append(row)
+        chars += size
+    if held:
+        yield made(held)
+
+
 def fetched(urls: DataFrame, tiers: Sequence[Tier], market: str = "IT", pace: Pace = Pace(), tasks: int | None = None) -> DataFrame:
     """PAGES: a row for each address of ``urls`` (url), stored once, so that later steps do not fetch again.
 
     A way that gives no usable page (status 200 and 1,024 characters) is followed by the next. Slices are dealt to
     ``tasks``, by default as many as shuffles have; a lost task's slices are fetched again. Rows
-    leave one by one, so a task holds a batch of addresses and one page.
+    leave in batches of bounded size, so a task holds a batch of addresses and few pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gets: dict[str, Get] = {}
         last: dict[tuple[str, int], int] = {}
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-        for batch in batches:
-            for url in in_turn(batch, pace, last):
-                row = read_by(tiers, gets, url, market)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in PAGES.split(", ")])
+        return in_batches(read_by(tiers, gets, url, market) for batch in batches for url in in_turn(batch, pace, last))
 
     rows = sliced(urls, pace.share)
     n = tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))

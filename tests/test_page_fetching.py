@@ -108,3 +108,15 @@ def test_real_time_over_tasks(spark):
 
 def test_no_addresses(spark):
     assert page_fetching.fetched(spark.createDataFrame([], "url string"), [Tier("plain", plain)]).collect() == []
+
+
+def test_rows_leave_in_batches_of_bounded_size():
+    """Small pages many at once, large ones alone; all in order."""
+    row = lambda i, n: (f"u{i}", "x" * n if n else None, 200, "plain", True, None)
+    sizes = [10] * 2500 + [600, 600, 5000, 0, 0]
+    got = list(page_fetching.in_batches((row(i, n) for i, n in enumerate(sizes)), most_rows=1000, most_chars=20_000))
+    assert max(b.num_rows for b in got) == 1000 and len(got) < 6
+    assert [u for b in got for u in b.column("url").to_pylist()] == [f"u{i}" for i in range(len(sizes))]
+    large = list(page_fetching.in_batches((row(i, n) for i, n in enumerate([9, 50, 9, 9])), most_rows=10, most_chars=30))
+    assert [b.column("html").to_pylist() for b in large] == [["x" * 9], ["x" * 50], ["x" * 9, "x" * 9]]
+    assert list(page_fetching.in_batches(iter(()))) == []
